@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,21 +129,72 @@ def blended_ratio(names: Sequence[str], term: str) -> np.ndarray:
     return np.minimum(np.round(blend, DECIMALS), CAP)
 
 
-def score_names(names: Sequence[str], term: str) -> np.ndarray:
-    """All tiers for already normalised names; the batch form of :func:`fuzzy_score`."""
-    out = np.full(len(names), -1.0)
-    word = re.compile(rf"(?<!\w){re.escape(term)}(?!\w)") if re.fullmatch(r"\w+", term) else None
-    for i, n in enumerate(names):
-        if term in n:
+class NameBlock:
+    """Distinct normalised names, prepared once and scored against many terms."""
+
+    CLASSES = 64  # characters are counted in this many classes
+
+    def __init__(self, names: Sequence[str]):
+        self.names = names
+        self.strings = pa.array(names, type=pa.string())
+        self.lengths = _lengths(names)
+        self.rows_with: dict[str, list[int]] = {}
+        self.plain = np.ones(len(names), dtype=bool)  # single spaces, no word twice
+        for i, name in enumerate(names):
+            words = name.split()
+            self.plain[i] = " ".join(words) == name and len(set(words)) == len(words)
+            for w in words:
+                self.rows_with.setdefault(w, []).append(i)
+        row = np.repeat(np.arange(len(names)), self.lengths)
+        counts = np.bincount(row * self.CLASSES + _classes("".join(names)), minlength=len(names) * self.CLASSES)
+        self.counts = counts.reshape(len(names), self.CLASSES)
+
+    def may_pass(self, term: str, floor: float) -> np.ndarray:
+        """False only where the blend cannot exceed ``floor``.
+
+        No subsequence is longer than the characters both texts have, class by
+        class.  While no word is shared, that bounds all three ratios alike.
+        """
+        words = term.split()
+        if " ".join(words) != term or len(set(words)) != len(words):
+            return np.ones(len(self.names), dtype=bool)
+        wanted = np.bincount(_classes(term), minlength=self.CLASSES)
+        used = np.flatnonzero(wanted)
+        common = np.minimum(self.counts[:, used], wanted[used]).sum(axis=1)
+        near = _ratio(common, self.lengths, len(term)) > floor - 1e-6
+        near |= ~self.plain
+        for w in words:
+            near[self.rows_with.get(w, [])] = True
+        return near
+
+    def blend(self, term: str, floor: float = 0.0, among: np.ndarray | None = None) -> np.ndarray:
+        """Blended ratio per name; 0 where it cannot exceed ``floor``."""
+        todo = np.ones(len(self.names), dtype=bool) if among is None else among
+        if floor > 0:
+            todo = todo & self.may_pass(term, floor)
+        out = np.zeros(len(self.names))
+        rows = np.flatnonzero(todo)
+        out[rows] = blended_ratio([self.names[i] for i in rows], term)
+        return out
+
+    def scores(self, term: str, floor: float = 0.0) -> np.ndarray:
+        """All tiers per name; 0 where the score cannot exceed ``floor``."""
+        held = pc.match_substring(self.strings, term).to_numpy(zero_copy_only=False)
+        out = self.blend(term, floor, ~held)
+        word = re.compile(rf"(?<!\w){re.escape(term)}(?!\w)") if re.fullmatch(r"\w+", term) else None
+        for i in np.flatnonzero(held):
+            n = self.names[i]
             out[i] = (
                 EXACT if n == term
                 else WORD_HIT if word is not None and word.search(n)
                 else PREFIX if n.startswith(term)
                 else SUBSTRING
             )
-    left = np.flatnonzero(out < 0)
-    out[left] = blended_ratio([names[i] for i in left], term)
-    return out
+        return out
+
+
+def _classes(s: str) -> np.ndarray:
+    return (np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32) % NameBlock.CLASSES).astype(np.int64)
 
 
 def tier_score(norm: Column, term: str) -> Column:
@@ -151,26 +203,30 @@ def tier_score(norm: Column, term: str) -> Column:
     if re.fullmatch(r"\w+", term):  # a term with a space is never one word
         w = text.WORD
         tiers = tiers.when(norm.rlike(rf"(?<!{w}){text.java_quote(term)}(?!{w})"), WORD_HIT)
-    return tiers.when(norm.startswith(term), PREFIX).when(norm.contains(term), SUBSTRING)
+    return F.when(norm.contains(term), tiers.when(norm.startswith(term), PREFIX).otherwise(SUBSTRING))
 
 
-def _blend_udf(term: str):
+def _blend_udf(term: str, floor: float):
     @F.arrow_udf("double")
     def blend(names: pa.Array) -> pa.Array:
-        distinct = names.dictionary_encode()
-        values = distinct.dictionary.to_pylist()
-        scores = pa.array(blended_ratio(values, term), type=pa.float64())
-        return scores.take(distinct.indices)
+        coded = names.dictionary_encode()
+        scores = NameBlock(coded.dictionary.to_pylist()).blend(term, floor)
+        return pa.array(scores, type=pa.float64()).take(coded.indices)
 
     # Evaluated once even when a filter looks at the score.
     return blend.asNondeterministic()
 
 
-def fuzzy_score(name: Column | str, term: str, aliases: Sequence[tuple[str, str]] = ()) -> Column:
-    """Score 0-100 of a name against one search term; a NULL name scores 0."""
-    name = F.col(name) if isinstance(name, str) else name
-    norm = text.normalize_aliases(name, aliases)
-    term = text.normalize_term(term, aliases)
+def normalized_score(norm: Column, term: str, floor: float = 0.0) -> Column:
+    """Score 0-100 of a normalised name against a normalised term; NULL scores 0.
+
+    Scores that cannot exceed ``floor`` may be given as 0.
+    """
     tier = tier_score(norm, term)
     leftover = F.when(tier.isNull(), norm)
-    return F.coalesce(tier, _blend_udf(term)(leftover), F.lit(0.0))
+    return F.coalesce(tier, _blend_udf(term, floor)(leftover), F.lit(0.0))
+
+
+def fuzzy_score(name: Column | str, term: str, aliases: Sequence[tuple[str, str]] = ()) -> Column:
+    """Score 0-100 of a name against one search term; a NULL name scores 0."""
+    return normalized_score(text.normalize_aliases(name, aliases), text.normalize_term(term, aliases))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,10 +85,12 @@ def to_key(c: Column | str) -> Column:
 
 def normalize_aliases(c: Column | str, aliases: Sequence[tuple[str, str]]) -> Column:
     """Lower-case, then replace whole phrases in the order given."""
-    c = F.lower(_col(c))
+    low = done = F.lower(_col(c))
     for phrase, short in aliases:
-        c = F.regexp_replace(c, rf"(?<!{WORD}){java_quote(phrase)}(?!{WORD})", _java_replacement(short))
-    return c
+        done = F.regexp_replace(done, rf"(?<!{WORD}){java_quote(phrase)}(?!{WORD})", _java_replacement(short))
+    # A text without any of the phrases passes the cheap test only.
+    held = [low.contains(phrase) for phrase, _ in aliases]
+    return F.when(reduce(or_, held), done).otherwise(low) if held else low
 
 
 def normalize_term(term: str, aliases: Sequence[tuple[str, str]]) -> str:

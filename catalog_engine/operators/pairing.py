@@ -46,17 +46,18 @@ def score_blocks(
     """
     total = right.agg(F.coalesce(F.sum(right_bytes), F.lit(0))).first()[0]
     if total <= max_bytes:
-        return _broadcast(left, right, kernel, schema)
+        return score_with(left, right.toArrow(), kernel, schema)
     return _grid(left, right, kernel, schema, left_bytes, right_bytes, max_bytes)
 
 
-def _broadcast(left: DataFrame, right: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    requests = left.sparkSession.sparkContext.broadcast(right.toArrow())
+def score_with(left: DataFrame, requests: pa.Table, kernel: Callable[[pa.Table], Kernel], schema: str) -> DataFrame:
+    """The same for a few requests the driver already holds."""
+    shipped = left.sparkSession.sparkContext.broadcast(requests)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = None
         for batch in batches:
-            k = k or kernel(requests.value)
+            k = k or kernel(shipped.value)
             k.add(pa.Table.from_batches([batch]))
         if k is not None:
             yield from k.result().to_batches()

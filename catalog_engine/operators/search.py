@@ -32,8 +32,12 @@ def search(
     """
     if not term.strip():
         return items.withColumn("score", F.lit(0.0)).filter(F.lit(False))
+    norm = text.normalize_aliases(name, aliases)
+    score = fuzzy.normalized_score(F.col("_norm"), text.normalize_term(term, aliases), threshold)
     return (
-        items.withColumn("score", fuzzy.fuzzy_score(name, term, aliases))
+        items.withColumn("_norm", norm)
+        .withColumn("score", score)
+        .drop("_norm")
         .filter(F.col("score") > threshold)
         .orderBy(F.desc("score"), *[F.desc_nulls_last(c) for c in tie_cols], key)
         .limit(limit)
@@ -98,13 +102,13 @@ class _TermHits:
         rows = block.select(self.carried)
         self.schema = rows.schema
         coded = block.column("_norm").combine_chunks().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = fuzzy.NameBlock(coded.dictionary.to_pylist())
         at = coded.indices.to_numpy(zero_copy_only=False)
         known = ~np.isnan(at.astype(float))
         code = np.where(known, at, 0).astype(int)
         for t, norm in enumerate(self.norms):
-            by_name = fuzzy.score_names(names, norm)
-            score = np.where(known, by_name[code] if len(names) else 0.0, 0.0)
+            by_name = names.scores(norm, self.threshold)
+            score = np.where(known, by_name[code] if len(by_name) else 0.0, 0.0)
             hit = np.flatnonzero(score > self.threshold)
             if not len(hit):
                 continue

@@ -5,11 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog_engine import runtime
-from catalog_engine.functions import vectors
 from catalog_engine.operators import pairing
 
 # Similarities are compared to this many decimals, then by key, so that equal
@@ -23,19 +22,23 @@ def top_n_similar(df: DataFrame, key: str, vec: str, target, n: int) -> DataFram
     The target's own rows are left out before the limit.  Raises ValueError
     when the target has no vector.
     """
-    found = df.filter((F.col(key) == F.lit(target)) & F.col(vec).isNotNull()).select(vec).take(1)
-    if not found:
+    vecs = df.select(F.col(key), F.col(vec).alias("_vec")).filter(F.col("_vec").isNotNull())
+    one = vecs.filter(F.col(key) == F.lit(target)).limit(1).withColumnRenamed(key, "target").toArrow()
+    if not one.num_rows:
         raise ValueError(f"{key} {target!r} has no vector")
-    wanted = F.array(*[F.lit(float(x)) for x in found[0][0]])
-    similarity = F.round(vectors.cosine(vec, wanted), DECIMALS)
+    scored = pairing.score_with(
+        vecs.filter(F.col(key) != F.lit(target)), one, lambda block: _Nearest(block, key, n), _schema(df, key, key)
+    )
     return (
-        df.filter((F.col(key) != F.lit(target)) & F.col(vec).isNotNull())
-        .select(key, similarity.alias("similarity"))
-        .orderBy(F.desc_nulls_last("similarity"), key)
-        .limit(n)
+        scored.select(key, "similarity").orderBy(F.desc_nulls_last("similarity"), key).limit(n)
     )
 
 
+def _schema(df: DataFrame, key: str, target_key: str, targets: DataFrame | None = None) -> str:
+    target_type = (targets if targets is not None else df).schema[target_key].dataType.simpleString()
+    return f"target {target_type}, `{key}` {df.schema[key].dataType.simpleString()}, similarity double"
+
+
 def top_n_batch(
     items: DataFrame,
     targets: DataFrame,
@@ -57,13 +60,12 @@ def top_n_batch(
     targets = targets.select(F.col(target_key).alias("target"), F.col(vec).alias("_vec")).filter(
         F.col("_vec").isNotNull()
     )
-    kinds = dict(items.dtypes) | dict(targets.dtypes)
     row_bytes = F.size("_vec") * 8 + 64
     scored = pairing.score_blocks(
         items,
         targets,
         lambda block: _Nearest(block, key, n),
-        f"target {kinds['target']}, `{key}` {kinds[key]}, similarity double",
+        _schema(items, key, "target", targets),
         row_bytes,
         row_bytes,
         max_bytes,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,26 +17,36 @@ from catalog_engine.rules import FieldRule
 
 @dataclass(frozen=True)
 class CleanSpec:
-    """What to derive (``fields``, ``extra``), which copy to keep, what to tag."""
+    """What to derive (``fields``, ``extra``), which copy to keep, what to tag.
+
+    ``keys`` and ``order`` are looked up in the raw columns when ``best_first``
+    is set: losing copies are then dropped before any field is extracted.
+    Without it they may use derived columns, and large raw columns that no
+    field keeps are gone before the shuffle.
+    """
 
     fields: Sequence[FieldRule]
-    keys: Sequence[str]
+    keys: Sequence[Column | str]
     order: Sequence[Column]
+    best_first: bool
     extra: Sequence[Column] = ()
     tags: Sequence[tuple[str, str]] = ()
     tag_column: str = "perfume_string"
-    drop: Sequence[str] = field(default_factory=tuple)
+    drop: Sequence[str] = ()
 
 
 def clean(raw: DataFrame, spec: CleanSpec) -> DataFrame:
-    """Extract, keep the best copy per key, add the tag bag: one shuffle.
+    """Keep the best copy per key, extract fields, add the tag bag: one shuffle.
 
     The same call serves the whole table or a single new row.
     """
-    best = dedupe_best(extract_fields(raw, spec.fields, spec.extra), spec.keys, spec.order)
+    if spec.best_first:
+        out = extract_fields(dedupe_best(raw, spec.keys, spec.order), spec.fields, spec.extra)
+    else:
+        out = dedupe_best(extract_fields(raw, spec.fields, spec.extra), spec.keys, spec.order)
     if spec.tags:
-        best = best.withColumn(spec.tag_column, text.tag_bag(spec.tags))
-    return best.drop(*spec.drop)
+        out = out.withColumn(spec.tag_column, text.tag_bag(spec.tags))
+    return out.drop(*spec.drop)
 
 
 def item_spec(order_as: str = "number") -> CleanSpec:
@@ -48,7 +58,8 @@ def item_spec(order_as: str = "number") -> CleanSpec:
     by_suffix = [text.suffix_category(c, rules.CATEGORY_SUFFIXES) for c in ("name", "gender")]
     labels = [label for _, label in rules.CATEGORY_SUFFIXES]
     category = F.coalesce(*by_suffix, F.when(F.col("gender").isin(labels), F.col("gender")))
-    most_rated = {"number": "rating_count", "string": "_rating_count_text"}[order_as]
+    most_rated = {"number": text.to_int("rating_count"), "string": F.col("rating_count")}[order_as]
+    ties = ("rating_count", "description", "main_accords", "perfumers", "name", "gender")
     return CleanSpec(
         fields=rules.ITEM_FIELDS,
         extra=(
@@ -58,19 +69,15 @@ def item_spec(order_as: str = "number") -> CleanSpec:
             text.to_decimal("rating").alias("rating"),
             F.col("description"),
             F.col("url"),
-            F.col("rating_count").alias("_rating_count_text"),
         ),
         keys=["url"],
         order=[
-            F.desc_nulls_last(most_rated),
-            F.desc_nulls_last("rating"),
-            F.asc_nulls_last("description"),
-            F.asc_nulls_last("accords"),
-            F.asc_nulls_last("perfumers"),
-            F.asc_nulls_last("gender"),
+            most_rated.desc_nulls_last(),
+            text.to_decimal("rating").desc_nulls_last(),
+            *[F.asc_nulls_last(c) for c in ties],
         ],
+        best_first=True,
         tags=rules.TAG_PREFIXES,
-        drop=["_rating_count_text"],
     )
 
 

@@ -132,6 +132,7 @@ def page_spec():
         ),
         keys=("title",),
         order=(F.desc("size"), F.asc("page_id")),
+        best_first=False,
         tags=(("host_", "host"), ("lang_", "lang"), ("kind_", "kind")),
         tag_column="tags",
         drop=("size",),
@@ -223,7 +224,7 @@ SELECT host, lang, title, kind, number, page_id,
   {tag_bag_sql([("host_", "host"), ("lang_", "lang"), ("kind_", "kind")])} AS tags FROM t""",
     "clean_items": f"""WITH {RAW_ITEMS_SQL}, {clean_items_sql()}
 SELECT * REPLACE (rating::DOUBLE AS rating) FROM clean_items""",
-    "clean_items_string_order": f"""WITH {RAW_ITEMS_SQL}, {clean_items_sql("rating_count_text")}
+    "clean_items_string_order": f"""WITH {RAW_ITEMS_SQL}, {clean_items_sql("rating_count")}
 SELECT * REPLACE (rating::DOUBLE AS rating) FROM clean_items""",
     "vocabulary": f"""WITH {RAW_ITEMS_SQL}, {clean_items_sql()},
 e AS (

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from catalog_engine import rules
 from catalog_engine.functions import text
-from catalog_engine.operators import html, quality
+from catalog_engine.operators import html_fields as html
+from catalog_engine.operators import quality
 from catalog_queries.tables import (
     ITEM_URL_SQL,
     ITEM_TITLE_SQL,

@@ -144,7 +144,7 @@ def extracted_sql(source: str) -> str:
     coalesce({ends("name")}, {ends("gender")}, CASE WHEN gender IN ('unisex', 'women', 'men') THEN gender END) AS gender,
     TRY_CAST(replace(rating_count, ',', '') AS INT) AS rating_count,
     TRY_CAST(rating AS DECIMAL(10,2)) AS rating,
-    description, url, rating_count AS rating_count_text
+    description, url
   FROM {source}"""
 
 
@@ -163,13 +163,19 @@ ITEM_TAGS_SQL = tag_bag_sql(
 )
 
 
-def clean_items_sql(most_rated: str = "rating_count", source: str = "raw_items", name: str = "clean_items") -> str:
-    """CTEs ``<name>_found`` and ``<name>``: the clean layer of ``source``."""
-    return f"""{name}_found AS ({extracted_sql(source)}),
-{name} AS (
-  SELECT * EXCLUDE (rating_count_text), {ITEM_TAGS_SQL} AS perfume_string FROM {name}_found
-  QUALIFY row_number() OVER (PARTITION BY url ORDER BY {most_rated} DESC NULLS LAST, rating DESC NULLS LAST,
-    description NULLS LAST, accords NULLS LAST, perfumers NULLS LAST, gender NULLS LAST) = 1)"""
+def clean_items_sql(
+    most_rated: str = "TRY_CAST(replace(rating_count, ',', '') AS INT)",
+    source: str = "raw_items",
+    name: str = "clean_items",
+) -> str:
+    """CTEs ending in ``<name>``: the clean layer of ``source``."""
+    return f"""{name}_best AS (
+  SELECT * FROM {source}
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY {most_rated} DESC NULLS LAST,
+    TRY_CAST(rating AS DECIMAL(10,2)) DESC NULLS LAST, rating_count NULLS LAST, description NULLS LAST,
+    main_accords NULLS LAST, perfumers NULLS LAST, name NULLS LAST, gender NULLS LAST) = 1),
+{name}_found AS ({extracted_sql(f"{name}_best")}),
+{name} AS (SELECT *, {ITEM_TAGS_SQL} AS perfume_string FROM {name}_found)"""
 
 
 def hash_vectors_sql(source: str, key: str, text: str, dims: int, name: str = "hashed") -> str:

@@ -61,6 +61,15 @@ def vector_norms(spark, sf):
     )
 
 
+def vector_cosine(spark, sf):
+    """Every vector against the first one that carries its label."""
+    first = F.min(F.struct("vec_id", "embedding"))
+    heads = _embeddings(spark, sf).groupBy("label").agg(first["embedding"].alias("head"))
+    return _embeddings(spark, sf).join(heads, "label").select(
+        "vec_id", F.round(V.cosine("embedding", "head"), 6).alias("similarity")
+    )
+
+
 def display_fields(spark, sf):
     emb = _embeddings(spark, sf)
     out = rec.recommend(emb, emb, TARGET, 10, "vec_id", "embedding", ["label"])
@@ -94,7 +103,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         similar_top_n, similar_batch, recommend_join, recommend_left, recommend_batch,
-        vector_norms, display_fields, dims, counts, missing_targets,
+        vector_norms, vector_cosine, display_fields, dims, counts, missing_targets,
     )
 }
 
@@ -128,6 +137,10 @@ SELECT vec_id, round(sim, 6) AS similarity, quality, toxic FROM top LEFT JOIN la
     "recommend_batch": f"WITH {_batch('max', 3)} SELECT ranked.*, label FROM ranked JOIN embeddings USING (vec_id)",
     "vector_norms": """SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm,
   CAST(len(embedding) AS INT) AS dims FROM embeddings""",
+    "vector_cosine": """WITH heads AS (
+  SELECT * FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))
+SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
+FROM embeddings a JOIN heads b ON a.label = b.label""",
     "display_fields": f"""WITH {_top(10)}
 SELECT vec_id || ' — ' || label AS caption, round(sim, 3) AS similarity FROM top JOIN embeddings USING (vec_id)""",
     "dims": """SELECT count(*) AS rows, count(embedding) AS embedded, CAST(min(len(embedding)) AS INT) AS min_dim,
