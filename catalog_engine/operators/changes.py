@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalog_engine.operators.keys import key_set
+
 ADDED, UNEMBEDDED, UNCHANGED, UPDATED = "added", "unembedded", "unchanged", "updated"
 
 
@@ -15,12 +17,13 @@ def rows_with_text(items: DataFrame, key: str, text_col: str) -> DataFrame:
 
 def rows_in(items: DataFrame, keys: DataFrame, on: str, keys_on: str | None = None) -> DataFrame:
     """Rows whose key is listed in a table of keys (F4, F5); any number, also none."""
-    return items.join(keys.select(F.col(keys_on or on).alias(on)), on, "left_semi").select(*items.columns)
+    listed = keys.select(F.col(keys_on or on).alias(on))
+    return items.join(key_set(listed, on), on, "left_semi").select(*items.columns)
 
 
 def new_rows(items: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not stored yet."""
-    return items.join(stored.select(key), key, "left_anti")
+    return items.join(key_set(stored, key), key, "left_anti").select(*items.columns)
 
 
 def stale_rows(items: DataFrame, stored: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -30,17 +33,17 @@ def stale_rows(items: DataFrame, stored: DataFrame, key: str, text_col: str) ->
     vectors in ``stored`` are never read.
     """
     return items.filter(F.col(text_col).isNotNull()).join(
-        stored.select(key, text_col), [key, text_col], "left_anti"
+        key_set(stored, key, text_col), [key, text_col], "left_anti"
     ).select(*items.columns)
 
 
 def existing_state(incoming: DataFrame, clean: DataFrame, stored: DataFrame, key: str, text_col: str) -> DataFrame:
-    """``incoming`` plus ``in_clean`` and ``stored_text`` (M4).
+    """``incoming``, one row per key, plus ``in_clean`` and ``stored_text`` (M4).
 
     Both big tables are first cut down to the incoming keys, and only key and
     text are read from them.
     """
-    keys = incoming.select(key)
+    keys = key_set(incoming, key)
     in_clean = (
         clean.select(key).join(keys, key, "left_semi").distinct().withColumn("in_clean", F.lit(True))
     )

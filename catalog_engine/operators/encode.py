@@ -29,6 +29,8 @@ class HashingEncoder:
     so that any engine with md5 can compute the same vectors.
     """
 
+    CHARS = 1 << 21  # characters split into words at a time
+
     def __init__(self, dims: int = 384):
         self.dims = dims
 
@@ -36,25 +38,28 @@ class HashingEncoder:
         return self.encode
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
-        rows, words = [], []
-        for i, t in enumerate(texts):
-            found = [w for w in re.split(r"[ \t\r\n]+", t.lower()) if w]
-            rows.append(np.full(len(found), i))
-            words.extend(found)
         out = np.zeros((len(texts), self.dims))
-        if words:
-            distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
-            spots = np.array([self._spot(w) for w in distinct])
-            code = np.fromiter(map(distinct.__getitem__, words), dtype=np.int64, count=len(words))
-            bucket, sign = spots[code, 0], spots[code, 1]
-            flat = np.concatenate(rows) * self.dims + bucket
-            out = np.bincount(flat, weights=sign, minlength=out.size).reshape(out.shape)
+        start, chars = 0, 0
+        for end, t in enumerate(texts, 1):
+            chars += len(t)
+            if chars >= self.CHARS or end == len(texts):
+                out[start:end] = self._sums(texts[start:end])
+                start, chars = end, 0
         length = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return out / np.where(length == 0, 1.0, length)
 
-    def _spot(self, word: str) -> tuple[int, int]:
-        h = hashlib.md5(word.encode()).hexdigest()
-        return int(h[:8], 16) % self.dims, 1 if int(h[8], 16) < 8 else -1
+    def _sums(self, texts: Sequence[str]) -> np.ndarray:
+        words = [[w for w in re.split(r"[ \t\r\n]+", t.lower()) if w] for t in texts]
+        rows = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+        code: dict[str, int] = {}
+        spot = np.array([code.setdefault(w, len(code)) for ws in words for w in ws], dtype=np.int64)
+        if not code:
+            return np.zeros((len(texts), self.dims))
+        hashes = [hashlib.md5(w.encode()).hexdigest() for w in code]
+        bucket = np.array([int(h[:8], 16) % self.dims for h in hashes])
+        sign = np.array([1.0 if int(h[8], 16) < 8 else -1.0 for h in hashes])
+        flat = rows * self.dims + bucket[spot]
+        return np.bincount(flat, weights=sign[spot], minlength=len(texts) * self.dims).reshape(-1, self.dims)
 
 
 def encoded(text_col: Column | str, encoder: Callable[[], Model]) -> Column:

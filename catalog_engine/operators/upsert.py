@@ -11,28 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalog_engine.operators.keys import key_set
 
-def _must(ok: Column, message: str) -> Column:
-    """A filter that keeps every row, or fails the job where ``ok`` is false."""
-    return F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
 
-
-def unique_by_key(source: DataFrame, key: str) -> DataFrame:
-    """``source`` with non-NULL keys, checked to be unique while it is shuffled.
-
-    Rows are combined per key before the shuffle, so a hot key is found
-    without ever being gathered in one place.
-    """
-    rest = [c for c in source.columns if c != key]
-    return (
-        source.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_row"))
-        .filter(_must(F.col("_n") == 1, f"upsert: more than one source row for one value of {key}"))
-        .select(key, *[F.col("_row")[c].alias(c) for c in rest])
+def ambiguous_keys(source: DataFrame, key: str) -> DataFrame:
+    """No rows, or a failed job when a key occurs twice; shuffles key counts only."""
+    message = F.lit(f"upsert: more than one source row for one value of {key}")
+    counts = source.filter(F.col(key).isNotNull()).groupBy(key).count()
+    return counts.filter(
+        F.when(F.col("count") > 1, F.raise_error(message).cast("boolean")).otherwise(False)
     )
 
 
@@ -42,55 +32,57 @@ def upsert(
     key: str,
     update_cols: Sequence[str] | None = None,
     insert_cols: Sequence[str] | None = None,
+    null_keys: bool = True,
 ) -> DataFrame:
     """New state of ``target`` after merging ``source`` on ``key``.
 
     Without column lists every target column is taken from the source (M1).
     With them (M2), a matched row takes ``update_cols`` from the source and
     keeps the rest; a new row takes ``insert_cols`` and has NULL elsewhere.
+    ``null_keys=False`` says the source has none and saves a pass over it.
     """
-    fresh = unique_by_key(source, key)
-    no_key = source.filter(F.col(key).isNull())
-    if update_cols is None and insert_cols is None:
-        kept = target.join(fresh.select(key), key, "left_anti")
-        new = fresh.select(*target.columns).unionByName(no_key.select(*target.columns))
-        return kept.select(*target.columns).unionByName(new)
-
-    update_cols = list(update_cols or ())
-    insert_cols = list(insert_cols if insert_cols is not None else [key, *update_cols])
     kinds = {f.name: f.dataType for f in target.schema.fields}
+    keyed = source.filter(F.col(key).isNotNull())
+    listed = key_set(keyed, key)
 
-    def inserted(df: DataFrame) -> DataFrame:
+    def as_target(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         return df.select(
+            *[(F.col(c) if c in columns else F.lit(None)).cast(kinds[c]).alias(c) for c in target.columns]
+        )
+
+    if update_cols is None and insert_cols is None:
+        insert_cols = target.columns
+        state = target.join(listed, key, "left_anti").select(*target.columns)
+        added = keyed
+    else:
+        update_cols = list(update_cols or ())
+        insert_cols = list(insert_cols if insert_cols is not None else [key, *update_cols])
+        # The table is read once, on the streamed side: it is not shuffled
+        # while the source fits Spark's broadcast limit.
+        matched = F.col(f"s.{key}").isNotNull()
+        offered = keyed.select(*dict.fromkeys([key, *update_cols])).alias("s")
+        state = target.alias("t").join(offered, F.col(f"t.{key}") == F.col(f"s.{key}"), "left").select(
             *[
-                (F.col(c) if c in insert_cols else F.lit(None)).cast(kinds[c]).alias(c)
+                F.when(matched, F.col(f"s.{c}").cast(kinds[c])).otherwise(F.col(f"t.{c}")).alias(c)
+                if c in update_cols
+                else F.col(f"t.{c}")
                 for c in target.columns
             ]
         )
+        # For what to insert, only the table's key column is read again.
+        present = target.select(key).join(listed, key, "left_semi")
+        added = keyed.join(key_set(present, key), key, "left_anti")
 
-    # Update: the table is read once and stays on the streamed side, so it is
-    # not shuffled at all while the source fits Spark's broadcast limit.
-    offered = fresh.select(
-        F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in update_cols]
-    )
-    merged = target.join(offered, key, "left").select(
-        *[
-            F.when(F.col("_hit"), F.col(f"_new_{c}").cast(kinds[c])).otherwise(F.col(c)).alias(c)
-            if c in update_cols
-            else F.col(c)
-            for c in target.columns
-        ]
-    )
-    # Insert: only the key column of the table is read again.
-    present = target.select(key).join(fresh.select(key), key, "left_semi")
-    added = fresh.join(present, key, "left_anti")
-    return merged.unionByName(inserted(added)).unionByName(inserted(no_key))
+    out = state.unionByName(as_target(added, insert_cols))
+    if null_keys:
+        out = out.unionByName(as_target(source.filter(F.col(key).isNull()), insert_cols))
+    return out.unionByName(as_target(ambiguous_keys(source, key), [key]))
 
 
 def delete_by_key(df: DataFrame, keys: DataFrame, on: str, keys_on: str | None = None) -> DataFrame:
     """``df`` without the rows whose key is listed; rows with a NULL key stay (M3)."""
     listed = keys.select(F.col(keys_on or on).alias(on))
-    return df.join(listed, on, "left_anti").select(*df.columns)
+    return df.join(key_set(listed, on), on, "left_anti").select(*df.columns)
 
 
 def delete_cascade(tables: Mapping[str, tuple[DataFrame, str]], keys: DataFrame) -> dict[str, DataFrame]:

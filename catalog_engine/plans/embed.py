@@ -54,7 +54,9 @@ def embed(
     fresh = new_embeddings(items, stored, encoder, mode, key, text_col, vec)
     if mode == "new":
         return stored.unionByName(fresh, allowMissingColumns=True)
-    return upsert(stored, fresh, key, update_cols=[text_col, vec], insert_cols=[key, text_col, vec])
+    return upsert(
+        stored, fresh, key, update_cols=[text_col, vec], insert_cols=[key, text_col, vec], null_keys=False
+    )
 
 
 def new_embeddings(

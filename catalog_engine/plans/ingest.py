@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalog_engine import runtime
 from catalog_engine import schema as schemas
 from catalog_engine.functions import text
 from catalog_engine.operators import changes
@@ -46,15 +47,20 @@ def ingest(incoming: DataFrame, layers: Layers, encoder: Callable[[], Model]) ->
     extracted = dedupe_best(extracted.filter(F.col("id").isNotNull()), ["id"], [F.desc("url")])
 
     stored = layers.embeddings.select(F.col("id").cast("string").alias("id"), "perfume_string")
-    status = changes.classify_changes(extracted, layers.clean, stored, "id", "perfume_string")
+    # Written down once: everything below depends on the batch and on what the
+    # layers held before.
+    status = runtime.checkpointed(
+        changes.classify_changes(extracted, layers.clean, stored, "id", "perfume_string")
+    )
 
     raw = upsert(layers.raw, records, "url")
     clean = upsert(
         layers.clean,
-        extracted,
+        status,
         "id",
         update_cols=[c for c in UPSERTED if c != "id"],
         insert_cols=UPSERTED,
+        null_keys=False,
     )
     flagged = status.filter(F.col("needs_embedding")).select(
         text.to_key("id").alias("id"), "perfume_string"
@@ -66,6 +72,7 @@ def ingest(incoming: DataFrame, layers: Layers, encoder: Callable[[], Model]) ->
         "id",
         update_cols=["perfume_string", "embedding"],
         insert_cols=["id", "perfume_string", "embedding"],
+        null_keys=False,
     )
     return Ingested(
         Layers(raw, clean, embeddings),

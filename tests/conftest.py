@@ -5,6 +5,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+import __spark_entry__  # noqa: E402,F401  (makes the packages travel to the workers)
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -23,3 +25,15 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def one(spark):
+    """Value of a column expression over one row of text columns."""
+    from pyspark.sql import types as T
+
+    def value(expr, **columns):
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        return spark.createDataFrame([tuple(columns.values())], schema).select(expr).first()[0]
+
+    return value
