@@ -1,27 +1,28 @@
 """Encoding, the embedding jobs and the add/update job over all layers.
 
-The layers start from the derived items: the clean layer lacks the PROMO
-items, and of those it has the STANDARD ones are not embedded yet.  Incoming
-is one fresh record for every part.
+The layers start from an older record of every part: the clean layer lacks the
+PROMO items, and of those it has the STANDARD ones are not embedded yet.
+Incoming is one fresh record for every part.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog_engine import runtime
+from catalog_engine import schema as schemas
 from catalog_engine.functions import text
 from catalog_engine.operators.encode import HashingEncoder, encode
 from catalog_engine.operators.extract import stringify
-from catalog_engine import schema as schemas
 from catalog_engine.plans import clean as cleaning
 from catalog_engine.plans import embed as embedding
 from catalog_engine.plans import ingest as ingesting
+from catalog_engine.sources import tables as store
 from catalog_queries.tables import (
     ITEM_ACCORDS_SQL,
     ITEM_GENDER_SQL,
     ITEM_TITLE_SQL,
     ITEM_URL_SQL,
-    RAW_ITEMS_SQL,
     clean_items_sql,
     hash_vectors_sql,
     item_accords,
@@ -30,7 +31,6 @@ from catalog_queries.tables import (
     item_prose_sql,
     item_title,
     item_url,
-    raw_items,
     table,
     vector_text,
 )
@@ -44,33 +44,46 @@ def encode_hash(spark, sf):
     return encode(docs, "text", ENCODER).select("doc_id", vector_text("embedding").alias("embedding"))
 
 
-def _items(spark, sf):
-    """The clean layer before any removal, with the part type it came from."""
-    return cleaning.clean_items(raw_items(spark, sf)).filter(F.col("id").isNotNull())
-
-
-def _layers(spark, sf) -> ingesting.Layers:
-    items = _items(spark, sf)
-    clean = items.filter(~F.col("accords").contains("promo"))
-    ready = clean.filter(~F.col("accords").contains("standard"))
-    stored = ready.select(text.to_key("id").alias("id"), "perfume_string")
-    raw = stringify(items.withColumnRenamed("accords", "main_accords"), schemas.RAW.names)
-    return ingesting.Layers(raw, clean, encode(stored, "perfume_string", ENCODER))
-
-
-def _incoming(spark, sf):
+def _records(spark, sf, base):
+    """One scraped record for every part."""
     return table(spark, sf, "part").select(
         item_url().alias("url"),
         item_title().alias("name"),
         item_gender().alias("gender"),
-        F.lit("N/A").alias("rating"),
+        F.col("p_size").cast("double").alias("rating"),
         F.col("p_size").alias("rating_count"),
         item_accords().alias("main_accords"),
         F.array(F.translate("p_brand", "#", " ")).alias("perfumers"),
-        item_prose(F.lit(1999), F.lit("")).alias("description"),
+        item_prose(F.lit(1999), base).alias("description"),
     )
 
 
+def _incoming(spark, sf):
+    return _records(spark, sf, F.lit(""))
+
+
+def _items(spark, sf):
+    """The clean layer before any removal; large parts were scraped with another prose."""
+    old = _records(spark, sf, F.when(F.col("p_size") > 25, "; base note is Musk").otherwise(""))
+    return cleaning.clean_items(stringify(old, schemas.RAW.names)).filter(F.col("id").isNotNull())
+
+
+def _layers(spark, sf) -> ingesting.Layers:
+    """The three layers as published tables."""
+
+    def stored(name, df):
+        root = runtime.scratch_path(spark, name)
+        store.publish(df, root)
+        return store.read_current(spark, root)
+
+    items = stored("items", _items(spark, sf))
+    raw = stringify(items.withColumnRenamed("accords", "main_accords"), schemas.RAW.names)
+    clean = items.filter(~F.col("accords").contains("promo"))
+    ready = clean.filter(~F.col("accords").contains("standard"))
+    vectors = encode(ready.select(text.to_key("id").alias("id"), "perfume_string"), "perfume_string", ENCODER)
+    return ingesting.Layers(raw, clean, stored("embeddings", vectors))
+
+
 def _show(vectors):
     return vectors.select("id", "perfume_string", vector_text("embedding").alias("embedding"))
 
@@ -135,18 +148,20 @@ QUERIES = {
     )
 }
 
-_INCOMING = f"""incoming AS (
-  SELECT {ITEM_URL_SQL} AS url, {ITEM_TITLE_SQL} AS name, {ITEM_GENDER_SQL} AS gender, 'N/A' AS rating,
-    p_size::VARCHAR AS rating_count, {ITEM_ACCORDS_SQL} AS main_accords,
-    '[''' || replace(p_brand, '#', ' ') || ''']' AS perfumers, {item_prose_sql("1999", "''")} AS description
+def _records_sql(name: str, base: str) -> str:
+    return f"""{name} AS (
+  SELECT {ITEM_URL_SQL} AS url, {ITEM_TITLE_SQL} AS name, {ITEM_GENDER_SQL} AS gender,
+    p_size || '.0' AS rating, p_size::VARCHAR AS rating_count, {ITEM_ACCORDS_SQL} AS main_accords,
+    '[''' || replace(p_brand, '#', ' ') || ''']' AS perfumers, {item_prose_sql("1999", base)} AS description
   FROM part)"""
 
-_LAYERS = f"""{RAW_ITEMS_SQL},
-{clean_items_sql(name="all_items")},
+
+_LAYERS = f"""{_records_sql("older", "CASE WHEN p_size > 25 THEN '; base note is Musk' ELSE '' END")},
+{clean_items_sql(source="older", name="all_items")},
 items AS (SELECT * FROM all_items WHERE id IS NOT NULL),
 clean AS (SELECT * FROM items WHERE accords NOT LIKE '%promo%'),
 stored AS (SELECT id::BIGINT AS id, perfume_string FROM clean WHERE accords NOT LIKE '%standard%'),
-{_INCOMING},
+{_records_sql("incoming", "''")},
 {clean_items_sql(source="incoming", name="fresh_all")},
 fresh AS (SELECT * FROM fresh_all WHERE id IS NOT NULL)"""
 
