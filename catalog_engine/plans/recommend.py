@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog_engine import rules
 from catalog_engine.operators import similar
+from catalog_engine.operators.search import search
 
 
 def recommend(
@@ -33,6 +34,24 @@ def recommend(
     )
 
 
+def find_and_recommend(
+    items: DataFrame,
+    embeddings: DataFrame,
+    term: str,
+    n: int = rules.RECOMMENDATIONS,
+    name: str = "name",
+    key: str = "id",
+    vec: str = "embedding",
+    columns: Sequence[str] | None = None,
+    tie_cols: Sequence[str] = ("release_year",),
+) -> DataFrame:
+    """Search by name, take the best hit, recommend from it (T5)."""
+    best = search(items, term, name, key, limit=1, tie_cols=tie_cols).select(key).first()
+    if best is None:
+        raise ValueError(f"nothing matches {term!r}")
+    return recommend(items, embeddings, best[0], n, key, vec, columns)
+
+
 def recommend_batch(
     items: DataFrame,
     embeddings: DataFrame,

@@ -25,9 +25,15 @@ def read_table(spark: SparkSession, where: str, columns: Sequence[str] | None =
     return df.select(*columns) if columns else df
 
 
-def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.RAW) -> DataFrame:
-    """Raw rows from CSV with a header, all text, quoted line breaks allowed."""
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"')
+def read_raw_csv(
+    spark: SparkSession, path: str, schema: T.StructType = schemas.RAW, multi_line: bool = True
+) -> DataFrame:
+    """Raw rows from CSV with a header, all text.
+
+    Quoted line breaks need ``multi_line``, which makes every file one task;
+    an export without them can be split when it is switched off.
+    """
+    return spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, quote='"', escape='"')
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -35,6 +41,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object per row, for instance a vocabulary (A5)."""
+    df.write.mode("overwrite").json(path)
+
+
 def inline_rows(spark: SparkSession, rows: Iterable, schema: T.StructType | str, view: str | None = None) -> DataFrame:
     """Hand-entered rows as a table, and as a temporary view when named (S3)."""
     df = spark.createDataFrame(rows, schema)
@@ -82,8 +93,7 @@ def read_current(spark: SparkSession, root: str, schema: T.StructType | None = N
         if schema is None:
             raise FileNotFoundError(f"no published version under {root}")
         return spark.createDataFrame([], schema)
-    # Appends may have brought columns the first files lack.
-    return spark.read.option("mergeSchema", True).parquet(path)
+    return spark.read.parquet(path)
 
 
 def publish(df: DataFrame, root: str, keep_columns: bool = True) -> int:
@@ -108,12 +118,25 @@ def publish(df: DataFrame, root: str, keep_columns: bool = True) -> int:
 def append(df: DataFrame, root: str) -> int:
     """Add rows to the present version; returns how many.
 
-    The count comes from the write itself, so ``df`` is computed once.
+    Columns the rows lack are NULL; a column the table lacks is an error, so
+    all files of a version have one schema.  The count comes from the write
+    itself, so ``df`` is computed once.
     """
-    path = current_path(df.sparkSession, root)
+    spark = df.sparkSession
+    path = current_path(spark, root)
     if path is None:
         return publish(df, root)
-    counted, seen = quality.observe_rows(df, "rows")
+    fields = read_current(spark, root).schema.fields
+    unknown = set(df.columns) - {f.name for f in fields}
+    if unknown:
+        raise ValueError(f"{root} has no column {sorted(unknown)}")
+    aligned = df.select(
+        *[
+            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in fields
+        ]
+    )
+    counted, seen = quality.observe_rows(aligned, "rows")
     counted.write.mode("append").parquet(path)
     return seen.get["rows"]
 

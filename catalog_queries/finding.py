@@ -59,7 +59,7 @@ def _tiers(n: str, t: str) -> str:
     )
 
 
-def _scores_sql(pairs: str) -> str:
+def scores_sql(pairs: str) -> str:
     """CTE ``scores``(n, t, score) for the distinct (n, t) pairs of a query."""
     return f"""pairs AS ({pairs}),
 words AS (SELECT n, t, list_sort(string_split(n, ' ')) AS nw, list_sort(string_split(t, ' ')) AS tw FROM pairs),
@@ -97,15 +97,15 @@ SQL = {
     "fuzzy_tiers": "SELECT p_partkey, "
     + ", ".join(f"CASE {_tiers('p_name', repr(t))} END::DOUBLE AS score_{i}" for i, t in enumerate(TIER_TERMS))
     + " FROM part",
-    "fuzzy_full": f"""WITH RECURSIVE {_scores_sql(f"SELECT DISTINCT p_name AS n, '{TERM}' AS t FROM part")}
+    "fuzzy_full": f"""WITH RECURSIVE {scores_sql(f"SELECT DISTINCT p_name AS n, '{TERM}' AS t FROM part")}
 SELECT p_partkey, round(score, 6) AS score FROM part JOIN scores ON n = p_name""",
-    "search": f"""WITH RECURSIVE {_scores_sql("SELECT DISTINCT p_name AS n, 'rod redd' AS t FROM part")}
+    "search": f"""WITH RECURSIVE {scores_sql("SELECT DISTINCT p_name AS n, 'rod redd' AS t FROM part")}
 SELECT p_partkey, p_name, p_brand, p_size, round(score, 6) AS score FROM part JOIN scores ON n = p_name
 WHERE score > 40 ORDER BY score DESC, p_size DESC, p_partkey LIMIT 200""",
     "search_terms": f"""WITH RECURSIVE terms AS (
   SELECT split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) AS term FROM part
   UNION SELECT split_part(p_name, ' ', 2) FROM part),
-{_scores_sql("SELECT DISTINCT p_name AS n, term AS t FROM part, terms")}
+{scores_sql("SELECT DISTINCT p_name AS n, term AS t FROM part, terms")}
 SELECT t AS term, p_partkey, p_size, p_name, round(score, 6) AS score,
   CAST(row_number() OVER (PARTITION BY t ORDER BY score DESC, p_size DESC, p_partkey) AS INT) AS rank
 FROM part JOIN scores ON n = p_name WHERE score > 70 QUALIFY rank <= 3""",

@@ -11,31 +11,36 @@ from pyspark.sql import functions as F
 
 from catalog_engine import runtime
 from catalog_engine import schema as schemas
-from catalog_engine.functions import text
+from catalog_engine.functions import sql, text
 from catalog_engine.operators.encode import HashingEncoder, encode
 from catalog_engine.operators.extract import stringify
 from catalog_engine.plans import clean as cleaning
 from catalog_engine.plans import embed as embedding
 from catalog_engine.plans import ingest as ingesting
+from catalog_engine.plans import recommend as recommending
 from catalog_engine.sources import tables as store
+from catalog_queries.finding import scores_sql
 from catalog_queries.tables import (
     ITEM_ACCORDS_SQL,
     ITEM_GENDER_SQL,
     ITEM_TITLE_SQL,
     ITEM_URL_SQL,
+    RAW_ITEMS_SQL,
     clean_items_sql,
     hash_vectors_sql,
+    tag_bag_sql,
     item_accords,
     item_gender,
     item_prose,
     item_prose_sql,
     item_title,
     item_url,
+    raw_items,
     table,
     vector_text,
 )
 
-DIMS = 32
+DIMS = 32  # of the built-in encoder; any size works alike
 ENCODER = HashingEncoder(DIMS)
 
 
@@ -131,6 +136,24 @@ def remove_items(spark, sf):
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
+def find_and_recommend(spark, sf):
+    """From a typed name to the items most like its best hit."""
+    layers = _layers(spark, sf)
+    items = layers.clean.withColumn("id", text.to_key("id"))
+    found = recommending.find_and_recommend(items, layers.embeddings, "Rod Hot", 10, columns=["name", "brand", "accords"])
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def tag_function(spark, sf):
+    """The tag bag called from SQL."""
+    sql.register_tag_function(spark)
+    cleaning.clean_items(raw_items(spark, sf)).createOrReplaceTempView("tag_function_items")
+    return spark.sql(
+        """SELECT url, generate_perfume_string(accords, top_notes, mid_notes, base_notes) AS tags,
+        generate_perfume_string(accords, NULL, '', mid_notes) AS fewer FROM tag_function_items"""
+    )
+
+
 def single_vs_bulk(spark, sf):
     """Fresh records through the clean job's own rules, against the stored layer."""
     single = cleaning.clean_items(stringify(_incoming(spark, sf), schemas.RAW.names))
@@ -144,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         encode_hash, embed_new, embed_changed, ingest, ingest_raw, ingest_clean, ingest_embeddings,
-        remove_items, single_vs_bulk,
+        remove_items, single_vs_bulk, find_and_recommend, tag_function,
     )
 }
 
@@ -183,6 +206,18 @@ UNION ALL SELECT id, perfume_string FROM stored WHERE id::VARCHAR NOT IN (SELECT
 _KEPT = """id, name, brand, release_year, accords, top_notes, mid_notes, base_notes, perfumers, gender"""
 
 SQL = {
+    "find_and_recommend": f"""WITH RECURSIVE {_LAYERS},
+{scores_sql("SELECT DISTINCT name AS n, 'rod hot' AS t FROM clean")},
+chosen AS (SELECT id::BIGINT AS id FROM clean JOIN scores ON n = name WHERE score > 70
+  ORDER BY score DESC, release_year DESC NULLS LAST, id::BIGINT LIMIT 1),
+{hash_vectors_sql("stored", "id", "perfume_string", DIMS)},
+vecs AS (SELECT key, list(value::DOUBLE ORDER BY bucket) AS v FROM hashed GROUP BY key),
+top AS (SELECT a.key AS id, round(list_cosine_similarity(a.v, b.v), 9) AS sim FROM vecs a, vecs b
+  WHERE b.key = (SELECT id FROM chosen) AND a.key <> b.key ORDER BY sim DESC, a.key LIMIT 10)
+SELECT top.id, round(sim, 6) AS similarity, name, brand, accords FROM top JOIN clean ON clean.id::BIGINT = top.id""",
+    "tag_function": f"""WITH {RAW_ITEMS_SQL}, {clean_items_sql()}
+SELECT url, perfume_string AS tags, {tag_bag_sql([("accords_", "accords"), ("base_notes_", "mid_notes")])} AS fewer
+FROM clean_items""",
     "encode_hash": f"""WITH docs AS (SELECT doc_id, text FROM documents),
 {hash_vectors_sql("docs", "doc_id", "text", DIMS)}
 SELECT key AS doc_id, embedding FROM hashed_text""",

@@ -110,8 +110,8 @@ QUERIES = {
 
 def _plain(c: str) -> str:
     out = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
-    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
-        out = f"replace({out}, '{entity}', '{char}')"
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;?", "&")):
+        out = f"regexp_replace({out}, '{entity}', '{char}', 'g')"
     return out
 
 

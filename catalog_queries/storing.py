@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog_engine import runtime
+from catalog_engine.operators import quality
 from catalog_engine.sources import tables as store
 from catalog_queries.tables import table
 
@@ -49,15 +50,27 @@ def publish_append(spark, sf):
     docs = table(spark, sf, "documents")
     store.publish(labels, root)
     known = store.read_current(spark, root)
-    store.publish(known.drop("toxic").withColumn("origin", F.lit("label")), root)
+    store.publish(known.drop("toxic").withColumns({"origin": F.lit("label"), "lang": F.lit(None).cast("string")}), root)
     known = store.read_current(spark, root)
     store.append(docs.join(known, "doc_id", "left_anti").select("doc_id", "lang"), root)
     return store.read_current(spark, root).select("doc_id", "quality", "toxic", "origin", "lang")
 
 
-QUERIES = {f.__name__: f for f in (inline_params, csv_roundtrip, clustered_write, publish_append)}
+def vocabulary_json(spark, sf):
+    """The words of all part names and brands, through JSON."""
+    path = runtime.scratch_path(spark, "vocabulary")
+    words = table(spark, sf, "part").select(F.translate("p_name", " ", ",").alias("name"), F.col("p_brand").alias("brand"))
+    store.write_json(quality.vocabulary(words, ["name", "brand"]), path)
+    return spark.read.json(path, schema="field string, term string")
+
+
+QUERIES = {
+    f.__name__: f for f in (inline_params, csv_roundtrip, clustered_write, publish_append, vocabulary_json)
+}
 
 SQL = {
+    "vocabulary_json": """SELECT DISTINCT 'name' AS field, unnest(string_split(p_name, ' ')) AS term FROM part
+UNION SELECT 'brand', p_brand FROM part""",
     "inline_params": """SELECT n_nationkey, n_name, note, 'it''s "quoted" -- text' AS mark
 FROM nation LEFT JOIN (VALUES (0, 'O''Neil -- "first"'), (1, 'a; DROP'), (2, NULL), (9, 'nowhere')) t(region, note)
   ON region = n_regionkey WHERE n_name <> 'NATION_3'""",

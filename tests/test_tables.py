@@ -193,6 +193,8 @@ def test_publish_versions(spark):
     assert rows(store.read_current(spark, root).select("id", "a", "b")) == [(1, None, 1)]
     assert store.append(spark.createDataFrame([(2,)], "id long"), root) == 1
     assert store.append(spark.createDataFrame([], "id long"), root) == 0
+    with pytest.raises(ValueError, match="zz"):
+        store.append(spark.createDataFrame([(1, 2)], "id long, zz long"), root)
     assert rows(store.read_current(spark, root).select("id", "a", "b")) == [(1, None, 1), (2, None, None)]
     assert rows(before) == [(1, "x")]
 
