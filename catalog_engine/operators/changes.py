@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine.operators.keys import key_set
+from catalog_engine.operators.keys import listed, unlisted
 
 ADDED, UNEMBEDDED, UNCHANGED, UPDATED = "added", "unembedded", "unchanged", "updated"
 
@@ -17,13 +17,12 @@ def rows_with_text(items: DataFrame, key: str, text_col: str) -> DataFrame:
 
 def rows_in(items: DataFrame, keys: DataFrame, on: str, keys_on: str | None = None) -> DataFrame:
     """Rows whose key is listed in a table of keys (F4, F5); any number, also none."""
-    listed = keys.select(F.col(keys_on or on).alias(on))
-    return items.join(key_set(listed, on), on, "left_semi").select(*items.columns)
+    return listed(items, keys.select(F.col(keys_on or on).alias(on)), on)
 
 
 def new_rows(items: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not stored yet."""
-    return items.join(key_set(stored, key), key, "left_anti").select(*items.columns)
+    return unlisted(items, stored, key)
 
 
 def stale_rows(items: DataFrame, stored: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -32,9 +31,7 @@ def stale_rows(items: DataFrame, stored: DataFrame, key: str, text_col: str) ->
     One anti-join on key and text; a stored NULL text counts as changed, and
     vectors in ``stored`` are never read.
     """
-    return items.filter(F.col(text_col).isNotNull()).join(
-        key_set(stored, key, text_col), [key, text_col], "left_anti"
-    ).select(*items.columns)
+    return unlisted(items.filter(F.col(text_col).isNotNull()), stored, key, text_col)
 
 
 def existing_state(incoming: DataFrame, clean: DataFrame, stored: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -43,13 +40,9 @@ def existing_state(incoming: DataFrame, clean: DataFrame, stored: DataFrame, key
     Both big tables are first cut down to the incoming keys, and only key and
     text are read from them.
     """
-    keys = key_set(incoming, key)
-    in_clean = (
-        clean.select(key).join(keys, key, "left_semi").distinct().withColumn("in_clean", F.lit(True))
-    )
+    in_clean = listed(clean.select(key), incoming, key).distinct().withColumn("in_clean", F.lit(True))
     texts = (
-        stored.select(key, text_col)
-        .join(keys, key, "left_semi")
+        listed(stored.select(key, text_col), incoming, key)
         .groupBy(key)
         .agg(F.min(text_col).alias("stored_text"))
     )

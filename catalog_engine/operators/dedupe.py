@@ -14,6 +14,8 @@ def dedupe_best(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Col
     ``order`` should end in something unique.  The ``= 1`` filter lets Spark
     keep only the best row per key and map task before the shuffle, so a key
     that holds a large share of the table costs the reducer one row per task.
+    The keys' hash leads the sort, so long keys are rarely compared as text.
     """
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    window = Window.partitionBy(F.xxhash64(*keys), *keys).orderBy(*order)
+    ranked = df.withColumn("_rank", F.row_number().over(window))
     return ranked.filter(F.col("_rank") == 1).drop("_rank")

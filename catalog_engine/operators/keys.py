@@ -1,19 +1,67 @@
-"""Key lists for semi- and anti-joins."""
+"""Joins of a big table with a table of keys.
+
+Joins are made on the key and its hash.  The hash column makes Spark shuffle
+both sides for this very join, whatever they were partitioned by before, and
+only such a join can have a hot key of the big table split at run time.  It
+also comes first in the sort order, so long keys with a common start (URLs)
+are rarely compared as text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COPIES = 8
+HASH = "_hash"
+
+
+def with_hash(df: DataFrame, *keys: str) -> DataFrame:
+    return df.withColumn(HASH, F.xxhash64(*[_hashable(df, k) for k in keys]))
+
+
+def _hashable(df: DataFrame, key: str) -> Column:
+    """Equal whole numbers hash alike, whatever their width."""
+    return F.col(key).cast("bigint") if isinstance(df.schema[key].dataType, T.IntegralType) else F.col(key)
+
+
+def check_types(left: DataFrame, right: DataFrame, *keys: str) -> None:
+    """Keys of two tables must have one type, or both be whole numbers."""
+    for key in keys:
+        a, b = left.schema[key].dataType, right.schema[key].dataType
+        if a != b and not (isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType)):
+            raise TypeError(f"{key} is {a.simpleString()} in one table and {b.simpleString()} in the other")
+
+
+def same_key(left: str, right: str, key: str) -> Column:
+    """Join condition for two aliased tables made by :func:`with_hash`."""
+    return (F.col(f"{left}.{HASH}") == F.col(f"{right}.{HASH}")) & (
+        F.col(f"{left}.{key}") == F.col(f"{right}.{key}")
+    )
 
 
 def key_set(df: DataFrame, *keys: str) -> DataFrame:
-    """The distinct keys of ``df``, as the right side of a semi- or anti-join.
+    """The distinct keys of ``df``, of which up to ``COPIES`` copies may remain.
 
     Copies are combined before they are shuffled, so a key that holds a large
-    share of ``df`` arrives as at most ``COPIES`` rows.  The join still does
-    its own shuffle by key: only so can Spark split a hot key on its left.
+    share of ``df`` reaches the join as a few rows.
     """
     group = F.pmod(F.spark_partition_id(), F.lit(COPIES)).alias("_group")
     return df.select(*keys, group).distinct().select(*keys)
+
+
+def listed(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """Rows of ``df`` whose key occurs in ``keys``."""
+    return _filtered(df, keys, on, "left_semi")
+
+
+def unlisted(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """Rows of ``df`` whose key does not occur in ``keys``; NULL keys never do."""
+    return _filtered(df, keys, on, "left_anti")
+
+
+def _filtered(df: DataFrame, keys: DataFrame, on: tuple[str, ...], how: str) -> DataFrame:
+    check_types(df, keys, *on)
+    right = with_hash(key_set(keys, *on), *on)
+    return with_hash(df, *on).join(right, [HASH, *on], how).select(*df.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog_engine import runtime
 from catalog_engine.operators import pairing
-from catalog_engine.operators.keys import key_set
+from catalog_engine.operators.keys import listed, unlisted
 
 # Similarities are compared to this many decimals, then by key, so that equal
 # vectors rank alike whatever order their products were summed in.
@@ -78,7 +78,7 @@ def top_n_batch(
 def missing_targets(targets: DataFrame, items: DataFrame, key: str, vec: str, target_key: str | None = None) -> DataFrame:
     """Targets that have no vector, so no neighbours (the batch form of the missing-target error)."""
     embedded = items.filter(F.col(vec).isNotNull()).select(F.col(key).alias(target_key or key))
-    return targets.join(key_set(embedded, target_key or key), target_key or key, "left_anti")
+    return unlisted(targets, embedded, target_key or key)
 
 
 def attach(top: DataFrame, items: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -88,7 +88,7 @@ def attach(top: DataFrame, items: DataFrame, key: str, how: str = "inner") -> Da
     big table is on the streamed side of a join with the short list.
     """
     if how == "left":
-        items = items.join(top.select(key).distinct(), key, "left_semi")
+        items = listed(items, top, key)
     return top.join(items, key, how)
 
 

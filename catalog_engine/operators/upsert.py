@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine.operators.keys import key_set
+from catalog_engine.operators.keys import check_types, listed, same_key, unlisted, with_hash
 
 
 def ambiguous_keys(source: DataFrame, key: str) -> DataFrame:
@@ -41,9 +41,9 @@ def upsert(
     keeps the rest; a new row takes ``insert_cols`` and has NULL elsewhere.
     ``null_keys=False`` says the source has none and saves a pass over it.
     """
+    check_types(target, source, key)
     kinds = {f.name: f.dataType for f in target.schema.fields}
     keyed = source.filter(F.col(key).isNotNull())
-    listed = key_set(keyed, key)
 
     def as_target(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         return df.select(
@@ -52,16 +52,16 @@ def upsert(
 
     if update_cols is None and insert_cols is None:
         insert_cols = target.columns
-        state = target.join(listed, key, "left_anti").select(*target.columns)
+        state = unlisted(target, keyed, key)
         added = keyed
     else:
         update_cols = list(update_cols or ())
         insert_cols = list(insert_cols if insert_cols is not None else [key, *update_cols])
         # The table is read once, on the streamed side: it is not shuffled
         # while the source fits Spark's broadcast limit.
+        old, new = with_hash(target, key).alias("t"), with_hash(keyed, key).alias("s")
         matched = F.col(f"s.{key}").isNotNull()
-        offered = keyed.select(*dict.fromkeys([key, *update_cols])).alias("s")
-        state = target.alias("t").join(offered, F.col(f"t.{key}") == F.col(f"s.{key}"), "left").select(
+        state = old.join(new, same_key("t", "s", key), "left").select(
             *[
                 F.when(matched, F.col(f"s.{c}").cast(kinds[c])).otherwise(F.col(f"t.{c}")).alias(c)
                 if c in update_cols
@@ -70,8 +70,7 @@ def upsert(
             ]
         )
         # For what to insert, only the table's key column is read again.
-        present = target.select(key).join(listed, key, "left_semi")
-        added = keyed.join(key_set(present, key), key, "left_anti")
+        added = unlisted(keyed, listed(target.select(key), keyed, key), key)
 
     out = state.unionByName(as_target(added, insert_cols))
     if null_keys:
@@ -81,8 +80,7 @@ def upsert(
 
 def delete_by_key(df: DataFrame, keys: DataFrame, on: str, keys_on: str | None = None) -> DataFrame:
     """``df`` without the rows whose key is listed; rows with a NULL key stay (M3)."""
-    listed = keys.select(F.col(keys_on or on).alias(on))
-    return df.join(key_set(listed, on), on, "left_anti").select(*df.columns)
+    return unlisted(df, keys.select(F.col(keys_on or on).alias(on)), on)
 
 
 def delete_cascade(tables: Mapping[str, tuple[DataFrame, str]], keys: DataFrame) -> dict[str, DataFrame]:

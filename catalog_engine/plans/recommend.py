@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog_engine import rules
 from catalog_engine.operators import similar
+from catalog_engine.operators.keys import listed
 from catalog_engine.operators.search import search
 
 
@@ -63,7 +64,7 @@ def recommend_batch(
     how: str = "inner",
 ) -> DataFrame:
     """The same for every row of ``targets`` (a table of keys)."""
-    vectors = embeddings.join(targets.select(key).distinct(), key, "left_semi")
+    vectors = listed(embeddings, targets, key)
     top = similar.top_n_batch(embeddings, vectors, key, vec, n)
     wanted = items.select(key, *(columns or [c for c in items.columns if c != key]))
     return similar.attach(top, wanted, key, how)

@@ -17,17 +17,15 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session, where one machine is the whole cluster, may fall
     back to a temporary folder.
     """
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir")
-    if named:
-        return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="catalog-engine-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    context = spark.sparkContext
+    named, current = spark.conf.get("spark.checkpoint.dir", None), context.getCheckpointDir()
+    if not named and not current:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        named = tempfile.mkdtemp(prefix="catalog-engine-")
+    if not current:
+        context.setCheckpointDir(named)
+    return named or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

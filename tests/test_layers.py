@@ -183,24 +183,17 @@ def test_workers_need_no_checkout(tmp_path):
     assert out.stdout.split() == ["5", "50", "True"], out.stderr[-2000:]
 
 
-def test_a_cluster_must_name_its_shared_folder(monkeypatch):
-    from catalog_engine import runtime
-
-    class Conf:
-        def get(self, key):
-            return None
-
-    class Option:
-        def isDefined(self):
-            return False
+def test_a_cluster_must_name_its_shared_folder():
+    from unittest.mock import MagicMock
 
-    class Fake:
-        master = "spark://host"
-
-        def getConf(self):
-            return Conf()
-
-        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(Option)}))})
+    from catalog_engine import runtime
 
+    session = MagicMock()
+    session.conf.get.return_value = None
+    session.sparkContext.getCheckpointDir.return_value = None
+    session.sparkContext.master = "spark://host"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        runtime.shared_dir(type("Session", (), {"sparkContext": Fake()}))
+        runtime.shared_dir(session)
+    session.conf.get.return_value = "hdfs:///shared"
+    assert runtime.shared_dir(session) == "hdfs:///shared"
+    session.sparkContext.setCheckpointDir.assert_called_once_with("hdfs:///shared")

@@ -66,6 +66,15 @@ def test_updating_the_key_column_is_harmless(spark, target):
     assert rows(got) == sorted([(1, "a1", "b1"), (2, "A2", "b2"), (None, "an", "bn")], key=repr)
 
 
+def test_key_types_must_agree(spark, target):  # D6
+    source = spark.createDataFrame([("2", "x")], "id string, a string")
+    with pytest.raises(TypeError, match="id is"):
+        upsert(target, source, "id", update_cols=["a"])
+    narrow = spark.createDataFrame([(2,)], "id short")
+    assert changes.rows_in(target, narrow, "id").count() == 1
+    assert changes.new_rows(target, narrow, "id").count() == 2
+
+
 def test_null_key_inserts(spark, target):
     source = spark.createDataFrame([(None, "x")], "id long, a string")
     assert upsert(target, source, "id", update_cols=["a"]).count() == 4
