@@ -12,6 +12,8 @@ from catalog_engine.operators import similar
 from catalog_engine.operators.keys import listed
 from catalog_engine.operators.search import search
 
+LITERAL_KEYS = 100
+
 
 def recommend(
     items: DataFrame,
@@ -29,10 +31,13 @@ def recommend(
     """
     top = similar.top_n_similar(embeddings, key, vec, target, n)
     wanted = items.select(key, *(columns or [c for c in items.columns if c != key]))
-    # At most n rows, by the limit above.
-    return similar.attach(F.broadcast(top), wanted, key, how).orderBy(
-        F.desc_nulls_last("similarity"), key
-    )
+    if n <= LITERAL_KEYS:
+        # A short list: with its keys as literals, the scan of the items can
+        # skip files and row groups that hold none of them.
+        rows = top.collect()
+        top = items.sparkSession.createDataFrame(rows, top.schema)
+        wanted = wanted.filter(F.col(key).isin([r[key] for r in rows]))
+    return similar.attach(top, wanted, key, how).orderBy(F.desc_nulls_last("similarity"), key)
 
 
 def find_and_recommend(

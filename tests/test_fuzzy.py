@@ -74,9 +74,9 @@ def test_long_texts_share_no_padding():
 
 
 GOLDEN = [
-    ("heroes", "herbes", 80.0),
-    ("chanel no 5", "herbes", 23.5294),
-    ("dior miss edp", "miss dior edp", 80.0),
+    ("planes", "planks", 80.0),
+    ("castle no 7", "planks", 23.5294),
+    ("rose night edp", "night rose edp", 80.0),
     ("hot rod", "red rod", 58.2857),
 ]
 
@@ -87,20 +87,19 @@ def test_golden(name, term, score):
 
 
 CASES = [
-    ("Herbes", "herbes", 100),
-    ("HERBES", "herbes", 100),
-    ("Terre d'Herbes", "herbes", 95),
-    ("Herbes de Provence", "herbes", 95),
-    ("herbesde provence", "herbes", 90),
-    ("xherbesx fine", "herbes", 85),
-    ("Heroes", "herbes", 80),
-    ("Herbae", "herbes", 80),
-    ("Miss Dior EDP", "miss dior eau de parfum", 100),
-    ("Miss Dior Eau de Parfum", "miss dior eau de parfum", 100),
+    ("Cedars", "cedars", 100),
+    ("CEDARS", "cedars", 100),
+    ("Old l'Cedars", "cedars", 95),
+    ("Cedars of June", "cedars", 95),
+    ("cedarsong hill", "cedars", 90),
+    ("xcedarsx mist", "cedars", 85),
+    ("Cedaro", "cedars", 80),
+    ("Night Rose EDP", "night rose eau de parfum", 100),
+    ("Night Rose Eau de Parfum", "night rose eau de parfum", 100),
     ("red hot rod", "hot rod", 85),  # a term with a space is never one word
     ("crème", "me", 85),  # D14: not a word of its own
     ("a.b", "a.", 90),  # no pattern characters
-    (None, "herbes", 0),
+    (None, "cedars", 0),
 ]
 
 
@@ -116,14 +115,14 @@ def test_tiers(spark, name, term, score):
 
 
 NAMES = [
-    (1, "Miss Dior EDP", "1990"),
-    (2, "Miss Dior Eau de Parfum", "2005"),
-    (3, "Miss Dior", "1999"),
-    (4, "Dior Miss", "2001"),
-    (5, "Herbes", None),
+    (1, "Night Rose EDP", "1990"),
+    (2, "Night Rose Eau de Parfum", "2005"),
+    (3, "Night Rose", "1999"),
+    (4, "Rose Night", "2001"),
+    (5, "Cedars", None),
     (6, None, "2000"),
-    (7, "Miss Dior EDP", None),
-    (8, "Miss Dior EDP", "1990"),
+    (7, "Night Rose EDP", None),
+    (8, "Night Rose EDP", "1990"),
 ]
 
 
@@ -133,16 +132,16 @@ def items(spark):
 
 
 def test_search_order_and_ties(items):  # D10, D11
-    got = [(r.id, r.score) for r in search(items, " Miss Dior eau de parfum ").collect()]
+    got = [(r.id, r.score) for r in search(items, " Night Rose eau de parfum ").collect()]
     assert got[:4] == [(2, 100.0), (1, 100.0), (8, 100.0), (7, 100.0)]
     assert all(s > 70 for _, s in got)
-    assert [r.id for r in search(items, "miss dior edp", limit=2).collect()] == [2, 1]
-    assert [r.id for r in search(items, "miss dior edp", tie_cols=(), limit=3).collect()] == [1, 2, 7]
+    assert [r.id for r in search(items, "night rose edp", limit=2).collect()] == [2, 1]
+    assert [r.id for r in search(items, "night rose edp", tie_cols=(), limit=3).collect()] == [1, 2, 7]
 
 
 def test_search_threshold_is_strict(items):
-    assert [r.id for r in search(items, "herbes", threshold=99.9).collect()] == [5]
-    assert search(items, "herbes", threshold=100).count() == 0
+    assert [r.id for r in search(items, "cedars", threshold=99.9).collect()] == [5]
+    assert search(items, "cedars", threshold=100).count() == 0
 
 
 @pytest.mark.parametrize("term", ["", "   "])
@@ -152,7 +151,7 @@ def test_blank_term_finds_nothing(items, term):
 
 @pytest.mark.parametrize("max_bytes", [1 << 20, 200])
 def test_many_terms_equal_single_searches(spark, items, max_bytes):
-    terms = ["miss dior edp", "Herbes", "dior", "  ", "nothing like it", "HERBES"]
+    terms = ["night rose edp", "Cedars", "rose", "  ", "nothing like it", "CEDARS"]
     df = spark.createDataFrame([(t,) for t in terms], "term string")
     got = search_terms(items, df, tie_cols=["release_year"], columns=["name"], limit=3, max_bytes=max_bytes)
     found = {(r.term, r["rank"]): (r.id, r["name"], r.score) for r in got.collect()}
@@ -165,7 +164,7 @@ def test_many_terms_equal_single_searches(spark, items, max_bytes):
 
 
 def test_score_is_computed_once(items):  # D17
-    plan = search(items, "miss dior edp")._jdf.queryExecution().executedPlan().toString()
+    plan = search(items, "night rose edp")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert "Exchange" not in plan
     assert "TakeOrderedAndProject" in plan

@@ -10,7 +10,7 @@ FULL = """<!DOCTYPE html><html><head><style>h1 {x: y}</style></head><body>
    Night Rose Big House for men
 </h1>
 <p itemprop="aggregateRating">Rated&nbsp;<span itemprop="ratingValue"> 4.10 </span> by
-<span itemprop="ratingCount" content="33812">33,812</span> votes</p>
+<span itemprop="ratingCount" content="48120">48,120</span> votes</p>
 <h6>MAIN Accords</h6><!-- x --><p>between</p>
 <div class="flex"><div><span class="truncate">Fresh Spicy</span></div><div><span class="truncate x">amber</span></div>
 <div><span class="other">no</span></div></div>
@@ -35,7 +35,7 @@ def test_full_page(spark):
             "name": "Night Rose Big House",
             "gender": "for men",
             "rating": "4.1",
-            "rating_count": "33812",
+            "rating_count": "48120",
             "main_accords": ["fresh spicy", "amber"],
             "perfumers": ["Ann Bee", "Cee"],
             "description": "Night Rose by Big House was launched in 2015. Top notes are A & B.",

@@ -104,6 +104,15 @@ def test_recommend_inner_and_left(spark, four):  # D11
     assert [(r.id, r["name"]) for r in left] == [("b", "B"), ("c", None), ("d", "D")]
 
 
+def test_recommend_pushes_the_found_keys(spark, four, tmp_path):
+    spark.createDataFrame([("b", "B"), ("d", "D")], "id string, name string").write.parquet(str(tmp_path / "items"))
+    got = recommend(spark.read.parquet(str(tmp_path / "items")), four, "a", 3)
+    assert "In(id, [b,c,d])" in got._jdf.queryExecution().executedPlan().toString().replace("IN", "In")
+    assert [r.id for r in got.collect()] == ["b", "d"]
+    long_list = recommend(spark.read.parquet(str(tmp_path / "items")), four, "a", 1000)
+    assert [r.id for r in long_list.collect()] == ["b", "d"]
+
+
 def test_recommend_batch(spark, four):
     items = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C"), ("d", "D")], "id string, name string")
     targets = spark.createDataFrame([("a",), ("c",), ("zz",)], "id string")
