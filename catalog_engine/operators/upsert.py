@@ -45,11 +45,6 @@ def upsert(
     kinds = {f.name: f.dataType for f in target.schema.fields}
     keyed = source.filter(F.col(key).isNotNull())
 
-    def as_target(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        return df.select(
-            *[(F.col(c) if c in columns else F.lit(None)).cast(kinds[c]).alias(c) for c in target.columns]
-        )
-
     if update_cols is None and insert_cols is None:
         insert_cols = target.columns
         state = unlisted(target, keyed, key)
@@ -72,10 +67,30 @@ def upsert(
         # For what to insert, only the table's key column is read again.
         added = unlisted(keyed, listed(target.select(key), keyed, key), key)
 
-    out = state.unionByName(as_target(added, insert_cols))
+    out = state.unionByName(_as_target(target, added, insert_cols))
     if null_keys:
-        out = out.unionByName(as_target(source.filter(F.col(key).isNull()), insert_cols))
-    return out.unionByName(as_target(ambiguous_keys(source, key), [key]))
+        out = out.unionByName(_as_target(target, source.filter(F.col(key).isNull()), insert_cols))
+    return out.unionByName(_as_target(target, ambiguous_keys(source, key), [key]))
+
+
+def insert_rows(
+    target: DataFrame, source: DataFrame, key: str, insert_cols: Sequence[str] | None = None
+) -> DataFrame:
+    """What an upsert adds when no source key is in ``target`` yet."""
+    columns = insert_cols if insert_cols is not None else target.columns
+    return _as_target(target, source, columns).unionByName(
+        _as_target(target, ambiguous_keys(source, key), [key])
+    )
+
+
+def _as_target(target: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` in the shape of ``target``; columns not listed are NULL."""
+    return df.select(
+        *[
+            (F.col(f.name) if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in target.schema.fields
+        ]
+    )
 
 
 def delete_by_key(df: DataFrame, keys: DataFrame, on: str, keys_on: str | None = None) -> DataFrame:

@@ -29,55 +29,68 @@ class Layers:
     embeddings: DataFrame
 
 
+@dataclass(frozen=True)
+class Batch:
+    """Incoming records, and the clean rows made of them with their status."""
+
+    records: DataFrame
+    status: DataFrame
+
+    @property
+    def report(self) -> DataFrame:
+        return self.status.select("id", "name", "brand", "perfume_string", "status", "needs_embedding")
+
+
 @dataclass(frozen=True)
 class Ingested:
     layers: Layers
     status: DataFrame
 
 
-def ingest(incoming: DataFrame, layers: Layers, encoder: Callable[[], Model]) -> Ingested:
-    """New states of all layers, and a status per incoming item.
+def prepare(incoming: DataFrame, layers: Layers) -> Batch:
+    """Extract and classify ``incoming``: one scraped record per URL.
 
-    ``incoming`` holds one scraped record per URL.  Statuses are taken
-    against the layers as they were before.
+    The status is written down here, before any layer changes: all that
+    follows depends on what the layers held until now.
     """
     records = stringify(incoming, schemas.RAW.names)
     extracted = clean_items(records).select(*UPSERTED)
     # Two addresses can carry one id; the last address stands for it.
     extracted = dedupe_best(extracted.filter(F.col("id").isNotNull()), ["id"], [F.desc("url")])
-
     stored = layers.embeddings.select(F.col("id").cast("string").alias("id"), "perfume_string")
-    # Written down once: everything below depends on the batch and on what the
-    # layers held before.
-    status = runtime.checkpointed(
-        changes.classify_changes(extracted, layers.clean, stored, "id", "perfume_string")
+    status = changes.classify_changes(extracted, layers.clean, stored, "id", "perfume_string")
+    return Batch(records, runtime.checkpointed(status))
+
+
+def vectors(status: DataFrame, encoder: Callable[[], Model]) -> DataFrame:
+    """Vectors of the rows whose status asks for one."""
+    flagged = status.filter(F.col("needs_embedding")).select(
+        text.to_key("id").alias("id"), "perfume_string"
     )
+    return encode(changes.rows_with_text(flagged, "id", "perfume_string"), "perfume_string", encoder)
 
-    raw = upsert(layers.raw, records, "url")
+
+def ingest(incoming: DataFrame, layers: Layers, encoder: Callable[[], Model]) -> Ingested:
+    """New states of all layers, and a status per incoming item."""
+    batch = prepare(incoming, layers)
+    raw = upsert(layers.raw, batch.records, "url")
     clean = upsert(
         layers.clean,
-        status,
+        batch.status,
         "id",
         update_cols=[c for c in UPSERTED if c != "id"],
         insert_cols=UPSERTED,
         null_keys=False,
     )
-    flagged = status.filter(F.col("needs_embedding")).select(
-        text.to_key("id").alias("id"), "perfume_string"
-    )
-    vectors = encode(changes.rows_with_text(flagged, "id", "perfume_string"), "perfume_string", encoder)
     embeddings = upsert(
         layers.embeddings,
-        vectors,
+        vectors(batch.status, encoder),
         "id",
         update_cols=["perfume_string", "embedding"],
         insert_cols=["id", "perfume_string", "embedding"],
         null_keys=False,
     )
-    return Ingested(
-        Layers(raw, clean, embeddings),
-        status.select("id", "name", "brand", "perfume_string", "status", "needs_embedding"),
-    )
+    return Ingested(Layers(raw, clean, embeddings), batch.report)
 
 
 def remove(keys: DataFrame, layers: Layers) -> Layers:

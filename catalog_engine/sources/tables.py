@@ -141,17 +141,21 @@ def append(df: DataFrame, root: str) -> int:
     return seen.get["rows"]
 
 
-def write_clustered(df: DataFrame, path: str, keys: Sequence[str], files: int, max_rows: int = 0) -> None:
-    """Compact to about ``files`` files, ordered and split by key ranges.
+def clustered(df: DataFrame, keys: Sequence[str], files: int) -> DataFrame:
+    """``df`` in about ``files`` partitions by key ranges, each in key order.
 
-    A hash of the whole row comes last in the order, so rows that share one
+    A hash of the whole row comes last in the ranges, so rows that share one
     hot key can still be split over several files.
     """
     spread = F.xxhash64(*df.columns)
-    (
-        df.repartitionByRange(files, *keys, spread)
-        .sortWithinPartitions(*keys)
-        .write.mode("overwrite")
-        .option("maxRecordsPerFile", max_rows)
-        .parquet(path)
-    )
+    return df.repartitionByRange(files, *keys, spread).sortWithinPartitions(*keys)
+
+
+def write_clustered(df: DataFrame, path: str, keys: Sequence[str], files: int) -> None:
+    """Files that a lookup by key can skip."""
+    clustered(df, keys, files).write.mode("overwrite").parquet(path)
+
+
+def compact(spark: SparkSession, root: str, keys: Sequence[str], files: int) -> int:
+    """The present content as a new, clustered version."""
+    return publish(clustered(read_current(spark, root), keys, files), root)

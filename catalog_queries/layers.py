@@ -17,6 +17,7 @@ from catalog_engine.operators.extract import stringify
 from catalog_engine.plans import clean as cleaning
 from catalog_engine.plans import embed as embedding
 from catalog_engine.plans import ingest as ingesting
+from catalog_engine.plans import jobs
 from catalog_engine.plans import recommend as recommending
 from catalog_engine.sources import tables as store
 from catalog_queries.finding import scores_sql
@@ -136,6 +137,21 @@ def remove_items(spark, sf):
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
+def stored_jobs(spark, sf):
+    """Clean, embed, ingest, embed again and compact, all over stored tables."""
+    root = runtime.scratch_path(spark, "jobs")
+    where = jobs.Store(f"{root}/raw", f"{root}/clean", f"{root}/embeddings")
+    old = _records(spark, sf, F.when(F.col("p_size") > 25, "; base note is Musk").otherwise(""))
+    old = stringify(old.filter(~F.col("main_accords")[1].contains("promo")), schemas.RAW.names)
+    store.publish(old, where.raw)
+    jobs.run_clean(spark, where)
+    jobs.run_embed(spark, where, ENCODER, mode="new")
+    jobs.run_ingest(spark, where, _incoming(spark, sf), ENCODER)
+    jobs.run_embed(spark, where, ENCODER, mode="changed")
+    store.compact(spark, where.embeddings, ["id"], files=8)
+    return _show(store.read_current(spark, where.embeddings))
+
+
 def find_and_recommend(spark, sf):
     """From a typed name to the items most like its best hit."""
     layers = _layers(spark, sf)
@@ -167,7 +183,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         encode_hash, embed_new, embed_changed, ingest, ingest_raw, ingest_clean, ingest_embeddings,
-        remove_items, single_vs_bulk, find_and_recommend, tag_function,
+        remove_items, single_vs_bulk, stored_jobs, find_and_recommend, tag_function,
     )
 }
 
@@ -206,6 +222,7 @@ UNION ALL SELECT id, perfume_string FROM stored WHERE id::VARCHAR NOT IN (SELECT
 _KEPT = """id, name, brand, release_year, accords, top_notes, mid_notes, base_notes, perfumers, gender"""
 
 SQL = {
+    "stored_jobs": f"WITH {_LAYERS}, " + _vectors("SELECT id::BIGINT AS id, perfume_string FROM fresh"),
     "find_and_recommend": f"""WITH RECURSIVE {_LAYERS},
 {scores_sql("SELECT DISTINCT name AS n, 'rod hot' AS t FROM clean")},
 chosen AS (SELECT id::BIGINT AS id FROM clean JOIN scores ON n = name WHERE score > 70

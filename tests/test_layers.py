@@ -160,6 +160,46 @@ def test_two_addresses_with_one_id(spark):  # D20
     assert [r.brand for r in done.layers.clean.collect()] == ["House"]
 
 
+def test_jobs_over_stored_tables(spark):
+    from catalog_engine import runtime
+    from catalog_engine.operators.extract import stringify
+    from catalog_engine.plans import jobs
+    from catalog_engine.sources import tables
+
+    root = runtime.scratch_path(spark, "jobs")
+    store = jobs.Store(f"{root}/raw", f"{root}/clean", f"{root}/embeddings")
+
+    def versions(where):
+        return int(tables.current_path(spark, where).rsplit("=", 1)[1])
+
+    first = spark.createDataFrame([record(1), record(2)], RECORD)
+    tables.publish(stringify(first, schema.RAW.names), store.raw)
+    assert jobs.run_clean(spark, store, csv_path=f"{root}/csv") == 2
+    assert spark.read.csv(f"{root}/csv", header=True).columns == schema.CLEAN.names
+    assert jobs.run_embed(spark, store, ENCODER) == 2
+    assert jobs.run_embed(spark, store, ENCODER) == 0
+    assert jobs.run_embed(spark, store, ENCODER, mode="changed") == 0
+    assert versions(store.embeddings) == 1
+
+    # Only new items: rows are appended, nothing is rewritten.
+    status = jobs.run_ingest(spark, store, spark.createDataFrame([record(3)], RECORD), ENCODER)
+    assert rows(status.select("id", "status")) == [("3", "added")]
+    assert [versions(w) for w in (store.raw, store.clean, store.embeddings)] == [1, 1, 1]
+
+    status = jobs.run_ingest(spark, store, spark.createDataFrame([record(2, "Lily"), record(3)], RECORD), ENCODER)
+    assert rows(status.select("id", "status")) == [("2", "updated"), ("3", "unchanged")]
+    layers = store.read(spark)
+    assert (layers.raw.count(), layers.clean.count(), layers.embeddings.count()) == (3, 3, 3)
+    assert layers.clean.filter("id = '2'").first().top_notes == "lily"
+    for r in layers.embeddings.collect():
+        assert np.allclose(r.embedding, ENCODER.encode([r.perfume_string])[0])
+
+    jobs.run_remove(spark, store, layers.clean.filter("id = '1'").select("id", "url"))
+    layers = store.read(spark)
+    assert (layers.raw.count(), layers.clean.count(), layers.embeddings.count()) == (2, 2, 2)
+    assert tables.compact(spark, store.clean, ["id"], files=2) == 2
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -117,6 +117,32 @@ def test_target_is_not_shuffled_for_a_small_source(spark, tmp_path):
     assert got.filter("a = 'x'").count() == 10
 
 
+def test_a_hot_key_is_split(spark, tmp_path):
+    hot = spark.range(200_000).select(
+        F.when(F.col("id") < 70_000, -1).otherwise(F.col("id")).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v")
+    )
+    hot.write.parquet(str(tmp_path / "hot"))
+    hot = spark.read.parquet(str(tmp_path / "hot"))
+    once = hot.groupBy("k").agg(F.lit("x").alias("v"))  # already partitioned by key
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "32",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for df in (changes.rows_in(hot, once, "k"), upsert(hot, once, "k", ["v"]), upsert(hot, once, "k")):
+            counted = df.agg(F.count("k"), F.max("v"))
+            counted.collect()
+            assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_delete(spark, target):
     keys = spark.createDataFrame([(1,), (1,), (7,)], "k long")
     assert rows(delete_by_key(target, keys, "id", "k")) == [(2, "a2", "b2"), (None, "an", "bn")]
