@@ -11,8 +11,9 @@ a language model: texts are near each other only as far as they share words.
 from __future__ import annotations
 
 import hashlib
-import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +24,21 @@ Model = Callable[[Sequence[str]], np.ndarray]
 
 
 class HashingEncoder:
-    """Signed feature hashing with unit-length rows.
+    """Signed feature hashing of the words (split at white space), with unit-length rows.
 
     A word's md5 gives its bucket (first 8 hex digits) and its sign (the 9th),
     so that any engine with md5 can compute the same vectors.
     """
 
-    CHARS = 1 << 21  # characters split into words at a time
+    CHARS = 1 << 20  # characters split into words at a time
+    KNOWN = 1 << 20  # words whose hash is kept
 
     def __init__(self, dims: int = 384):
         self.dims = dims
+        self.spots = _Spots(dims)
 
     def __call__(self) -> Model:
-        return self.encode
+        return HashingEncoder(self.dims).encode
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims))
@@ -49,17 +52,28 @@ class HashingEncoder:
         return out / np.where(length == 0, 1.0, length)
 
     def _sums(self, texts: Sequence[str]) -> np.ndarray:
-        words = [[w for w in re.split(r"[ \t\r\n]+", t.lower()) if w] for t in texts]
-        rows = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
-        code: dict[str, int] = {}
-        spot = np.array([code.setdefault(w, len(code)) for ws in words for w in ws], dtype=np.int64)
-        if not code:
-            return np.zeros((len(texts), self.dims))
-        hashes = [hashlib.md5(w.encode()).hexdigest() for w in code]
-        bucket = np.array([int(h[:8], 16) % self.dims for h in hashes])
-        sign = np.array([1.0 if int(h[8], 16) < 8 else -1.0 for h in hashes])
-        flat = rows * self.dims + bucket[spot]
-        return np.bincount(flat, weights=sign[spot], minlength=len(texts) * self.dims).reshape(-1, self.dims)
+        if len(self.spots) > self.KNOWN:
+            self.spots.clear()
+        counts = [Counter(t.lower().split()) for t in texts]
+        sizes = [len(c) for c in counts]
+        spots = np.fromiter(map(self.spots.__getitem__, chain.from_iterable(counts)), np.int64, sum(sizes))
+        times = np.fromiter(chain.from_iterable(c.values() for c in counts), np.int64, sum(sizes))
+        cell = np.repeat(np.arange(len(texts)) * self.dims, sizes) + (spots >> 1)
+        signed = np.where(spots & 1, -times, times)
+        shape = (len(texts), self.dims)
+        return np.bincount(cell, weights=signed, minlength=shape[0] * shape[1]).reshape(shape)
+
+
+class _Spots(dict):
+    """Word -> 2 x bucket, plus 1 for a negative sign; hashed on first sight."""
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def __missing__(self, word: str) -> int:
+        digest = hashlib.md5(word.encode()).hexdigest()
+        self[word] = spot = int(digest[:8], 16) % self.dims * 2 + (digest[8] >= "8")
+        return spot
 
 
 def encoded(text_col: Column | str, encoder: Callable[[], Model]) -> Column:

@@ -40,6 +40,8 @@ def upsert(
     With them (M2), a matched row takes ``update_cols`` from the source and
     keeps the rest; a new row takes ``insert_cols`` and has NULL elsewhere.
     ``null_keys=False`` says the source has none and saves a pass over it.
+    The source's rows are shuffled once, but its keys are looked at several
+    times: write a costly source down first.
     """
     check_types(target, source, key)
     kinds = {f.name: f.dataType for f in target.schema.fields}

@@ -50,10 +50,11 @@ class Ingested:
 def prepare(incoming: DataFrame, layers: Layers) -> Batch:
     """Extract and classify ``incoming``: one scraped record per URL.
 
-    The status is written down here, before any layer changes: all that
-    follows depends on what the layers held until now.
+    Records and status are written down here, before any layer changes: the
+    pages are parsed once, and all that follows depends on what the layers
+    held until now.
     """
-    records = stringify(incoming, schemas.RAW.names)
+    records = runtime.checkpointed(stringify(incoming, schemas.RAW.names))
     extracted = clean_items(records).select(*UPSERTED)
     # Two addresses can carry one id; the last address stands for it.
     extracted = dedupe_best(extracted.filter(F.col("id").isNotNull()), ["id"], [F.desc("url")])

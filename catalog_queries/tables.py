@@ -181,7 +181,7 @@ def clean_items_sql(
 def hash_vectors_sql(source: str, key: str, text: str, dims: int, name: str = "hashed") -> str:
     """CTE ``<name>``(key, bucket 0..dims-1, value): the hashing encoder over ``source``."""
     return f"""{name}_words AS (
-  SELECT {key} AS key, unnest(string_split_regex(lower({text}), '[ \\t\\r\\n]+')) AS word FROM {source}),
+  SELECT {key} AS key, unnest(string_split_regex(lower({text}), '[\\t-\\r\\x1c-\\x1f\\x85\\pZ]+')) AS word FROM {source}),
 {name}_spots AS (
   SELECT key, ('0x' || md5(word)[1:8])::BIGINT % {dims} AS bucket,
     CASE WHEN md5(word)[9] < '8' THEN 1 ELSE -1 END AS sign FROM {name}_words WHERE word <> ''),
