@@ -70,9 +70,20 @@ SEARCH_LIMIT = 20
 RECOMMENDATIONS = 3
 
 # --------------------------------------------------------------------------
-# The preset built from them.
+# The presets built from them.
 # --------------------------------------------------------------------------
 
+
+def one_brand_fields(segment: str) -> tuple[FieldRule, ...]:
+    """Fields of an older address form, for one brand's URL segment."""
+    page = rf"({segment})/(.*?)-([0-9]+)"
+    return (
+        FieldRule("name", "url", page, 2, text.dashes_to_spaces),
+        FieldRule("brand", "url", page, 1, text.dashes_to_spaces),
+        FieldRule("id", "url", page, 3),
+    )
+
+
 ITEM_FIELDS = (
     FieldRule("id", "url", URL_ID_PATTERN),
     FieldRule("name", "url", URL_NAME_PATTERN, post=text.dashes_to_spaces),

@@ -13,9 +13,11 @@ from catalog_engine.plans import clean as cleaning
 from catalog_engine.rules import FieldRule
 from catalog_queries.tables import (
     ITEM_ACCORDS_SQL,
+    ITEM_URL_SQL,
     RAW_ITEMS_SQL,
     clean_items_sql,
     item_accords,
+    item_url,
     raw_items,
     table,
     tag_bag_sql,
@@ -27,6 +29,7 @@ NUMBER = r"/([0-9]+)([./?#]|$)"
 TITLE = r"<title>([^<]*)</title>"
 LICENSE = r"under the ([A-Za-z ]+License)"
 VERSION = r"version ([0-9]+)"
+BRAND_PAGE = r"(Brand-17)/(.*?)-([0-9]+)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 
 URL_RULES = (
@@ -50,6 +53,12 @@ def url_fields(spark, sf):
     return extract_fields(table(spark, sf, "pages"), URL_RULES, ["page_id"])
 
 
+def one_brand_fields(spark, sf):
+    """The older address form; other brands' addresses give NULL."""
+    part = table(spark, sf, "part").select("p_partkey", item_url().alias("url"))
+    return extract_fields(part, rules.one_brand_fields("Brand-17"), ["p_partkey"])
+
+
 def prose_fields(spark, sf):
     return extract_fields(table(spark, sf, "documents"), PROSE_RULES, ["doc_id"])
 
@@ -175,7 +184,7 @@ def alias_normalise(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        url_fields, prose_fields, list_text_clean, pasted_lines, suffix_category, safe_cast,
+        url_fields, one_brand_fields, prose_fields, list_text_clean, pasted_lines, suffix_category, safe_cast,
         missing_default, tag_bag, clean_job, clean_items, clean_items_string_order, vocabulary,
         stringified, alias_normalise,
     )
@@ -190,6 +199,9 @@ SQL = {
     "url_fields": f"""SELECT {_got("url", HOST)} AS host, replace({_got("url", HOST)}, '.', ' ') AS site,
   {_got("url", LANG)} AS lang, {_got("url", NUMBER)} AS number, {_got("url", rules.URL_ID_PATTERN)} AS id,
   page_id FROM pages""",
+    "one_brand_fields": f"""WITH t AS (SELECT p_partkey, {ITEM_URL_SQL} AS url FROM part)
+SELECT p_partkey, replace({_got("url", BRAND_PAGE, 2)}, '-', ' ') AS name,
+  replace({_got("url", BRAND_PAGE, 1)}, '-', ' ') AS brand, {_got("url", BRAND_PAGE, 3)} AS id FROM t""",
     "prose_fields": f"""SELECT {_got("text", LICENSE)} AS license, {_got("text", "(?i)" + VERSION)} AS version,
   lower({_got("text", EMAIL, 0)}) AS email, doc_id FROM documents""",
     "list_text_clean": f"""WITH t AS (SELECT p_partkey, {ITEM_ACCORDS_SQL} AS list_text FROM part),
