@@ -42,7 +42,7 @@ def classify_changes(spark, sf):
 def existing_state(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id")
     out = changes.existing_state(docs, table(spark, sf, "labels"), _stored(spark, sf), "doc_id", "text")
-    return out.select("doc_id", "in_clean", F.length("stored_text").alias("stored_length"))
+    return out.select("doc_id", "in_clean", F.length("stored_text").cast("double").alias("stored_length"))
 
 
 def semi_in(spark, sf):
@@ -69,10 +69,11 @@ def upsert_all(spark, sf):
 
 
 def upsert_cols(spark, sf):
-    return upsert(
+    out = upsert(
         table(spark, sf, "labels"), _relabelled(spark, sf), "doc_id", update_cols=["quality"],
         insert_cols=["doc_id", "quality"],
     )
+    return out.withColumn("toxic", F.col("toxic").cast("double"))
 
 
 def upsert_orders(spark, sf):
@@ -137,7 +138,7 @@ c AS (
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN stored s ON s.doc_id = d.doc_id)
 SELECT doc_id, status, status <> 'unchanged' AS needs_embedding FROM c""",
     "existing_state": f"""WITH {_STORED}
-SELECT d.doc_id, l.doc_id IS NOT NULL AS in_clean, CAST(length(s.text) AS INT) AS stored_length
+SELECT d.doc_id, l.doc_id IS NOT NULL AS in_clean, length(s.text)::DOUBLE AS stored_length
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN stored s ON s.doc_id = d.doc_id""",
     "semi_in": """SELECT o_orderkey, o_custkey, o_orderstatus FROM orders
 WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
@@ -147,7 +148,7 @@ WHERE o_custkey = (SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_or
 SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM fresh)
 UNION ALL SELECT doc_id, quality, toxic FROM fresh""",
     "upsert_cols": f"""WITH {_RELABELLED}
-SELECT l.doc_id, CASE WHEN f.doc_id IS NOT NULL THEN f.quality ELSE l.quality END AS quality, l.toxic
+SELECT l.doc_id, CASE WHEN f.doc_id IS NOT NULL THEN f.quality ELSE l.quality END AS quality, l.toxic::DOUBLE AS toxic
 FROM labels l LEFT JOIN fresh f ON f.doc_id = l.doc_id
 UNION ALL SELECT doc_id, quality, NULL FROM fresh WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "upsert_orders": """WITH r AS (SELECT l_orderkey, count(*)::VARCHAR AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)

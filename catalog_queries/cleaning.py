@@ -94,7 +94,7 @@ def safe_cast(spark, sf):
     return table(spark, sf, "events").select(
         "event_id",
         text.to_int(F.regexp_extract("props", r'"k": ([^}]*)', 1)).alias("k"),
-        text.to_int("event_type").alias("no_number"),
+        text.to_int("event_type").cast("double").alias("no_number"),
         text.to_key(F.concat(F.col("user_id").cast("string"), F.lit(""))).alias("key"),
         text.to_decimal(F.regexp_extract("props", r"([0-9]+)", 1)).cast("double").alias("amount"),
     )
@@ -217,7 +217,7 @@ SELECT doc_id, CAST(len(l) AS INT) AS lines, l[1] AS first_line FROM t""",
   CASE WHEN p_name ILIKE '%red%' THEN 'warm' WHEN p_name ILIKE '%blue%' THEN 'cold' END AS by_content
 FROM part""",
     "safe_cast": """SELECT event_id, TRY_CAST(replace(regexp_extract(props, '"k": ([^}]*)', 1), ',', '') AS INT) AS k,
-  TRY_CAST(event_type AS INT) AS no_number, TRY_CAST(user_id::VARCHAR AS BIGINT) AS key,
+  TRY_CAST(event_type AS INT)::DOUBLE AS no_number, TRY_CAST(user_id::VARCHAR AS BIGINT) AS key,
   TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS DECIMAL(10,2))::DOUBLE AS amount FROM events""",
     "missing_default": """SELECT d.doc_id, coalesce(nullif(quality::VARCHAR, ''), '—') AS quality
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE text IS NOT NULL AND text <> ''""",

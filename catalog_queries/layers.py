@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from catalog_engine import runtime
 from catalog_engine import schema as schemas
 from catalog_engine.functions import sql, text
+from catalog_engine.operators import changes
 from catalog_engine.operators.encode import HashingEncoder, encode
 from catalog_engine.operators.extract import stringify
 from catalog_engine.plans import clean as cleaning
@@ -119,7 +120,7 @@ def ingest_raw(spark, sf):
 
 def ingest_clean(spark, sf):
     clean = _ingested(spark, sf).layers.clean
-    return clean.withColumn("rating", F.col("rating").cast("double"))
+    return clean.withColumns({c: F.col(c).cast("double") for c in ("rating", "rating_count")})
 
 
 def ingest_embeddings(spark, sf):
@@ -155,7 +156,7 @@ def stored_jobs(spark, sf):
 def find_and_recommend(spark, sf):
     """From a typed name to the items most like its best hit."""
     layers = _layers(spark, sf)
-    items = layers.clean.withColumn("id", text.to_key("id"))
+    items = changes.rows_in(layers.clean.withColumn("id", text.to_key("id")), layers.embeddings, "id")
     found = recommending.find_and_recommend(items, layers.embeddings, "Rod Hot", 10, columns=["name", "brand", "accords"])
     return found.withColumn("similarity", F.round("similarity", 6))
 
@@ -225,7 +226,8 @@ SQL = {
     "stored_jobs": f"WITH {_LAYERS}, " + _vectors("SELECT id::BIGINT AS id, perfume_string FROM fresh"),
     "find_and_recommend": f"""WITH RECURSIVE {_LAYERS},
 {scores_sql("SELECT DISTINCT name AS n, 'rod hot' AS t FROM clean")},
-chosen AS (SELECT id::BIGINT AS id FROM clean JOIN scores ON n = name WHERE score > 70
+chosen AS (SELECT id::BIGINT AS id FROM clean JOIN scores ON n = name
+  WHERE score > 70 AND id::BIGINT IN (SELECT id FROM stored)
   ORDER BY score DESC, release_year DESC NULLS LAST, id::BIGINT LIMIT 1),
 {hash_vectors_sql("stored", "id", "perfume_string", DIMS)},
 vecs AS (SELECT key, list(value::DOUBLE ORDER BY bucket) AS v FROM hashed GROUP BY key),
@@ -247,9 +249,9 @@ old AS (SELECT url, name, gender, rating::VARCHAR AS rating, rating_count::VARCH
   accords AS main_accords, perfumers, description FROM items)
 SELECT * FROM old WHERE url NOT IN (SELECT url FROM incoming) UNION ALL SELECT * FROM incoming""",
     "ingest_clean": f"""WITH {_LAYERS}
-SELECT {", ".join("f." + c for c in _KEPT.split(", "))}, c.rating_count, c.rating::DOUBLE AS rating, f.description, f.url,
+SELECT {", ".join("f." + c for c in _KEPT.split(", "))}, c.rating_count::DOUBLE AS rating_count, c.rating::DOUBLE AS rating, f.description, f.url,
   f.perfume_string FROM fresh f LEFT JOIN clean c ON c.id = f.id
-UNION ALL SELECT {_KEPT}, rating_count, rating::DOUBLE, description, url, perfume_string
+UNION ALL SELECT {_KEPT}, rating_count::DOUBLE, rating::DOUBLE, description, url, perfume_string
 FROM clean WHERE id NOT IN (SELECT id FROM fresh)""",
     "ingest_embeddings": f"WITH {_LAYERS}, " + _vectors(_AFTER),
     "remove_items": f"""WITH {_LAYERS},

@@ -53,7 +53,8 @@ def publish_append(spark, sf):
     store.publish(known.drop("toxic").withColumns({"origin": F.lit("label"), "lang": F.lit(None).cast("string")}), root)
     known = store.read_current(spark, root)
     store.append(docs.join(known, "doc_id", "left_anti").select("doc_id", "lang"), root)
-    return store.read_current(spark, root).select("doc_id", "quality", "toxic", "origin", "lang")
+    numbers = [F.col(c).cast("double").alias(c) for c in ("quality", "toxic")]
+    return store.read_current(spark, root).select("doc_id", *numbers, "origin", "lang")
 
 
 def vocabulary_json(spark, sf):
@@ -76,6 +77,6 @@ FROM nation LEFT JOIN (VALUES (0, 'O''Neil -- "first"'), (1, 'a; DROP'), (2, NUL
   ON region = n_regionkey WHERE n_name <> 'NATION_3'""",
     "csv_roundtrip": "SELECT doc_id, md5(text) AS text_md5, lang FROM documents",
     "clustered_write": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
-    "publish_append": """SELECT doc_id, quality, CAST(NULL AS INT) AS toxic, 'label' AS origin, CAST(NULL AS VARCHAR) AS lang FROM labels
+    "publish_append": """SELECT doc_id, quality::DOUBLE AS quality, CAST(NULL AS DOUBLE) AS toxic, 'label' AS origin, CAST(NULL AS VARCHAR) AS lang FROM labels
 UNION ALL SELECT doc_id, NULL, NULL, NULL, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
 }

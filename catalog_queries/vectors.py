@@ -45,7 +45,8 @@ def recommend_join(spark, sf):
 def recommend_left(spark, sf):
     items = table(spark, sf, "labels").withColumnRenamed("doc_id", "vec_id")
     out = rec.recommend(items, _embeddings(spark, sf), TARGET, 10, "vec_id", "embedding", how="left")
-    return out.select("vec_id", F.round("similarity", 6).alias("similarity"), "quality", "toxic")
+    numbers = [F.col(c).cast("double").alias(c) for c in ("quality", "toxic")]
+    return out.select("vec_id", F.round("similarity", 6).alias("similarity"), *numbers)
 
 
 def recommend_batch(spark, sf):
@@ -133,7 +134,7 @@ SQL = {
     "recommend_join": f"""WITH {_top(5)}
 SELECT vec_id, round(sim, 6) AS similarity, label FROM top JOIN embeddings USING (vec_id)""",
     "recommend_left": f"""WITH {_top(10)}
-SELECT vec_id, round(sim, 6) AS similarity, quality, toxic FROM top LEFT JOIN labels ON doc_id = vec_id""",
+SELECT vec_id, round(sim, 6) AS similarity, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic FROM top LEFT JOIN labels ON doc_id = vec_id""",
     "recommend_batch": f"WITH {_batch('max', 3)} SELECT ranked.*, label FROM ranked JOIN embeddings USING (vec_id)",
     "vector_norms": """SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm,
   CAST(len(embedding) AS INT) AS dims FROM embeddings""",
