@@ -55,20 +55,22 @@ def prepare(incoming: DataFrame, layers: Layers) -> Batch:
     held until now.
     """
     records = runtime.checkpointed(stringify(incoming, schemas.RAW.names))
+    records = runtime.broadcast_if_small(records)
     extracted = clean_items(records).select(*UPSERTED)
     # Two addresses can carry one id; the last address stands for it.
     extracted = dedupe_best(extracted.filter(F.col("id").isNotNull()), ["id"], [F.desc("url")])
     stored = layers.embeddings.select(F.col("id").cast("string").alias("id"), "perfume_string")
     status = changes.classify_changes(extracted, layers.clean, stored, "id", "perfume_string")
-    return Batch(records, runtime.checkpointed(status))
+    return Batch(records, runtime.broadcast_if_small(runtime.checkpointed(status)))
 
 
 def vectors(status: DataFrame, encoder: Callable[[], Model]) -> DataFrame:
-    """Vectors of the rows whose status asks for one."""
+    """Vectors of the rows whose status asks for one, written down: the encoder runs once."""
     flagged = status.filter(F.col("needs_embedding")).select(
         text.to_key("id").alias("id"), "perfume_string"
     )
-    return encode(changes.rows_with_text(flagged, "id", "perfume_string"), "perfume_string", encoder)
+    ready = changes.rows_with_text(flagged, "id", "perfume_string")
+    return runtime.broadcast_if_small(runtime.checkpointed(encode(ready, "perfume_string", encoder)))
 
 
 def ingest(incoming: DataFrame, layers: Layers, encoder: Callable[[], Model]) -> Ingested:

@@ -45,6 +45,7 @@ def merge_into(
     """Merge ``source`` into the table at ``root``, whose present state is ``target``.
 
     While no key is stored yet, the rows are appended and nothing is rewritten.
+    ``source`` should be written down already; it is read several times.
     """
     if listed(target.select(key), source, key).isEmpty():
         tables.append(insert_rows(target, source, key, insert_cols), root)
@@ -67,7 +68,7 @@ def run_embed(spark: SparkSession, store: Store, encoder: Callable[[], Model], m
     if mode == "new":
         return tables.append(fresh, store.embeddings)
     # Written down first, so that the encoder runs once.
-    fresh = runtime.checkpointed(fresh)
+    fresh = runtime.broadcast_if_small(runtime.checkpointed(fresh))
     rows = fresh.count()
     if rows:
         columns = ["perfume_string", "embedding"]
@@ -82,7 +83,7 @@ def run_ingest(spark: SparkSession, store: Store, incoming: DataFrame, encoder:
     merge_into(store.raw, layers.raw, batch.records, "url")
     updated = [c for c in ingesting.UPSERTED if c != "id"]
     merge_into(store.clean, layers.clean, batch.status, "id", updated, ingesting.UPSERTED)
-    vectors = runtime.checkpointed(ingesting.vectors(batch.status, encoder))
+    vectors = ingesting.vectors(batch.status, encoder)
     if not vectors.isEmpty():
         columns = ["perfume_string", "embedding"]
         merge_into(store.embeddings, layers.embeddings, vectors, "id", columns, ["id", *columns])
@@ -91,6 +92,7 @@ def run_ingest(spark: SparkSession, store: Store, incoming: DataFrame, encoder:
 
 def run_remove(spark: SparkSession, store: Store, keys: DataFrame) -> None:
     """Delete the listed items (id, url) from all tables (M3)."""
+    keys = runtime.broadcast_if_small(runtime.checkpointed(keys.select("id", "url").distinct()))
     left = ingesting.remove(keys, store.read(spark))
     tables.publish(left.embeddings, store.embeddings)
     tables.publish(left.clean, store.clean)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Largest table the driver will hand to every task, in bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -37,3 +38,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, so that a lost executor re-reads the same rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast when its measured size allows, else as it is.
+
+    Meant for a batch that is written down already: Spark's own estimate of
+    one that came out of joins is far too high, and a small batch would make
+    it shuffle the whole table it meets.
+    """
+    row_bytes = F.octet_length(F.to_json(F.struct(*df.columns)))
+    size = df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df

@@ -117,6 +117,27 @@ def test_target_is_not_shuffled_for_a_small_source(spark, tmp_path):
     assert got.filter("a = 'x'").count() == 10
 
 
+def test_a_small_batch_of_joins_does_not_shuffle_the_table(spark, tmp_path):
+    spark.range(1000).select("id", F.lit("a").alias("a"), F.lit("b").alias("b")).write.parquet(str(tmp_path / "t"))
+    target = spark.read.parquet(str(tmp_path / "t"))
+    batch = target.join(target.select("id"), "id").filter("id < 5").select("id", F.lit("x").alias("a"))
+    batch = runtime.checkpointed(batch)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def plan(source):
+            df = upsert(target, source, "id", update_cols=["a"], null_keys=False)
+            assert df.filter("a = 'x'").count() == 5 and df.count() == 1000
+            return df._jdf.queryExecution().executedPlan().toString()
+
+        sized = plan(runtime.broadcast_if_small(batch))
+        assert "BroadcastHashJoin" in sized and "LeftOuter, BuildRight" in sized
+        assert "SortMergeJoin" in plan(runtime.broadcast_if_small(batch, max_bytes=10))
+        assert "LeftOuter, BuildRight" not in plan(batch)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_hot_key_is_split(spark, tmp_path):
     hot = spark.range(200_000).select(
         F.when(F.col("id") < 70_000, -1).otherwise(F.col("id")).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v")
