@@ -9,6 +9,7 @@ column expressions.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -25,6 +26,7 @@ VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 HIDDEN = frozenset(("script", "style", "template"))
+_NO_ATTRS: dict[str, str] = {}
 
 
 @dataclass(frozen=True)
@@ -80,6 +82,7 @@ class _Page(HTMLParser):
         self.text_from: list[int] = [0]
         self.text_to: list[int] = [0]
         self.texts: list[str] = []
+        self.with_tag: dict[str, list[int]] = {}
         self.open = [0]
         self.feed(html)
         self.close()
@@ -89,7 +92,8 @@ class _Page(HTMLParser):
     def handle_starttag(self, tag, attrs):
         node = len(self.tags)
         self.tags.append(tag)
-        self.attrs.append({k: v or "" for k, v in reversed(attrs)})
+        self.with_tag.setdefault(tag, []).append(node)
+        self.attrs.append({k: v or "" for k, v in reversed(attrs)} if attrs else _NO_ATTRS)
         self.parent.append(self.open[-1])
         self.end.append(0)
         self.text_from.append(len(self.texts))
@@ -113,6 +117,16 @@ class _Page(HTMLParser):
         if self.tags[self.open[-1]] not in HIDDEN:
             self.texts.append(data)
 
+    def unknown_decl(self, data):
+        if data.startswith("CDATA["):
+            self.handle_data(data[len("CDATA["):])
+
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # "<![" and no such section: a comment, by the HTML standard
+            return self.parse_bogus_comment(i)
+
     def _close_down_to(self, depth: int):
         while len(self.open) > depth + 1:
             self._seal(self.open.pop())
@@ -127,8 +141,6 @@ class _Page(HTMLParser):
         return self.texts[self.text_from[node] : self.text_to[node]]
 
     def _matches(self, node: int, step: Find) -> bool:
-        if step.tag is not None and self.tags[node] != step.tag:
-            return False
         for name, want in step.attrs.items():
             have = self.attrs[node].get(name)
             if have is None:
@@ -143,10 +155,17 @@ class _Page(HTMLParser):
             return len(own) == 1 and step.heading.lower() in own[0].lower()
         return True
 
+    def _below(self, node: int, tag: str | None) -> Sequence[int]:
+        """Elements inside ``node``, in page order."""
+        if tag is None:
+            return range(node + 1, self.end[node])
+        found = self.with_tag.get(tag, [])
+        return found[bisect_right(found, node) : bisect_left(found, self.end[node])]
+
     def _walk(self, nodes: Iterator[int], step) -> Iterator[int]:
         for node in nodes:
             if isinstance(step, Find):
-                for below in range(node + 1, self.end[node]):
+                for below in self._below(node, step.tag):
                     if self._matches(below, step):
                         yield below
             elif isinstance(step, NextSibling):
@@ -157,8 +176,7 @@ class _Page(HTMLParser):
                         break
                     after = self.end[after]
             else:
-                inside = (b for b in range(node + 1, self.end[node]) if self.tags[b] == step.tag)
-                yield next(inside, node)
+                yield next(iter(self._below(node, step.tag)), node)
 
     def take(self, rule: HtmlRule):
         nodes: Iterator[int] = iter([0])

@@ -6,7 +6,6 @@ import sys
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from catalog_engine import schema
 from catalog_engine.functions import text

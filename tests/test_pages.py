@@ -86,6 +86,28 @@ def test_unclosed_and_stray_tags(spark):
     assert got == {"id": 1, "first": "one|two", "all": ["one|two", "two", "three|four"], "none": None}
 
 
+def test_malformed_sections_do_not_stop_the_job(spark):
+    page = "<p>a</p><![foo]><p>b<![CDATA[ & c]]></p><![><p>d</p><![if x]><p>e</p><!"
+    got = fields(spark, page, html.HtmlRule("all", (html.Find("p"),), many=True))
+    assert got == {"id": 1, "all": ["a", "b& c", "d", "e"]}
+
+
+def test_any_text_parses():
+    import random
+
+    parts = (
+        "< > ! [ ] -- <! <![ <![CDATA[ ]]> <? ?> <p </p> <a|href= \" ' x & &# &#x110000; &#xD800; script> <script> "
+        "</script <b/> <!DOCTYPE if é <textarea> <title> = /"
+    ).split(" ")
+    rng = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts).replace("|", " ") for _ in range(rng.randint(1, 14)))
+        page = html._Page(text)
+        for rule in html.ITEM_PAGE:
+            page.take(rule)
+        "".join(page.texts).encode()
+
+
 def test_attributes_patterns_and_siblings(spark):
     page = '<ul><li data-x="7">a</li><li data-x>b</li></ul><p>t</p><ol>c</ol><ol>d</ol>'
     got = fields(
