@@ -42,8 +42,10 @@ def score_blocks(
 ) -> DataFrame:
     """Rows of ``kernel(right block)`` fed with blocks of ``left``.
 
-    ``left_bytes`` and ``right_bytes`` estimate one row's size.
+    ``left_bytes`` and ``right_bytes`` estimate one row's size.  The requests
+    are written down first, so that finding them is done once.
     """
+    right = runtime.checkpointed(right)
     total = right.agg(F.coalesce(F.sum(right_bytes), F.lit(0))).first()[0]
     if total <= max_bytes:
         return score_with(left, right.toArrow(), kernel, schema)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine import rules
+from catalog_engine import rules, runtime
 from catalog_engine.operators import similar
 from catalog_engine.operators.keys import listed
 from catalog_engine.operators.search import search
@@ -68,8 +68,12 @@ def recommend_batch(
     columns: Sequence[str] | None = None,
     how: str = "inner",
 ) -> DataFrame:
-    """The same for every row of ``targets`` (a table of keys)."""
-    vectors = listed(embeddings, targets, key)
-    top = similar.top_n_batch(embeddings, vectors, key, vec, n)
+    """The same for every row of ``targets`` (a table of keys).
+
+    The neighbours are written down before their attributes are joined: a list
+    that turns out small then meets the items without shuffling them.
+    """
+    vectors = listed(embeddings, runtime.broadcast_if_small(targets.select(key)), key)
+    top = runtime.checkpointed(similar.top_n_batch(embeddings, vectors, key, vec, n))
     wanted = items.select(key, *(columns or [c for c in items.columns if c != key]))
-    return similar.attach(top, wanted, key, how)
+    return similar.attach(runtime.broadcast_if_small(top), wanted, key, how)
