@@ -25,16 +25,24 @@ def new_rows(items: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return unlisted(items, stored, key)
 
 
+DIGEST = "_digest"
+
+
+def with_digest(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` plus the text's SHA-256, which stands for the text in joins."""
+    return df.withColumn(DIGEST, F.unhex(F.sha2(F.col(text_col), 256)))
+
+
 def stale_rows(items: DataFrame, stored: DataFrame, key: str, text_col: str) -> DataFrame:
     """Rows with no stored copy of their present text: new ones and changed ones.
 
-    One anti-join on the key and the text's SHA-256, so that of ``stored``
-    only short digests are shuffled and vectors are never read.  A stored NULL
-    text counts as changed.
+    One anti-join on the key and the text's digest, so that of ``stored`` only
+    short rows are shuffled and vectors are never read.  A stored NULL text
+    counts as changed.
     """
-    digest = F.unhex(F.sha2(F.col(text_col), 256)).alias("_digest")
-    present = items.filter(F.col(text_col).isNotNull()).select("*", digest)
-    return unlisted(present, stored.select(key, digest), key, "_digest").select(*items.columns)
+    present = with_digest(items.filter(F.col(text_col).isNotNull()), text_col)
+    known = with_digest(stored.select(key, text_col), text_col)
+    return unlisted(present, known, key, DIGEST).select(*items.columns)
 
 
 def existing_state(incoming: DataFrame, clean: DataFrame, stored: DataFrame, key: str, text_col: str) -> DataFrame:

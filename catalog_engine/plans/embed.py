@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalog_engine import runtime
 from catalog_engine.functions import text
 from catalog_engine.operators import changes
 from catalog_engine.operators.encode import Model, encode
+from catalog_engine.operators.keys import listed
 from catalog_engine.operators.upsert import upsert
 
 
@@ -28,13 +30,23 @@ def rows_to_embed(items: DataFrame, stored: DataFrame, mode: str, key: str = "id
 
     ``mode="new"``: the key is not stored.  ``mode="changed"``: also keys
     whose stored text differs.  Decided before the encoder runs.
+
+    What to encode is found from keys and digests alone and written down; a
+    short list then fetches its texts without shuffling the item table.
     """
     ready = changes.rows_with_text(with_long_key(items, key, text_col), key, text_col)
     if mode == "new":
-        return changes.new_rows(ready, stored, key)
-    if mode == "changed":
-        return changes.stale_rows(ready, stored, key, text_col)
-    raise ValueError(f"mode must be 'new' or 'changed', not {mode!r}")
+        on, found = [key], changes.new_rows(ready, stored, key)
+    elif mode == "changed":
+        on = [key, changes.DIGEST]
+        ready = changes.with_digest(ready, text_col)
+        found = changes.stale_rows(ready, stored, key, text_col)
+    else:
+        raise ValueError(f"mode must be 'new' or 'changed', not {mode!r}")
+    short = runtime.checkpointed(found.select(*on))
+    if runtime.is_small(short):
+        found = listed(ready, F.broadcast(short), *on)
+    return found.select(key, text_col)
 
 
 def embed(

@@ -40,6 +40,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows, measured as JSON text, fit ``max_bytes``."""
+    row_bytes = F.octet_length(F.to_json(F.struct(*df.columns)))
+    return (df.agg(F.sum(row_bytes)).first()[0] or 0) <= max_bytes
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast when its measured size allows, else as it is.
 
@@ -47,6 +53,4 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     one that came out of joins is far too high, and a small batch would make
     it shuffle the whole table it meets.
     """
-    row_bytes = F.octet_length(F.to_json(F.struct(*df.columns)))
-    size = df.agg(F.sum(row_bytes)).first()[0] or 0
-    return F.broadcast(df) if size <= max_bytes else df
+    return F.broadcast(df) if is_small(df, max_bytes) else df

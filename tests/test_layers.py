@@ -9,6 +9,7 @@ import pytest
 
 from catalog_engine import schema
 from catalog_engine.functions import text
+from catalog_engine.operators import changes
 from catalog_engine.operators.encode import HashingEncoder, encode
 from catalog_engine.plans import embed as E
 from catalog_engine.plans.clean import clean_items
@@ -91,8 +92,13 @@ def test_only_rows_to_embed_reach_the_encoder(spark, items, stored, tmp_path):
     stored.write.parquet(str(tmp_path / "stored"))
     on_disk = spark.read.parquet(str(tmp_path / "stored"))
     plan = E.new_embeddings(items, on_disk, ENCODER)._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("ArrowEvalPython") < plan.index("LeftAnti")  # printed top down
-    assert "ReadSchema: struct<id:bigint>" in plan  # vectors are not read
+    assert plan.index("ArrowEvalPython") < plan.index("LeftSemi")  # printed top down
+    assert "BuildRight" in plan  # the short list is broadcast
+
+    ready = E.with_long_key(items, "id", "perfume_string")
+    found = changes.stale_rows(ready, on_disk, "id", "perfume_string").select("id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,perfume_string:string>" in plan  # vectors are not read
 
 
 def test_unknown_mode(items, stored):
