@@ -9,7 +9,7 @@ not centred, so that codes follow angles, which the threshold is about.
 With b bits a table and the chance p = angle / pi that a bit differs, a pair meets
 in a table with chance (1 - p)**b; the number of tables is what brings a pair
 at the threshold to ``FOUND``.  The bits grow with the logarithm of the number of
-vectors, so that buckets stay small.  Closer pairs are missed far less often.
+vectors, so that a bucket of unrelated vectors holds some dozens.  Closer pairs are missed far less often.
 
 Pairs never leave a block: it counts each vector's links and reports who is connected.
 A pair that meets in several tables counts in the first.
@@ -51,7 +51,7 @@ def rotation(x: np.ndarray, seed: int, iterations: int = ITERATIONS) -> np.ndarr
 
 def plan(n: int, threshold: float = THRESHOLD, found: float = FOUND) -> tuple[int, int]:
     """Bits of a table, and tables, for ``n`` vectors."""
-    bits = min(28, max(6, round(math.log2(max(2, n))) - 3))
+    bits = min(28, max(6, round(math.log2(max(2, n))) - 6))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - found) / math.log(1 - meet))
 
@@ -97,7 +97,7 @@ def _compare(group: pa.Table, threshold: float, dtype) -> tuple[np.ndarray, np.n
     side, ids, copies = (group.column(i).to_numpy() for i in (5, 6, 7))
     order = np.argsort(ids, kind="stable")
     side, ids, copies = side[order], ids[order], copies[order]
-    codes = np.array(group.column(8).to_pylist(), np.int64)[order]
+    codes = group.column(8).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
     x = np.frombuffer(b"".join(group.column(9).to_pylist()), dtype).reshape(len(ids), -1)[order].astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     found_a, found_b = [], []
