@@ -10,7 +10,7 @@ Codebooks are fitted on a sample of at most ``SAMPLE`` vectors, and so is how ma
 enough: the share of the sample that a query must visit for ``RECALL`` of its true
 neighbours there.  A share that suits a sample suits the whole, where
 neighbours are nearer.  All vectors are indexed.  Cells of many vectors are split
-over tasks; queries stream past them.
+over tasks; queries stream past them, and a task merges what its cells answer.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ CELL = 100
 MOST_CENTROIDS = 256
 #: Vectors of a cell that one task holds.
 BLOCK = 4096
+#: Answers a task holds before it merges them by query.
+HELD_ANSWERS = 1 << 18
 SEED = 5
 
 
@@ -209,11 +211,11 @@ def nearest(
 
     def rank(batches):
         at, ids, block = None, [], []
+        answers, held = [], 0
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
             row_ids, packed = batch.column(4).to_numpy(), batch.column(5)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            answers = []
             for start, end in zip([0, *cuts], [*cuts, len(keys)]):
                 if not end:
                     continue
@@ -225,18 +227,18 @@ def nearest(
                     ids, block = np.concatenate([ids, row_ids[start:end]]), np.concatenate([block, x])
                     continue
                 for query, q in zip(row_ids[start:end], x):
-                    gap = np.sqrt(((block - q) ** 2).sum(axis=1))
-                    answers.append((query, *best(gap, ids, query, top)))
-            if answers:
-                sizes_of = [len(a[1]) for a in answers]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([a[0] for a in answers], sizes_of), pa.int64()),
-                        pa.array(np.concatenate([a[1] for a in answers]), pa.int64()),
-                        pa.array(np.concatenate([a[2] for a in answers]), pa.float64()),
-                    ],
-                    schema=found_out,
-                )
+                    found, gaps = best(np.sqrt(((block - q) ** 2).sum(axis=1)), ids, query, top)
+                    answers.append((np.full(len(found), query), found, gaps))
+                    held += len(found)
+            if held >= HELD_ANSWERS:
+                merged = merge(answers, top)
+                held = len(merged[0])
+                answers = [merged]
+                if held >= HELD_ANSWERS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged], schema=found_out)
+                    answers, held = [], 0
+        if answers:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merge(answers, top)], schema=found_out)
 
     found = met.mapInArrow(rank, found_schema)
     first = Window.partitionBy("query_id").orderBy("score", "id")
@@ -248,6 +250,20 @@ def nearest(
     )
 
 
+def merge(answers: list[tuple[np.ndarray, np.ndarray, np.ndarray]], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Answers of several blocks (query, id, distance): the ``top`` of each query, each id once."""
+    query, ids, gap = (np.concatenate(c) for c in zip(*answers))
+    order = np.lexsort((gap, ids, query))
+    query, ids, gap = query[order], ids[order], gap[order]
+    first = np.ones(len(query), bool)
+    first[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
+    query, ids, gap = query[first], ids[first], gap[first]
+    order = np.lexsort((ids, gap, query))
+    query, ids, gap = query[order], ids[order], gap[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[place < top], ids[place < top], gap[place < top]
+
+
 def _ids_repeat(entries: DataFrame) -> bool:
     return entries.groupBy("id").count().filter("count > 1").limit(1).count() > 0
 
