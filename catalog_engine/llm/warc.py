@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalog_engine import runtime
 from catalog_engine.llm.common import arrow_schema
 
 # Zstandard's magic numbers of skippable frames; the first is the one the .warc.zst format gives dictionaries.
@@ -155,8 +156,9 @@ def with_revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: in
 
     Of rows whose equal payloads have at least ``min_bytes`` bytes, those of the largest id are
     responses (nulls are smallest), the others revisit them.  The
-    table is joined with one row per payload that occurs under two ids or more;
-    Spark's skew handling can split it where one payload is very common.
+    table is joined with one row per payload that occurs under two ids or more,
+    which is written down and sent to every task where its measured size allows;
+    else both sides are shuffled, and Spark's skew handling can split a common payload.
     """
     keyed = pages.withColumn("__sha1", F.sha1(F.col(payload_col)))
     firsts = (
@@ -166,7 +168,7 @@ def with_revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: in
         .filter((F.col("__first") > F.col("__least")) | ((F.col("__ids") > 0) & (F.col("__ids") < F.col("__n"))))
         .select("__sha1", "__first")
     )
-    joined = keyed.join(firsts, "__sha1", "left")
+    joined = keyed.join(runtime.broadcast_if_small(runtime.checkpointed(firsts)), "__sha1", "left")
     revisit = F.col("__first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("__first"))
     return joined.select(
         *pages.columns, F.when(revisit, F.col("__first")).alias("refers_to"), revisit.alias("revisit")
