@@ -151,7 +151,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> np.ndar
 
 def bands(earliest: np.ndarray, count: int = BANDS) -> np.ndarray:
     """A hash for each band of each signature, different for different bands."""
-    rows = earliest.reshape(len(earliest), count, -1)
+    rows = earliest.reshape(len(earliest), count, earliest.shape[1] // count)
     found = np.repeat(mixed(np.arange(1, count + 1, dtype=np.uint64) * STEP)[None], len(earliest), axis=0)
     for i in range(rows.shape[2]):
         found = mixed(found * np.uint64(0x100000001B3) + rows[:, :, i])

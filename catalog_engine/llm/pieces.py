@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from catalog_engine.llm.common import SLICE_BYTES, arrow_schema, default_tokenizer, slices
 
@@ -203,7 +204,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model_
     """
     names = [c for c in df.columns if c != out_col]
     rest = df.select(*names)
-    schema = rest.schema.add(out_col, "string")
+    schema = StructType([*rest.schema.fields, StructField(out_col, StringType())])
     out = to_arrow_schema(schema)
     at = names.index(ids_col)
 
