@@ -24,7 +24,8 @@ def top_n_similar(df: DataFrame, key: str, vec: str, target, n: int) -> DataFram
     when the target has no vector.
     """
     vecs = df.select(F.col(key), F.col(vec).alias("_vec")).filter(F.col("_vec").isNotNull())
-    one = vecs.filter(F.col(key) == F.lit(target)).limit(1).withColumnRenamed(key, "target").toArrow()
+    # Of copies that differ the smallest vector asks.
+    one = vecs.filter(F.col(key) == F.lit(target)).orderBy("_vec").limit(1).withColumnRenamed(key, "target").toArrow()
     if not one.num_rows:
         raise ValueError(f"{key} {target!r} has no vector")
     scored = pairing.score_with(
@@ -53,6 +54,8 @@ def top_n_batch(
 
     ``targets`` holds a key and a vector column.  Each task keeps a running
     top-N per target, so what is shuffled is targets x tasks x N small rows.
+    A target listed more than once counts once, with the smallest of its
+    vectors.  Vectors of different sizes have NULL similarity, whatever else is listed.
     """
     target_key = target_key or key
     items = items.select(F.col(key), F.col(vec).alias("_vec")).filter(
@@ -61,6 +64,7 @@ def top_n_batch(
     targets = targets.select(F.col(target_key).alias("target"), F.col(vec).alias("_vec")).filter(
         F.col("_vec").isNotNull()
     )
+    targets = targets.groupBy("target").agg(F.min("_vec").alias("_vec"))
     row_bytes = F.size("_vec") * 8 + 64
     scored = pairing.score_blocks(
         items,
@@ -99,9 +103,15 @@ class _Nearest:
         self.key, self.n = key, n
         self.target_type = targets.schema.field("target").type
         self.ids = targets.column("target").to_pandas()
-        self.matrix, _ = _unit_rows(targets.column("_vec"))
-        # One id may be listed twice; each is a target of its own right.
-        self.by_id = pd.Series(np.arange(len(self.ids)), index=self.ids)
+        vecs = targets.column("_vec")
+        sizes = vecs.combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        #: For each vector size the targets that have it, and their unit rows.
+        self.by_size = [
+            (int(size), at, _unit_rows(vecs.take(pa.array(at)), int(size)))
+            for size in np.unique(sizes)
+            for at in [np.flatnonzero(sizes == size)]
+        ]
+        self.places = pd.Index(self.ids)
         self.best: pd.DataFrame | None = None
         self.key_type = pa.null()
 
@@ -110,22 +120,25 @@ class _Nearest:
         if not block.num_rows or not len(self.ids):
             return
         keys = block.column(self.key).to_pandas().to_numpy()
-        rows, dim = _unit_rows(block.column("_vec"), self.matrix.shape[1])
-        own = self.by_id[self.by_id.index.isin(keys)]
-        step = max(1, (1 << 22) // len(keys))
+        # The target that an item is itself, -1 for none.
+        own = self.places.get_indexer(keys)
         found = [self.best] if self.best is not None else []
-        for start in range(0, len(self.ids), step):
-            sims = np.round(self.matrix[start : start + step] @ rows.T, DECIMALS)
-            sims[np.isnan(sims)] = -2.0  # no direction: after every real similarity
-            for own_id, t in own.items():
-                if start <= t < start + len(sims):
-                    sims[t - start, keys == own_id] = -np.inf
-            if sims.shape[1] > self.n:
-                floor = np.partition(sims, -self.n, axis=1)[:, -self.n][:, None]
-            else:
-                floor = np.full((len(sims), 1), -2.0)
-            t, i = np.nonzero((sims >= floor) & (sims > -np.inf))
-            found.append(pd.DataFrame({"t": t + start, "key": keys[i], "similarity": sims[t, i]}))
+        for size, at, matrix in self.by_size:
+            rows = _unit_rows(block.column("_vec"), size)
+            step = max(1, (1 << 22) // len(keys))
+            for start in range(0, len(at), step):
+                asked = at[start : start + step]
+                sims = np.round(matrix[start : start + step] @ rows.T, DECIMALS)
+                sims[np.isnan(sims)] = -2.0  # no direction or another size: after every real similarity
+                itself = np.searchsorted(asked, own)
+                here = np.flatnonzero((own >= 0) & (itself < len(asked)) & (asked[np.minimum(itself, len(asked) - 1)] == own))
+                sims[itself[here], here] = -np.inf
+                if sims.shape[1] > self.n:
+                    floor = np.partition(sims, -self.n, axis=1)[:, -self.n][:, None]
+                else:
+                    floor = np.full((len(sims), 1), -2.0)
+                t, i = np.nonzero((sims >= floor) & (sims > -np.inf))
+                found.append(pd.DataFrame({"t": asked[t], "key": keys[i], "similarity": sims[t, i]}))
         ranked = pd.concat(found).sort_values(["t", "similarity", "key"], ascending=[True, False, True])
         self.best = ranked.groupby("t").head(self.n)
 
@@ -141,12 +154,10 @@ class _Nearest:
         )
 
 
-def _unit_rows(vecs: pa.ChunkedArray, dim: int | None = None) -> tuple[np.ndarray, int]:
+def _unit_rows(vecs: pa.ChunkedArray, dim: int) -> np.ndarray:
     """Vectors as a matrix of unit rows; NaN where a row has no direction or another size."""
     arr = vecs.combine_chunks()
     sizes = arr.value_lengths().to_numpy(zero_copy_only=False)
-    if dim is None:
-        dim = int(np.bincount(sizes).argmax()) if len(sizes) else 0
     fits = sizes == dim
     out = np.full((len(sizes), dim), np.nan)
     if fits.all():
@@ -154,4 +165,4 @@ def _unit_rows(vecs: pa.ChunkedArray, dim: int | None = None) -> tuple[np.ndarra
     elif fits.any():
         out[fits] = arr.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return out / np.linalg.norm(out, axis=1, keepdims=True), dim
+        return out / np.linalg.norm(out, axis=1, keepdims=True)

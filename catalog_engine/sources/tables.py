@@ -37,8 +37,9 @@ def read_raw_csv(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV export with a header, one file per partition."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV export with a header, one file per partition; white space around values stays."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, escape='"', **kept).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -62,25 +63,33 @@ def preview(df: DataFrame, n: int = 10) -> DataFrame:
 # -- versioned tables --------------------------------------------------------
 
 
+MARKER = "_SUCCESS"
+
+
 def _fs(spark: SparkSession, root: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Finished versions, oldest first."""
+def _versions(spark: SparkSession, root: str, finished: bool = True) -> list[int]:
+    """Finished versions, or all that were begun, oldest first."""
     fs, path = _fs(spark, root)
     if not fs.exists(path):
         return []
     found = []
     for status in fs.listStatus(path):
         m = re.fullmatch(r"version=(\d+)", status.getPath().getName())
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if m and fs.exists(done):
+        if m and (not finished or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), MARKER))):
             found.append(int(m.group(1)))
     return sorted(found)
 
 
+def _finish(spark: SparkSession, version: str) -> None:
+    """Marks a version as finished, whether or not the committer is set to mark its jobs."""
+    fs, path = _fs(spark, f"{version}/{MARKER}")
+    fs.create(path, True).close()
+
+
 def current_path(spark: SparkSession, root: str) -> str | None:
     versions = _versions(spark, root)
     return f"{root}/version={versions[-1]}" if versions else None
@@ -109,9 +118,10 @@ def publish(df: DataFrame, root: str, keep_columns: bool = True) -> int:
         missing = [f for f in before.fields if f.name not in df.columns]
         df = df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
     counted, seen = quality.observe_rows(df, "rows")
-    # A number that failed before it was finished is simply written over.
-    version = versions[-1] + 1 if versions else 1
-    counted.write.mode("overwrite").parquet(f"{root}/version={version}")
+    # A number that was begun is never used again, finished or not.
+    version = max(_versions(spark, root, finished=False), default=0) + 1
+    counted.write.mode("error").parquet(f"{root}/version={version}")
+    _finish(spark, f"{root}/version={version}")
     return seen.get["rows"]
 
 
@@ -125,6 +135,8 @@ def append(df: DataFrame, root: str) -> int:
     spark = df.sparkSession
     path = current_path(spark, root)
     if path is None:
+        if _versions(spark, root, finished=False):
+            raise RuntimeError(f"{root} has versions, but none is finished")
         return publish(df, root)
     fields = read_current(spark, root).schema.fields
     unknown = set(df.columns) - {f.name for f in fields}

@@ -118,3 +118,20 @@ def test_recommend_batch(spark, four):
     targets = spark.createDataFrame([("a",), ("c",), ("zz",)], "id string")
     got = recommend_batch(items, four, targets, 1).collect()
     assert sorted((r.target, r.id, r["name"]) for r in got) == [("a", "b", "B"), ("c", "a", "A")]
+
+
+def test_sizes_and_copies_do_not_depend_on_blocks(spark):
+    items = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [2.0, 1.0]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 2.0, 1.0]), (5, [1.0, 1.0])],
+        "id long, v array<double>",
+    )
+    targets = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 2.0, 1.0])], "id long, v array<double>")
+
+    def answers(**options):
+        found = similar.top_n_batch(items, targets, "id", "v", 2, **options)
+        return sorted((r.target, r["rank"], r.id, r.similarity) for r in found.collect())
+
+    small = answers()
+    assert small == answers(max_bytes=1)
+    assert [(t, i) for t, _, i, _ in small if t == 1] == [(1, 2), (1, 5)]
+    assert [i for t, r, i, _ in small if r == 1] == [2, 4, 3]

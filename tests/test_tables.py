@@ -294,3 +294,35 @@ def test_read_prunes_columns_and_pushes_the_key(spark, tmp_path):
     df = store.read_table(spark, str(tmp_path / "t"), ["id", "a"]).filter(F.col("id") == 3)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(id,3)" in plan and "ReadSchema: struct<id:bigint,a:int>" in plan
+
+
+def test_append_without_job_markers_keeps_the_table(spark, tmp_path):
+    conf, name = spark._jsc.hadoopConfiguration(), "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    root = str(tmp_path / "unmarked")
+    conf.set(name, "false")
+    try:
+        store.publish(spark.range(3), root)
+        store.append(spark.range(3, 5), root)
+        assert store.read_current(spark, root).count() == 5
+        store.publish(spark.range(1), root)
+        assert store.read_current(spark, root).count() == 1
+    finally:
+        conf.unset(name)
+
+
+def test_unfinished_versions_are_not_replaced(spark, tmp_path):
+    root = str(tmp_path / "begun")
+    spark.range(4).write.parquet(f"{root}/version=1")
+    (tmp_path / "begun" / "version=1" / "_SUCCESS").unlink()
+    with pytest.raises(RuntimeError):
+        store.append(spark.range(2), root)
+    store.publish(spark.range(2), root)
+    assert spark.read.parquet(f"{root}/version=1").count() == 4 and store.read_current(spark, root).count() == 2
+
+
+def test_csv_keeps_outer_white_space(spark, tmp_path):
+    rows = [("  lead and trail  ",), ("\ttab",), ('q"uote ',), ("a\r\nb ",)]
+    path = str(tmp_path / "csv")
+    df = spark.createDataFrame(rows, "text string")
+    store.write_csv(df, path)
+    assert sorted(r.text for r in store.read_raw_csv(spark, path, df.schema).collect()) == sorted(r[0] for r in rows)
