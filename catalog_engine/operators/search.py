@@ -15,6 +15,9 @@ from catalog_engine.functions import fuzzy, text
 from catalog_engine.operators import pairing
 
 
+OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
 def search(
     items: DataFrame,
     term: str,
@@ -65,11 +68,13 @@ def search_terms(
     """
     carried = list(dict.fromkeys([key, *tie_cols, *columns]))
     names = items.select(*carried, text.normalize_aliases(name, aliases).alias("_norm"))
+    # White space of every kind, as a single term loses it.
+    trimmed = F.regexp_replace("term", OUTER_SPACE, "")
     wanted = (
         terms.select(F.col(term).alias("term"))
-        .filter(F.trim("term") != "")
+        .filter(trimmed != "")
         .distinct()
-        .select("term", text.normalize_aliases(F.trim("term"), aliases).alias("_norm"))
+        .select("term", text.normalize_aliases(trimmed, aliases).alias("_norm"))
     )
     kinds = dict(items.dtypes)
     scored = pairing.score_blocks(

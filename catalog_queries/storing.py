@@ -26,9 +26,10 @@ def inline_params(spark, sf):
 
 
 def csv_roundtrip(spark, sf):
-    """Whole documents, with their quotes and line breaks, through CSV."""
+    """Whole documents, with their quotes, line breaks and white space at both ends, through CSV."""
     path = runtime.scratch_path(spark, "csv")
-    docs = table(spark, sf, "documents")
+    padded = F.concat(F.lit("  "), "text", F.lit(" \t"))
+    docs = table(spark, sf, "documents").withColumn("text", padded)
     store.write_csv(docs.select("doc_id", "text", "lang"), path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_id", "text", "lang")])
     return store.read_raw_csv(spark, path, schema).select(
@@ -75,7 +76,7 @@ UNION SELECT 'brand', p_brand FROM part""",
     "inline_params": """SELECT n_nationkey, n_name, note, 'it''s "quoted" -- text' AS mark
 FROM nation LEFT JOIN (VALUES (0, 'O''Neil -- "first"'), (1, 'a; DROP'), (2, NULL), (9, 'nowhere')) t(region, note)
   ON region = n_regionkey WHERE n_name <> 'NATION_3'""",
-    "csv_roundtrip": "SELECT doc_id, md5(text) AS text_md5, lang FROM documents",
+    "csv_roundtrip": "SELECT doc_id, md5('  ' || text || ' ' || chr(9)) AS text_md5, lang FROM documents",
     "clustered_write": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
     "publish_append": """SELECT doc_id, quality::DOUBLE AS quality, CAST(NULL AS DOUBLE) AS toxic, 'label' AS origin, CAST(NULL AS VARCHAR) AS lang FROM labels
 UNION ALL SELECT doc_id, NULL, NULL, NULL, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",

@@ -173,3 +173,14 @@ def test_score_is_computed_once(items):  # D17
 def test_null_name_scores_zero(items):
     got = items.select("id", fuzzy.fuzzy_score("name", "zzz").alias("s")).filter(F.col("s") == 0)
     assert 6 in [r.id for r in got.collect()]
+
+
+def test_terms_lose_the_same_white_space_alone_or_in_a_table(spark):
+    from catalog_engine.operators.search import search, search_terms
+
+    items = spark.createDataFrame([(1, "red rod"), (2, "blue  rod"), (3, "rot")], "id long, name string")
+    terms = ["red rod\n", "\t", "\u00a0rot\u2003", "blue  rod ", "", "\x1f"]
+    table = spark.createDataFrame([(t,) for t in terms], "term string")
+    many = {(r.term, r.id, r.score) for r in search_terms(items, table).collect()}
+    one = {(t, r.id, r.score) for t in terms for r in search(items, t, tie_cols=()).collect()}
+    assert many == one and ("red rod\n", 1, 100.0) in many
