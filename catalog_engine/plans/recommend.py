@@ -6,15 +6,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog_engine import rules, runtime
+from catalog_engine.functions import text
 from catalog_engine.operators import similar
 from catalog_engine.operators.keys import listed
 from catalog_engine.operators.search import search
 
+# Up to so many keys go into the scan of the items as literals.
 LITERAL_KEYS = 100
 
 
+def _keyed_like(items: DataFrame, embeddings: DataFrame, key: str) -> DataFrame:
+    """``items`` with keys of the embeddings' type: text keys become numbers, others than numbers are left out."""
+    numbers = isinstance(embeddings.schema[key].dataType, T.IntegralType)
+    if not (numbers and isinstance(items.schema[key].dataType, T.StringType)):
+        return items
+    return items.withColumn(key, text.to_key(key)).filter(F.col(key).isNotNull())
+
+
 def recommend(
     items: DataFrame,
     embeddings: DataFrame,
@@ -27,16 +38,20 @@ def recommend(
 ) -> DataFrame:
     """The ``n`` items nearest to one target, nearest first, with attributes.
 
-    ``how="left"`` keeps neighbours that have no attribute row.
+    ``how="left"`` keeps neighbours that have no attribute row.  The neighbours
+    are written down before their attributes are joined.  Keys that are text
+    among the items and numbers among the embeddings meet as numbers.
     """
-    top = similar.top_n_similar(embeddings, key, vec, target, n)
+    if isinstance(target, str) and isinstance(embeddings.schema[key].dataType, T.IntegralType):
+        if not target.strip().lstrip("+-").isdecimal():
+            raise ValueError(f"{key} {target!r} has no vector")
+        target = int(target)
+    top = runtime.checkpointed(similar.top_n_similar(embeddings, key, vec, target, n))
+    items = _keyed_like(items, embeddings, key)
     wanted = items.select(key, *(columns or [c for c in items.columns if c != key]))
     if n <= LITERAL_KEYS:
-        # A short list: with its keys as literals, the scan of the items can
-        # skip files and row groups that hold none of them.
-        rows = top.collect()
-        top = items.sparkSession.createDataFrame(rows, top.schema)
-        wanted = wanted.filter(F.col(key).isin([r[key] for r in rows]))
+        # With literal keys the scan of the items can skip files and row groups that hold none of them.
+        wanted = wanted.filter(F.col(key).isin([r[key] for r in top.collect()]))
     return similar.attach(top, wanted, key, how).orderBy(F.desc_nulls_last("similarity"), key)
 
 
@@ -73,7 +88,9 @@ def recommend_batch(
     The neighbours are written down before their attributes are joined: a list
     that turns out small then meets the items without shuffling them.
     """
-    vectors = listed(embeddings, runtime.broadcast_if_small(targets.select(key)), key)
+    items, targets = _keyed_like(items, embeddings, key), _keyed_like(targets, embeddings, key)
+    wanted = runtime.checkpointed(targets.select(key))
+    vectors = listed(embeddings, runtime.broadcast_if_small(wanted), key)
     top = runtime.checkpointed(similar.top_n_batch(embeddings, vectors, key, vec, n))
     wanted = items.select(key, *(columns or [c for c in items.columns if c != key]))
     return similar.attach(runtime.broadcast_if_small(top), wanted, key, how)

@@ -135,3 +135,16 @@ def test_sizes_and_copies_do_not_depend_on_blocks(spark):
     assert small == answers(max_bytes=1)
     assert [(t, i) for t, _, i, _ in small if t == 1] == [(1, 2), (1, 5)]
     assert [i for t, r, i, _ in small if r == 1] == [2, 4, 3]
+
+
+@pytest.mark.parametrize("n", [2, 200])
+def test_text_ids_among_items_meet_number_ids_of_embeddings(spark, n):
+    items = spark.createDataFrame([("1", "one"), ("2", "two"), ("ab3", "none"), ("004", "four")], "id string, name string")
+    stored = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.5]), (4, [0.0, 1.0]), (7, [0.0, -1.0])], "id long, embedding array<float>")
+    assert [r.name for r in recommend(items, stored, "1", n).collect()] == ["two", "four"]
+    left = [(r.id, r.name) for r in recommend(items, stored, 1, 3, how="left").collect()]
+    assert (2, "two") in left and (7, None) in left
+    many = recommend_batch(items, stored, spark.createDataFrame([("1",), ("ab3",)], "id string"), n)
+    assert {(r.target, r.name) for r in many.collect()} == {(1, "two"), (1, "four")}
+    with pytest.raises(ValueError):
+        recommend(items, stored, "ab3", n)
