@@ -31,8 +31,8 @@ def rows_to_embed(items: DataFrame, stored: DataFrame, mode: str, key: str = "id
     ``mode="new"``: the key is not stored.  ``mode="changed"``: also keys
     whose stored text differs.  Decided before the encoder runs.
 
-    What to encode is found from keys and digests alone and written down; a
-    short list then fetches its texts without shuffling the item table.
+    What to encode is found once, from keys and digests alone, and written down;
+    the list then fetches its texts, a short one without shuffling the item table.
     """
     ready = changes.rows_with_text(with_long_key(items, key, text_col), key, text_col)
     if mode == "new":
@@ -43,10 +43,8 @@ def rows_to_embed(items: DataFrame, stored: DataFrame, mode: str, key: str = "id
         found = changes.stale_rows(ready, stored, key, text_col)
     else:
         raise ValueError(f"mode must be 'new' or 'changed', not {mode!r}")
-    short = runtime.checkpointed(found.select(*on))
-    if runtime.is_small(short):
-        found = listed(ready, F.broadcast(short), *on)
-    return found.select(key, text_col)
+    wanted = runtime.broadcast_if_small(runtime.checkpointed(found.select(*on)))
+    return listed(ready, wanted, *on).select(key, text_col)
 
 
 def embed(
