@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 # is ASCII only and its (?U) form adds combining marks, so it is spelled out.
 WORD = r"[\p{L}\p{N}_]"
 
+# What stands for a missing value in scraped records.
+MISSING_MARKS = ("None", "N/A")
+
+# What a list text has around its entries and between them.
+LIST_ENDS = r"""^\[?['"]?|['"]?\]?$"""
+LIST_BETWEEN = r"""['"],\s*['"]"""
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -42,13 +49,28 @@ def list_text_to_csv(c: Column | str) -> Column:
     return F.translate(_col(c), "[]'", "")
 
 
+def list_text_entries(c: Column | str) -> Column:
+    """``['a', "lily's"]`` to ``a, lily's``: only the list's own brackets and quotes go.
+
+    Missing marks and empty lists are NULL.
+    """
+    inner = F.regexp_replace(_col(c), LIST_ENDS, "")
+    return blank_to_null(missing_to_null(F.regexp_replace(inner, LIST_BETWEEN, ", ")))
+
+
+def missing_to_null(c: Column | str) -> Column:
+    """The marks that scraped records use for a missing value, as NULL."""
+    c = _col(c)
+    return F.when(~c.isin(*MISSING_MARKS), c)
+
+
 def list_text_to_array(c: Column | str) -> Column:
     """Legacy list text to an array; missing marks become NULL."""
     c = _col(c)
     items = F.filter(
         F.transform(F.split(list_text_to_csv(c), ","), lambda x: F.trim(x)), lambda x: x != ""
     )
-    return F.when(~c.isin("None", "N/A"), items)
+    return F.when(~c.isin(*MISSING_MARKS), items)
 
 
 def prose_list_to_csv(c: Column | str) -> Column:

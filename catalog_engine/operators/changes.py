@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalog_engine.functions import text
 from catalog_engine.operators.keys import listed, unlisted
 
 ADDED, UNEMBEDDED, UNCHANGED, UPDATED = "added", "unembedded", "unchanged", "updated"
+REJECTED = "rejected"
 
 
 def rows_with_text(items: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -64,13 +66,22 @@ def existing_state(incoming: DataFrame, clean: DataFrame, stored: DataFrame, key
     )
 
 
+def can_embed(key: str, text_col: str) -> Column:
+    """Whether a row can get a vector at all: a numeric key and a text that is not empty."""
+    return text.to_key(F.col(key).cast("string")).isNotNull() & F.coalesce(F.col(text_col) != "", F.lit(False))
+
+
 def classify_changes(incoming: DataFrame, clean: DataFrame, stored: DataFrame, key: str, text_col: str) -> DataFrame:
-    """``incoming`` plus ``status`` and ``needs_embedding`` (M5); first match wins."""
-    state = existing_state(incoming, clean, stored, key, text_col)
+    """``incoming`` plus ``status`` and ``needs_embedding`` (M5); first match wins.
+
+    Texts are compared by digest, so that of ``stored`` only short rows are shuffled.
+    """
+    known = with_digest(stored.select(key, text_col), text_col).select(key, DIGEST)
+    state = existing_state(with_digest(incoming, text_col), clean, known, key, DIGEST)
     status = (
         F.when(~F.col("in_clean"), ADDED)
         .when(F.col("stored_text").isNull(), UNEMBEDDED)
-        .when(F.col("stored_text") == F.col(text_col), UNCHANGED)
+        .when(F.col("stored_text") == F.col(DIGEST), UNCHANGED)
         .otherwise(UPDATED)
     )
     return state.select(

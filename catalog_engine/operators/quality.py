@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from catalog_engine.functions import text
@@ -35,6 +35,14 @@ def field_coverage(df: DataFrame, fields: Sequence[str], missing: str = MISSING_
     )
 
 
+def unknown_fields(columns: Sequence[str]) -> Column:
+    """The text columns that hold nothing: NULL, empty, a missing mark or an empty list."""
+    nothing = ("", "[]", *text.MISSING_MARKS)
+    return F.array_compact(
+        F.array(*[F.when(F.col(c).isNull() | F.col(c).isin(*nothing), F.lit(c)) for c in columns])
+    )
+
+
 def sentinel_fields(df: DataFrame, columns: Sequence[str], missing: str = MISSING_MARK) -> DataFrame:
     """``df`` plus ``missing_fields``: the columns that hold the missing mark (Q2)."""
     marked = F.array(*[F.when(F.col(c).cast("string") == missing, F.lit(c)) for c in columns])

@@ -63,11 +63,11 @@ def item_spec(order_as: str = "number") -> CleanSpec:
     return CleanSpec(
         fields=rules.ITEM_FIELDS,
         extra=(
-            text.blank_to_null(text.list_text_to_csv("perfumers")).alias("perfumers"),
+            text.list_text_entries("perfumers").alias("perfumers"),
             category.alias("gender"),
             text.to_int("rating_count").alias("rating_count"),
             text.to_decimal("rating").alias("rating"),
-            F.col("description"),
+            text.missing_to_null("description").alias("description"),
             F.col("url"),
         ),
         keys=["url"],

@@ -64,7 +64,7 @@ def run_clean(spark: SparkSession, store: Store, csv_path: str | None = None) ->
 def run_embed(spark: SparkSession, store: Store, encoder: Callable[[], Model], mode: str = "new") -> int:
     """Embed what is new, or new and changed (P2, P3); returns the rows encoded."""
     layers = store.read(spark)
-    fresh = embedding.new_embeddings(layers.clean, layers.embeddings, encoder, mode)
+    fresh = embedding.new_embeddings(layers.clean, layers.embeddings, encoder, mode, prefer="url")
     if mode == "new":
         return tables.append(fresh, store.embeddings)
     # Written down first, so that the encoder runs once.
@@ -77,12 +77,11 @@ def run_embed(spark: SparkSession, store: Store, encoder: Callable[[], Model], m
 
 
 def run_ingest(spark: SparkSession, store: Store, incoming: DataFrame, encoder: Callable[[], Model]) -> DataFrame:
-    """Add or update scraped records in all tables (P6); returns the status per item."""
+    """Add or update scraped records in all tables (P6); returns the status per record."""
     layers = store.read(spark)
     batch = ingesting.prepare(incoming, layers)
-    merge_into(store.raw, layers.raw, batch.records, "url")
-    updated = [c for c in ingesting.UPSERTED if c != "id"]
-    merge_into(store.clean, layers.clean, batch.status, "id", updated, ingesting.UPSERTED)
+    merge_into(store.raw, layers.raw, batch.records, "url", **batch.raw_cols)
+    merge_into(store.clean, layers.clean, batch.status, "id", **batch.clean_cols)
     vectors = ingesting.vectors(batch.status, encoder)
     if not vectors.isEmpty():
         columns = ["perfume_string", "embedding"]

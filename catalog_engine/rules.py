@@ -89,7 +89,7 @@ ITEM_FIELDS = (
     FieldRule("name", "url", URL_NAME_PATTERN, post=text.dashes_to_spaces),
     FieldRule("brand", "url", URL_BRAND_PATTERN, post=text.dashes_to_spaces),
     FieldRule("release_year", "description", LAUNCH_YEAR_PATTERN),
-    FieldRule("accords", "main_accords", post=text.list_text_to_csv),
+    FieldRule("accords", "main_accords", post=text.list_text_entries),
     FieldRule("top_notes", "description", NOTE_PATTERN.format(tier="top"), 2, text.prose_list_to_csv),
     FieldRule("mid_notes", "description", NOTE_PATTERN.format(tier="middle"), 2, text.prose_list_to_csv),
     FieldRule("base_notes", "description", NOTE_PATTERN.format(tier="base"), 2, text.prose_list_to_csv),

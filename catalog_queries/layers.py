@@ -22,6 +22,7 @@ from catalog_engine.plans import jobs
 from catalog_engine.plans import recommend as recommending
 from catalog_engine.sources import tables as store
 from catalog_queries.finding import scores_sql
+from catalog_queries.pages import ITEM_PAGES_SQL, item_page_table
 from catalog_queries.tables import (
     ITEM_ACCORDS_SQL,
     ITEM_GENDER_SQL,
@@ -111,7 +112,44 @@ def _ingested(spark, sf):
 
 
 def ingest(spark, sf):
-    return _ingested(spark, sf).status
+    return _report(_ingested(spark, sf))
+
+
+def _report(done):
+    return done.status.withColumn("missing_fields", F.array_join("missing_fields", ", "))
+
+
+def pages_to_layers(spark, sf):
+    """Item pages through parsing, cleaning and classification into the layers: the report."""
+    return _report(ingesting.ingest_pages(item_page_table(spark, sf), _layers(spark, sf), ENCODER))
+
+
+def manual_entry(spark, sf):
+    """Typed entries for every part: other raw columns of stored records stay."""
+    forms = table(spark, sf, "part").select(
+        item_url().alias("url"),
+        F.concat(F.lit("\n "), F.lower("p_type"), F.lit(" \n\n"), F.lower("p_brand"), F.lit("\n")).alias("main_accords"),
+        item_prose(F.lit(2001), F.lit("")).alias("description"),
+        F.lit("men").alias("gender"),
+    )
+    after = ingesting.ingest(ingesting.entered(forms), _layers(spark, sf), ENCODER).layers
+    clean = after.clean.select("url", "id", "accords", "release_year", F.col("perfumers").alias("perfumers_clean"), F.col("gender").alias("clean_gender"))
+    return after.raw.join(clean, "url", "left")
+
+
+def embed_shared_ids(spark, sf):
+    """Runs over a layer where two brands' addresses share an id and some ids are no numbers."""
+    part = table(spark, sf, "part")
+    brand = F.translate("p_brand", "#", "-")
+    number = F.when(F.col("p_type") == "PROMO", F.concat(F.lit("x"), "p_size")).otherwise(F.col("p_size").cast("string"))
+    url = F.concat(F.lit("https://www.example.com/perfume/"), brand, F.lit("/Item-"), number, F.lit(".html"))
+    items = cleaning.clean_items(
+        stringify(part.select(url.alias("url"), F.array("p_type").alias("main_accords")), schemas.RAW.names)
+    )
+    stored = embedding.embed(
+        items.filter(F.col("accords") == "SMALL"), _layers(spark, sf).embeddings.limit(0), ENCODER, "new", prefer="url"
+    )
+    return _show(embedding.embed(items, stored, ENCODER, "changed", prefer="url"))
 
 
 def ingest_raw(spark, sf):
@@ -184,6 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         encode_hash, embed_new, embed_changed, ingest, ingest_raw, ingest_clean, ingest_embeddings,
+        pages_to_layers, manual_entry, embed_shared_ids,
         remove_items, single_vs_bulk, stored_jobs, find_and_recommend, tag_function,
     )
 }
@@ -205,10 +244,18 @@ stored AS (SELECT id::BIGINT AS id, perfume_string FROM clean WHERE accords NOT
 {clean_items_sql(source="incoming", name="fresh_all")},
 fresh AS (SELECT * FROM fresh_all WHERE id IS NOT NULL)"""
 
-_STATUS = """status AS (
-  SELECT f.*, CASE WHEN c.id IS NULL THEN 'added' WHEN s.id IS NULL THEN 'unembedded'
-    WHEN s.perfume_string = f.perfume_string THEN 'unchanged' ELSE 'updated' END AS status
-  FROM fresh f LEFT JOIN clean c ON c.id = f.id LEFT JOIN stored s ON s.id::VARCHAR = f.id)"""
+
+
+def _report_sql(fresh: str, missing: str) -> str:
+    return f"""SELECT f.url, f.id, f.name, f.brand, f.perfume_string,
+  CASE WHEN f.id IS NULL THEN 'rejected' WHEN c.id IS NULL THEN 'added' WHEN s.id IS NULL THEN 'unembedded'
+    WHEN s.perfume_string = f.perfume_string THEN 'unchanged' ELSE 'updated' END AS status,
+  CASE WHEN f.id IS NULL THEN 'no id in the address' WHEN f.perfume_string = '' THEN 'nothing to embed' END AS reason,
+  {missing} AS missing_fields,
+  f.id IS NOT NULL AND f.perfume_string <> '' AND s.perfume_string IS DISTINCT FROM f.perfume_string AS needs_embedding
+FROM {fresh} f JOIN {fresh.removesuffix("_all")}_given g ON g.url = f.url
+LEFT JOIN clean c ON c.id = f.id LEFT JOIN stored s ON s.id::VARCHAR = f.id"""
+
 
 
 def _vectors(rows: str) -> str:
@@ -242,8 +289,33 @@ FROM clean_items""",
 SELECT key AS doc_id, embedding FROM hashed_text""",
     "embed_new": f"WITH {_LAYERS}, " + _vectors("SELECT id::BIGINT AS id, perfume_string FROM items"),
     "embed_changed": f"WITH {_LAYERS}, " + _vectors(_AFTER),
-    "ingest": f"""WITH {_LAYERS}, {_STATUS}
-SELECT id, name, brand, perfume_string, status, status <> 'unchanged' AS needs_embedding FROM status""",
+    "ingest": f"""WITH {_LAYERS}, fresh_given AS (SELECT url, gender FROM incoming)
+{_report_sql("fresh_all", "CASE WHEN g.gender IS NULL THEN 'gender' ELSE '' END")}""",
+    "pages_to_layers": f"""WITH {_LAYERS}, {ITEM_PAGES_SQL},
+paged AS (SELECT url, name, gender, rating, rating_count, '[''' || replace(main_accords, '|', ''', ''') || ''']' AS main_accords,
+  '[''' || replace(perfumers, '|', ''', ''') || ''']' AS perfumers, description FROM found),
+{clean_items_sql(source="paged", name="read_all")},
+read_given AS (SELECT url, concat_ws(', ', CASE WHEN name = 'N/A' THEN 'name' END, CASE WHEN gender = 'N/A' THEN 'gender' END,
+  CASE WHEN rating = 'N/A' THEN 'rating' END, CASE WHEN rating_count = 'N/A' THEN 'rating_count' END,
+  CASE WHEN main_accords = '['''']' THEN 'main_accords' END, CASE WHEN perfumers = '['''']' THEN 'perfumers' END,
+  CASE WHEN description = 'N/A' THEN 'description' END) AS missing_fields FROM paged)
+{_report_sql("read_all", "g.missing_fields")}""",
+    "manual_entry": f"""WITH {_LAYERS},
+forms AS (SELECT {ITEM_URL_SQL} AS url, lower(p_type) || ', ' || lower(p_brand) AS accords,
+  {item_prose_sql("2001", "''")} AS description FROM part)
+SELECT f.url, i.name, 'men' AS gender, i.rating::VARCHAR AS rating, i.rating_count::VARCHAR AS rating_count,
+  '[''' || replace(f.accords, ', ', ''', ''') || ''']' AS main_accords, i.perfumers, f.description,
+  x.id, CASE WHEN x.id IS NOT NULL THEN f.accords END AS accords,
+  CASE WHEN x.id IS NOT NULL THEN '2001' END AS release_year, c.perfumers AS perfumers_clean,
+  CASE WHEN x.id IS NOT NULL THEN 'men' END AS clean_gender
+FROM forms f LEFT JOIN items i ON i.url = f.url LEFT JOIN clean c ON c.url = f.url
+LEFT JOIN fresh x ON x.url = f.url""",
+    "embed_shared_ids": f"""WITH src AS (SELECT DISTINCT p_brand, p_size, p_type FROM part WHERE p_type <> 'PROMO'),
+best AS (SELECT p_size::BIGINT AS id, 'accords_' || p_type AS perfume_string FROM (
+  SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_type) = 1)
+  QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY p_brand DESC) = 1),
+{hash_vectors_sql("best", "id", "perfume_string", DIMS)}
+SELECT id, perfume_string, embedding FROM best JOIN hashed_text ON key = id""",
     "ingest_raw": f"""WITH {_LAYERS},
 old AS (SELECT url, name, gender, rating::VARCHAR AS rating, rating_count::VARCHAR AS rating_count,
   accords AS main_accords, perfumers, description FROM items)

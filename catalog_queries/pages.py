@@ -41,7 +41,7 @@ def html_fields(spark, sf):
     )
 
 
-def _item_pages(spark, sf):
+def item_page_table(spark, sf):
     """A page per part, in the markup of an item page; small parts have a sparse one."""
 
     def tagged(before: str, c, after: str):
@@ -69,7 +69,7 @@ def _item_pages(spark, sf):
 
 
 def item_pages(spark, sf):
-    found = html.item_pages_to_raw(_item_pages(spark, sf))
+    found = html.item_pages_to_raw(item_page_table(spark, sf))
     return found.withColumns({c: F.array_join(c, "|") for c in ("main_accords", "perfumers")})
 
 
@@ -77,12 +77,12 @@ ITEM_FIELDS = ["name", "gender", "rating", "rating_count", "main_accords", "perf
 
 
 def field_coverage(spark, sf):
-    return quality.field_coverage(html.item_pages_to_raw(_item_pages(spark, sf)), ITEM_FIELDS)
+    return quality.field_coverage(html.item_pages_to_raw(item_page_table(spark, sf)), ITEM_FIELDS)
 
 
 def sentinel_fields(spark, sf):
     columns = ["name", "gender", "rating", "rating_count", "description"]
-    found = quality.sentinel_fields(html.item_pages_to_raw(_item_pages(spark, sf)), columns)
+    found = quality.sentinel_fields(html.item_pages_to_raw(item_page_table(spark, sf)), columns)
     return found.select("url", F.array_join("missing_fields", ", ").alias("missing_fields"))
 
 
@@ -115,7 +115,7 @@ def _plain(c: str) -> str:
     return out
 
 
-_ITEM_PAGES = f"""found AS (
+ITEM_PAGES_SQL = f"""found AS (
   SELECT {ITEM_URL_SQL} AS url, p_name AS name,
     coalesce('for ' || CASE p_type WHEN 'ECONOMY' THEN 'women and men' WHEN 'SMALL' THEN 'women'
       WHEN 'LARGE' THEN 'men' END, 'N/A') AS gender,
@@ -138,8 +138,8 @@ SQL = {
   CAST(NULL AS VARCHAR) AS rating,
   regexp_replace({_plain("regexp_extract(html, '(?s)</h1>(.*)</article>', 1)")}, '\\s+', '', 'g') AS body
 FROM pages""",
-    "item_pages": f"WITH {_ITEM_PAGES} SELECT * FROM found",
-    "field_coverage": f"WITH {_ITEM_PAGES}, c AS ("
+    "item_pages": f"WITH {ITEM_PAGES_SQL} SELECT * FROM found",
+    "field_coverage": f"WITH {ITEM_PAGES_SQL}, c AS ("
     + " UNION ALL ".join(
         f"SELECT '{f}' AS field, count(*) FILTER ({f} NOT IN ('N/A', '')) AS passing, count(*) AS total FROM found"
         for f in ITEM_FIELDS
@@ -147,7 +147,7 @@ FROM pages""",
     + """)
 SELECT field, passing, total,
   CASE WHEN passing = total THEN 'OK' WHEN passing = 0 THEN 'BROKEN' ELSE 'PARTIAL' END AS flag FROM c""",
-    "sentinel_fields": f"""WITH {_ITEM_PAGES}
+    "sentinel_fields": f"""WITH {ITEM_PAGES_SQL}
 SELECT url, concat_ws(', ', CASE WHEN name = 'N/A' THEN 'name' END, CASE WHEN gender = 'N/A' THEN 'gender' END,
   CASE WHEN rating = 'N/A' THEN 'rating' END, CASE WHEN rating_count = 'N/A' THEN 'rating_count' END,
   CASE WHEN description = 'N/A' THEN 'description' END) AS missing_fields FROM found""",

@@ -132,19 +132,24 @@ def extracted_sql(source: str) -> str:
             f"WHEN {c} LIKE '%for men' THEN 'men' END"
         )
 
+    def entries(c: str) -> str:
+        ends, between = r"""^\[?[''"]?|[''"]?\]?$""", r"""[''"],\s*[''"]"""
+        inner = f"regexp_replace(regexp_replace({c}, '{ends}', '', 'g'), '{between}', ', ', 'g')"
+        return f"nullif(nullif(nullif({inner}, ''), 'None'), 'N/A')"
+
     return f"""SELECT nullif(regexp_extract(url, '([a-zA-Z0-9]+)[.]html$', 1), '') AS id,
     nullif(replace(regexp_extract(url, '/perfume/[^/]+/([^/]+)-[0-9]+[.]html', 1), '-', ' '), '') AS name,
     nullif(replace(regexp_extract(url, '/perfume/([^/]+)/', 1), '-', ' '), '') AS brand,
     nullif(regexp_extract(description, 'was launched in ([0-9]{{4}})', 1), '') AS release_year,
-    nullif(translate(main_accords, '[]''', ''), '') AS accords,
+    {entries("main_accords")} AS accords,
     {notes("top")} AS top_notes,
     {notes("middle")} AS mid_notes,
     {notes("base")} AS base_notes,
-    nullif(translate(perfumers, '[]''', ''), '') AS perfumers,
+    {entries("perfumers")} AS perfumers,
     coalesce({ends("name")}, {ends("gender")}, CASE WHEN gender IN ('unisex', 'women', 'men') THEN gender END) AS gender,
     TRY_CAST(replace(rating_count, ',', '') AS INT) AS rating_count,
     TRY_CAST(rating AS DECIMAL(10,2)) AS rating,
-    description, url
+    nullif(nullif(description, 'None'), 'N/A') AS description, url
   FROM {source}"""
 
 

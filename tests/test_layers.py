@@ -7,13 +7,14 @@ import sys
 import numpy as np
 import pytest
 
+import catalog_queries
 from catalog_engine import schema
 from catalog_engine.functions import text
 from catalog_engine.operators import changes
 from catalog_engine.operators.encode import HashingEncoder, encode
 from catalog_engine.plans import embed as E
 from catalog_engine.plans.clean import clean_items
-from catalog_engine.plans.ingest import Layers, ingest, remove
+from catalog_engine.plans.ingest import Layers, entered, ingest, remove
 
 ENCODER = HashingEncoder(16)
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -135,6 +136,7 @@ def test_ingest_and_remove(spark):
 
     assert rows(done.status.select("id", "status", "needs_embedding")) == [
         ("1", "unchanged", False), ("2", "updated", True), ("3", "unembedded", True), ("4", "added", True),
+        (None, "rejected", False),
     ]
     after = done.layers
     assert after.raw.columns == schema.RAW.names and after.raw.count() == 5
@@ -148,7 +150,7 @@ def test_ingest_and_remove(spark):
         assert np.allclose(r.embedding, ENCODER.encode([r.perfume_string])[0])
 
     again = ingest(spark.createDataFrame(incoming, RECORD), after, ENCODER)
-    assert {r.status for r in again.status.collect()} == {"unchanged"}
+    assert {r.status for r in again.status.collect()} == {"unchanged", "rejected"}
     assert rows(again.layers.clean) == rows(after.clean)
 
     left = remove(after.clean.filter("id = '2'").select("id", "url"), after)
@@ -165,6 +167,73 @@ def test_two_addresses_with_one_id(spark):  # D20
     assert [r.brand for r in done.layers.clean.collect()] == ["House"]
 
 
+def empty_layers(spark):
+    return Layers(*[spark.createDataFrame([], s) for s in (schema.RAW, schema.CLEAN, schema.EMBEDDINGS)])
+
+
+def test_every_record_is_reported(spark):
+    address = "https://www.example.com/perfume/{}/Item-{}.html"
+    incoming = [
+        record(1, rating=None, description="N/A", main_accords=[]),  # nothing to embed
+        record(2, url=address.format("House", "x9")),  # no number
+        record(3, url="https://no.id/x"),
+        record(4, url=None),
+        record(5, url=None),
+        record(6),
+        record(6, url=address.format("Alias", 6)),
+    ]
+    done = ingest(spark.createDataFrame(incoming, RECORD), empty_layers(spark), ENCODER)
+    got = sorted((r.id or "", r.status, r.reason or "", r.needs_embedding) for r in done.status.collect())
+    assert got == [
+        ("", "rejected", "no address", False),
+        ("", "rejected", "no address", False),
+        ("", "rejected", "no id in the address", False),
+        ("1", "added", "nothing to embed", False),
+        ("6", "added", "", True),
+        ("6", "rejected", "id of another record", False),
+        ("x9", "added", "id is not a number", False),
+    ]
+    assert done.status.filter("id = '1'").first().missing_fields == ["rating", "main_accords", "description"]
+    assert done.layers.raw.count() == 7
+    assert sorted(r.id for r in done.layers.clean.collect()) == ["1", "6", "x9"]
+    assert [r.id for r in done.layers.embeddings.collect()] == [6]
+
+
+def test_no_records(spark):
+    done = ingest(spark.createDataFrame([], RECORD), empty_layers(spark), ENCODER)
+    assert done.status.count() == done.layers.raw.count() == done.layers.embeddings.count() == 0
+
+
+def test_manual_entry_keeps_other_columns(spark):
+    stored = ingest(spark.createDataFrame([record(1), record(2)], RECORD), empty_layers(spark), ENCODER).layers
+    url = record(1)[0]
+    forms = [(url, "\nwarm spicy\n amber \n", "Item 1 was launched in 2002. Base note is Musk.", "women")]
+    forms.append((url.replace("1", "3"), "amber", "", None))
+    forms = spark.createDataFrame(forms, "url string, main_accords string, description string, gender string")
+    after = ingest(entered(forms), stored, ENCODER).layers
+    raw = {r.url: r for r in after.raw.collect()}
+    assert len(raw) == 3 and raw[url].rating == "4.5" and raw[url].name == "Item 1"
+    assert raw[url].main_accords == "['warm spicy', 'amber']"
+    clean = {r.id: r for r in after.clean.collect()}
+    assert clean["1"].accords == "warm spicy, amber" and clean["1"].perfumers == "P" and clean["1"].gender == "women"
+    assert clean["1"].release_year == "2002" and clean["3"].accords == "amber"
+    assert after.embeddings.count() == 3
+    with pytest.raises(ValueError, match="description"):
+        ingest(entered(forms).drop("description"), stored, ENCODER)
+
+
+@pytest.mark.parametrize("mode", ["new", "changed"])
+def test_keys_that_are_one_number(spark, mode):
+    items = spark.createDataFrame(
+        [("7", "old", "a"), ("007", "best", "b"), ("8", "x", None), ("8", "y", "c")],
+        "id string, perfume_string string, url string",
+    )
+    stored = spark.createDataFrame([(7, "old", [1.0])] if mode == "changed" else [], schema.EMBEDDINGS)
+    got = E.embed(items, stored, ENCODER, mode=mode, prefer="url")
+    assert rows(got.select("id", "perfume_string")) == [(7, "best"), (8, "y")]
+    assert E.rows_to_embed(items, got, mode, prefer="url").count() == 0
+
+
 def test_jobs_over_stored_tables(spark):
     from catalog_engine import runtime
     from catalog_engine.operators.extract import stringify
@@ -210,7 +279,8 @@ def test_entry(spark):
 
     df = entry.entry(spark)
     assert df.columns == ["vec_id", "similarity", "label"] and df.count() == 5
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(catalog_queries.QUERIES) <= set(entry.oracle_sql())
 
 
 def test_workers_need_no_checkout(tmp_path):

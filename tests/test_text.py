@@ -192,3 +192,24 @@ def test_field_ok(one):
     assert not one(text.field_ok("v"), v="N/A")
     assert not one(text.field_ok("v"), v=None)
     assert not one(text.field_ok(F.array().cast("array<string>"), "array<string>"), v="x")
+
+
+@pytest.mark.parametrize(
+    "given, expected",
+    [
+        ("['rose', 'warm spicy']", "rose, warm spicy"),
+        ("""["lily's", 'musk']""", "lily's, musk"),
+        ("""['musk', "lily's"]""", "musk, lily's"),
+        ("['lily's', 'musk']", "lily's, musk"),
+        ("rose, musk", "rose, musk"),
+        ("['a, b', 'c']", "a, b, c"),
+        ("[]", None),
+        ("None", None),
+        ("N/A", None),
+        ("['N/A']", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_list_text_entries(one, given, expected):  # D15
+    assert one(text.list_text_entries("t"), t=given) == expected
