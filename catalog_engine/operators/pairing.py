@@ -4,18 +4,18 @@ The reducing work is done by a *kernel*: an object built from a block of
 request rows, fed with blocks of the large table, and asked for its result at
 the end.  No pair of rows ever exists as a row of a DataFrame.
 
-* Requests that are small, which is measured and not assumed, go to every
-  task once; the large table is scanned where it lies and is not shuffled.
-* Otherwise both sides are cut into blocks of bounded size and every block of
-  one meets every block of the other, as a co-grouped shuffle.  Block numbers
-  come from row positions, so no key and no group of equal rows can make one
-  block large; they are written down first, so that a retried task sees the
-  same ones.
+The large table is scanned where it lies and is not shuffled.  Requests go to
+every task as one block of bounded size, which is measured and not assumed;
+more of them take several such blocks, one scan after another.  Block numbers
+come from row positions, so no key and no group of equal rows can make one
+block large; they are written down first, and so is every block's result, so
+the driver holds one block at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import pyarrow as pa
@@ -36,20 +36,27 @@ def score_blocks(
     right: DataFrame,
     kernel: Callable[[pa.Table], Kernel],
     schema: str,
-    left_bytes: Column,
     right_bytes: Column,
     max_bytes: int = runtime.BROADCAST_BYTES,
 ) -> DataFrame:
-    """Rows of ``kernel(right block)`` fed with blocks of ``left``.
+    """Rows of ``kernel(request block)`` fed with blocks of ``left``.
 
-    ``left_bytes`` and ``right_bytes`` estimate one row's size.  The requests
-    are written down first, so that finding them is done once.
+    ``right_bytes`` estimates one request's size.  The requests are written
+    down first, so that finding them is done once.  ``left`` should be a stored
+    table: it is read once per block.
     """
     right = runtime.checkpointed(right)
-    total = right.agg(F.coalesce(F.sum(right_bytes), F.lit(0))).first()[0]
+    rows, total = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(right_bytes), F.lit(0))).first()
     if total <= max_bytes:
         return score_with(left, right.toArrow(), kernel, schema)
-    return _grid(left, right, kernel, schema, left_bytes, right_bytes, max_bytes)
+    n = min(rows, -(-int(total) // max_bytes))
+    block = F.pmod(F.monotonically_increasing_id(), F.lit(n))
+    numbered = runtime.checkpointed(right.withColumn("_block", block))
+    scored = []
+    for i in range(n):
+        asked = numbered.filter(F.col("_block") == i).drop("_block").toArrow()
+        scored.append(runtime.checkpointed(score_with(left, asked, kernel, schema)))
+    return reduce(DataFrame.unionAll, scored)
 
 
 def score_with(left: DataFrame, requests: pa.Table, kernel: Callable[[pa.Table], Kernel], schema: str) -> DataFrame:
@@ -65,27 +72,3 @@ def score_with(left: DataFrame, requests: pa.Table, kernel: Callable[[pa.Table],
             yield from k.result().to_batches()
 
     return left.mapInArrow(scan, schema)
-
-
-def _grid(left, right, kernel, schema, left_bytes, right_bytes, max_bytes) -> DataFrame:
-    def blocks(df: DataFrame, size: Column, name: str) -> tuple[DataFrame, int]:
-        n = max(1, -(-int(df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) // max_bytes))
-        numbered = df.withColumn(name, F.pmod(F.monotonically_increasing_id(), F.lit(n)))
-        return runtime.checkpointed(numbered), n
-
-    left, n_left = blocks(left, left_bytes, "_left_block")
-    right, n_right = blocks(right, right_bytes, "_right_block")
-
-    def each(n: int, name: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
-
-    left = left.select("*", each(n_right, "_right_block"))
-    right = right.select("*", each(n_left, "_left_block"))
-    on = ["_left_block", "_right_block"]
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        k = kernel(b.drop_columns(on))
-        k.add(a.drop_columns(on))
-        return k.result()
-
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(meet, schema)

@@ -82,7 +82,6 @@ def search_terms(
         wanted,
         lambda block: _TermHits(block, carried, key, list(tie_cols), threshold, limit),
         "term string, " + ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", score double",
-        F.octet_length(F.coalesce("_norm", F.lit(""))) * 4 + 64,
         F.octet_length("_norm") * 8 + 64,
         max_bytes,
     )
@@ -91,6 +90,10 @@ def search_terms(
     return ranked.filter(F.col("rank") <= limit)
 
 
+# Hits of a block that are gathered before the lists are cut.
+HELD = 1 << 18
+
+
 class _TermHits:
     """Running top list per term over blocks of names."""
 
@@ -100,7 +103,8 @@ class _TermHits:
         self.carried, self.threshold, self.limit = carried, threshold, limit
         self.order = ["score", *ties, key]
         self.rising = [False] * (1 + len(ties)) + [True]
-        self.best: list[pa.Table | None] = [None] * len(self.terms)
+        #: Best hits so far: a row each, with the number of its term in ``_term``.
+        self.best: pa.Table | None = None
         self.schema: pa.Schema | None = None
 
     def add(self, block: pa.Table) -> None:
@@ -111,30 +115,34 @@ class _TermHits:
         at = coded.indices.to_numpy(zero_copy_only=False)
         known = ~np.isnan(at.astype(float))
         code = np.where(known, at, 0).astype(int)
+        found, held = [], 0
         for t, norm in enumerate(self.norms):
             by_name = names.scores(norm, self.threshold)
             score = np.where(known, by_name[code] if len(by_name) else 0.0, 0.0)
             hit = np.flatnonzero(score > self.threshold)
             if not len(hit):
                 continue
-            hits = rows.take(pa.array(hit)).append_column("score", pa.array(score[hit]))
-            self.best[t] = self._top(hits, self.best[t])
-
-    def _top(self, hits: pa.Table, best: pa.Table | None) -> pa.Table:
-        both = hits if best is None else pa.concat_tables([best, hits])
-        if both.num_rows <= self.limit:
-            return both
-        ranks = pd.DataFrame({c: both.column(c).to_pandas() for c in self.order})
-        order = ranks.sort_values(self.order, ascending=self.rising, na_position="last").index
-        return both.take(pa.array(order[: self.limit].to_numpy()))
+            found.append((np.full(len(hit), t), hit, score[hit]))
+            held += len(hit)
+            if held >= HELD:
+                self._keep(rows, found)
+                found, held = [], 0
+        if found:
+            self._keep(rows, found)
+
+    def _keep(self, rows: pa.Table, found: list) -> None:
+        """Add hits of a block and cut every term's list to the limit."""
+        term, hit, score = (np.concatenate(c) for c in zip(*found))
+        both = rows.take(pa.array(hit)).append_column("score", pa.array(score)).append_column("_term", pa.array(term))
+        if self.best is not None:
+            both = pa.concat_tables([self.best, both])
+        ranks = pd.DataFrame({c: both.column(c).to_pandas() for c in ["_term", *self.order]})
+        ranks = ranks.sort_values(["_term", *self.order], ascending=[True, *self.rising], na_position="last")
+        self.best = both.take(pa.array(ranks.groupby("_term").head(self.limit).index.to_numpy()))
 
     def result(self) -> pa.Table:
-        out = [
-            b.add_column(0, "term", pa.array([term] * b.num_rows, type=pa.string()))
-            for term, b in zip(self.terms, self.best)
-            if b is not None
-        ]
-        if out:
-            return pa.concat_tables(out)
+        if self.best is not None:
+            term = pa.array(self.terms, type=pa.string()).take(self.best.column("_term").combine_chunks())
+            return self.best.drop_columns(["_term"]).add_column(0, "term", term)
         fields = [pa.field("term", pa.string()), *(self.schema or []), pa.field("score", pa.float64())]
         return pa.schema(fields).empty_table()

@@ -72,7 +72,6 @@ def top_n_batch(
         lambda block: _Nearest(block, key, n),
         _schema(items, key, "target", targets),
         row_bytes,
-        row_bytes,
         max_bytes,
     )
     best = Window.partitionBy("target").orderBy(F.desc_nulls_last("similarity"), key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog_engine import rules
+from catalog_engine import schema as schemas
 from catalog_engine.functions import text
 from catalog_engine.operators import quality
 from catalog_engine.operators.dedupe import dedupe_best
@@ -160,6 +161,26 @@ def clean_items(spark, sf):
     return _portable(cleaning.clean_items(raw_items(spark, sf)))
 
 
+def clean_marked_items(spark, sf):
+    """Records as older runs stored them: marks for missing values, quotes and commas inside entries."""
+    accords = (
+        F.when(F.col("p_type") == "ECONOMY", "None")
+        .when(F.col("p_type") == "SMALL", "N/A")
+        .when(F.col("p_type") == "LARGE", "[]")
+        .when(F.col("p_type") == "PROMO", F.concat(F.lit("""["lily's", '"""), F.lower("p_brand"), F.lit("']")))
+        .otherwise(F.concat(F.lit("['warm, dry', \""), "p_name", F.lit("'s\"]")))
+    )
+    records = table(spark, sf, "part").select(
+        item_url().alias("url"),
+        accords.alias("main_accords"),
+        F.when(F.col("p_size") < 10, "N/A").when(F.col("p_size") < 20, "None").otherwise(F.lit("['A', 'B']")).alias("perfumers"),
+        F.when(F.col("p_size") > 40, "N/A").otherwise(F.col("p_name")).alias("description"),
+        F.lit("N/A").alias("gender"),
+        F.lit("N/A").alias("rating"),
+    )
+    return _portable(cleaning.clean_items(stringify(records, schemas.RAW.names)))
+
+
 def clean_items_string_order(spark, sf):
     return _portable(cleaning.clean_items(raw_items(spark, sf), order_as="string"))
 
@@ -185,7 +206,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         url_fields, one_brand_fields, prose_fields, list_text_clean, pasted_lines, suffix_category, safe_cast,
-        missing_default, tag_bag, clean_job, clean_items, clean_items_string_order, vocabulary,
+        missing_default, tag_bag, clean_job, clean_items, clean_marked_items, clean_items_string_order, vocabulary,
         stringified, alias_normalise,
     )
 } | {"dedupe_best": best_pages}
@@ -235,6 +256,14 @@ QUALIFY row_number() OVER (PARTITION BY title ORDER BY size DESC, page_id) = 1""
 SELECT host, lang, title, kind, number, page_id,
   {tag_bag_sql([("host_", "host"), ("lang_", "lang"), ("kind_", "kind")])} AS tags FROM t""",
     "clean_items": f"""WITH {RAW_ITEMS_SQL}, {clean_items_sql()}
+SELECT * REPLACE (rating::DOUBLE AS rating) FROM clean_items""",
+    "clean_marked_items": f"""WITH marked AS (SELECT {ITEM_URL_SQL} AS url, CASE p_type WHEN 'ECONOMY' THEN 'None'
+    WHEN 'SMALL' THEN 'N/A' WHEN 'LARGE' THEN '[]' WHEN 'PROMO' THEN '["lily''s", ''' || lower(p_brand) || ''']'
+    ELSE '[''warm, dry'', "' || p_name || '''s"]' END AS main_accords,
+  CASE WHEN p_size < 10 THEN 'N/A' WHEN p_size < 20 THEN 'None' ELSE '[''A'', ''B'']' END AS perfumers,
+  CASE WHEN p_size > 40 THEN 'N/A' ELSE p_name END AS description, 'N/A' AS gender, 'N/A' AS rating,
+  NULL::VARCHAR AS name, NULL::VARCHAR AS rating_count FROM part),
+{clean_items_sql(source="marked")}
 SELECT * REPLACE (rating::DOUBLE AS rating) FROM clean_items""",
     "clean_items_string_order": f"""WITH {RAW_ITEMS_SQL}, {clean_items_sql("rating_count")}
 SELECT * REPLACE (rating::DOUBLE AS rating) FROM clean_items""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalog_engine import runtime
 from catalog_engine.functions import text
 from catalog_engine.functions import vectors as V
 from catalog_engine.operators import quality, similar
@@ -36,6 +37,20 @@ def similar_batch(spark, sf):
     return top.select("target", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def similar_mixed(spark, sf):
+    """Vectors of two sizes and repeated targets, in one block of targets and in many: the same answers."""
+    half = F.when(F.col("label") < 5, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    items = _embeddings(spark, sf).select("vec_id", half.alias("embedding"))
+    targets = items.join(_label_targets(spark, sf).select("vec_id"), "vec_id", "left_semi")
+    targets = targets.unionByName(targets)
+    found = [
+        similar.top_n_batch(items, targets, "vec_id", "embedding", 5, max_bytes=size).withColumn("blocks", F.lit(name))
+        for name, size in (("one", runtime.BROADCAST_BYTES), ("many", 2048))
+    ]
+    both = found[0].unionByName(found[1])
+    return both.select("blocks", "target", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def recommend_join(spark, sf):
     emb = _embeddings(spark, sf)
     out = rec.recommend(emb, emb, TARGET, 5, "vec_id", "embedding", ["label"])
@@ -103,7 +118,7 @@ def missing_targets(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        similar_top_n, similar_batch, recommend_join, recommend_left, recommend_batch,
+        similar_top_n, similar_batch, similar_mixed, recommend_join, recommend_left, recommend_batch,
         vector_norms, vector_cosine, display_fields, dims, counts, missing_targets,
     )
 }
@@ -131,6 +146,18 @@ ranked AS (
 SQL = {
     "similar_top_n": f"WITH {_top(10)} SELECT vec_id, round(sim, 6) AS similarity FROM top",
     "similar_batch": f"WITH {_batch('min', 5)} SELECT * FROM ranked",
+    "similar_mixed": f"""WITH items AS (
+  SELECT vec_id, label, CASE WHEN label < 5 THEN embedding[1:32] ELSE embedding END AS embedding FROM embeddings),
+targets AS (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label),
+top AS (
+  SELECT b.vec_id AS target, a.vec_id, CASE WHEN len(a.embedding) = len(b.embedding) THEN {_COS} END AS sim
+  FROM items a JOIN items b ON a.vec_id <> b.vec_id WHERE b.vec_id IN (SELECT vec_id FROM targets)
+    AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL),
+ranked AS (
+  SELECT target, vec_id, round(sim, 6) AS similarity,
+    CAST(row_number() OVER (PARTITION BY target ORDER BY sim DESC NULLS LAST, vec_id) AS INT) AS rank
+  FROM top QUALIFY rank <= 5)
+SELECT blocks, ranked.* FROM ranked, (VALUES ('one'), ('many')) b(blocks)""",
     "recommend_join": f"""WITH {_top(5)}
 SELECT vec_id, round(sim, 6) AS similarity, label FROM top JOIN embeddings USING (vec_id)""",
     "recommend_left": f"""WITH {_top(10)}
