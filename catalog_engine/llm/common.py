@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -16,6 +17,14 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def unused_name(df: DataFrame, base: str) -> str:
+    """A column name like ``base`` that ``df`` does not have in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def default_tokenizer(name: str) -> str:
     """Path of an installed public vocabulary file, looked up where it is used."""
     import public_tokenizers

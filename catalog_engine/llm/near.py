@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from catalog_engine import runtime
 from catalog_engine.llm.blocks import Forest, gathered, groups, paired
-from catalog_engine.llm.common import arrow_schema, slices
+from catalog_engine.llm.common import arrow_schema, slices, unused_name
 from catalog_engine.llm.components import components
 
 SHINGLE = 5
@@ -333,8 +333,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     An id that repeats stays once.  Rows without an id all stay.
     """
     found = near_duplicates(df, id_col, text_col, threshold).filter(F.col(id_col).isNotNull() & F.col("kept"))
-    ids = runtime.checkpointed(found.groupBy(F.col(id_col).alias("__id")).count())
-    rows = df.join(ids.select("__id"), F.col(id_col).cast("long") == F.col("__id"), "left_semi")
+    kept = unused_name(df, "kept_id")
+    ids = runtime.checkpointed(found.groupBy(F.col(id_col).alias(kept)).count())
+    rows = df.join(ids.select(kept), F.col(id_col).cast("long") == F.col(kept), "left_semi")
     if ids.filter("count > 1").limit(1).count():
         rows = rows.dropDuplicates([id_col])
     return rows.unionByName(df.filter(F.col(id_col).isNull()))

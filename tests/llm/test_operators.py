@@ -8,6 +8,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 import sentencepiece
 
 from catalog_engine.llm import html_paths, itq, mix, multi_index, near, pieces, pii, quality, queries, tokens, warc
@@ -295,6 +296,15 @@ def vectors(spark, extra=()):
 EXTRA = [(900, None), (901, []), (902, [0.0] * 24), (903, [float("nan")] * 24), (904, [None] * 24), (905, [1.0, 2.0]), (None, [1.0] * 24)]
 
 
+def test_keeping_one_beside_columns_of_any_name(spark):
+    clashing = ["__id", "kept_id", "KEPT_ID_", "id", "kept", "class_id", "digest", "bucket", "count"]
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (2, "x"), (None, "x")], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit(c) for c in clashing})
+    kept = near.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1]
+
+
 def test_near_vectors_equal_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(itq, "BLOCK", 16)
     df, x = vectors(spark, EXTRA)
