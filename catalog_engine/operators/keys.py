@@ -18,10 +18,10 @@ HASH = "_hash"
 
 
 def with_hash(df: DataFrame, *keys: str) -> DataFrame:
-    return df.withColumn(HASH, F.xxhash64(*[_hashable(df, k) for k in keys]))
+    return df.withColumn(HASH, F.xxhash64(*[hashable(df, k) for k in keys]))
 
 
-def _hashable(df: DataFrame, key: str) -> Column:
+def hashable(df: DataFrame, key: str) -> Column:
     """Equal whole numbers hash alike, whatever their width."""
     return F.col(key).cast("bigint") if isinstance(df.schema[key].dataType, T.IntegralType) else F.col(key)
 
@@ -51,6 +51,18 @@ def key_set(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, group).distinct().select(*keys)
 
 
+def is_broadcast(df: DataFrame) -> bool:
+    """Whether Spark will send ``df`` to every task of a join: it is marked so, or its estimate fits the limit."""
+    spark, execution = df.sparkSession, df._jdf.queryExecution()
+    node = execution.analyzed()
+    while node.nodeName() != "ResolvedHint" and node.children().size() == 1:
+        node = node.children().head()
+    if node.nodeName() == "ResolvedHint" and "broadcast" in node.simpleString(100):
+        return True
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(execution.optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 def listed(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``keys``."""
     return _filtered(df, keys, on, "left_semi")

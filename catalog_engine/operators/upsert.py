@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine.operators.keys import check_types, listed, same_key, unlisted, with_hash
+from catalog_engine.operators.keys import check_types, is_broadcast, listed, same_key, unlisted, with_hash
 
 
 def ambiguous_keys(source: DataFrame, key: str) -> DataFrame:
@@ -66,8 +66,10 @@ def upsert(
                 for c in target.columns
             ]
         )
-        # For what to insert, only the table's key column is read again.
-        added = unlisted(keyed, listed(target.select(key), keyed, key), key)
+        # For what to insert, only the table's key column is read again; it
+        # meets a broadcast source where it lies, else both are shuffled once.
+        known = target.select(key)
+        added = unlisted(keyed, listed(known, keyed, key) if is_broadcast(source) else known, key)
 
     out = state.unionByName(_as_target(target, added, insert_cols))
     if null_keys:

@@ -6,58 +6,116 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog_engine import runtime
 from catalog_engine import schema as schemas
+from catalog_engine.functions import text
 from catalog_engine.operators.encode import Model
 from catalog_engine.operators.keys import listed
-from catalog_engine.operators.upsert import insert_rows, upsert
+from catalog_engine.operators.upsert import delete_by_key, insert_rows, upsert
 from catalog_engine.plans import embed as embedding
 from catalog_engine.plans import ingest as ingesting
 from catalog_engine.plans.clean import clean_items
+from catalog_engine.sources import parts as key_parts
 from catalog_engine.sources import tables
 
 
+@dataclass(frozen=True)
+class Table:
+    """A published table: whole versions, or versions of ``parts`` key-hash parts."""
+
+    root: str
+    schema: T.StructType
+    key: str
+    parts: int | None = None
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        if self.parts:
+            return key_parts.read(spark, self.root, self.schema)
+        return tables.read_current(spark, self.root, self.schema)
+
+    def publish(self, df: DataFrame) -> int:
+        """``df`` as the table's content; returns its rows."""
+        if self.parts:
+            return key_parts.replace(df, self.root, self.key, self.parts)
+        return tables.publish(df, self.root)
+
+    def append(self, df: DataFrame) -> int:
+        if self.parts:
+            return key_parts.append(df, self.root, self.key, self.parts, self.schema)
+        return tables.append(df, self.root)
+
+    def _change(self, spark: SparkSession, keys: DataFrame, new: Callable[[DataFrame], DataFrame]) -> None:
+        """Publish ``new`` of the table, or of those of its parts that the keys meet."""
+        if not self.parts:
+            self.publish(new(self.read(spark)))
+            return
+        met = key_parts.met_by(keys, self.key, self.parts)
+        if met:
+            state = key_parts.read(spark, self.root, self.schema, met)
+            key_parts.replace(new(state), self.root, self.key, self.parts, met)
+
+    def merge(
+        self,
+        target: DataFrame,
+        source: DataFrame,
+        update_cols: Sequence[str] | None = None,
+        insert_cols: Sequence[str] | None = None,
+    ) -> None:
+        """Merge ``source`` into the table, whose present state is ``target``.
+
+        While no key is stored yet, the rows are appended and nothing is rewritten.
+        ``source`` should be written down already; it is read several times.
+        """
+        if listed(target.select(self.key), source, self.key).isEmpty():
+            self.append(insert_rows(target, source, self.key, insert_cols))
+        else:
+            self._change(
+                source.sparkSession, source, lambda state: upsert(state, source, self.key, update_cols, insert_cols)
+            )
+
+    def remove(self, spark: SparkSession, keys: DataFrame) -> None:
+        """Delete the listed keys."""
+        self._change(spark, keys.filter(F.col(self.key).isNotNull()), lambda state: delete_by_key(state, keys, self.key))
+
+
 @dataclass(frozen=True)
 class Store:
-    """Roots of the three published tables."""
+    """Roots of the three published tables, and the number of their key-hash parts, if any.
+
+    Parts are for batches that are small beside the tables: a batch rewrites the parts it meets only.
+    """
 
     raw: str
     clean: str
     embeddings: str
+    parts: int | None = None
 
-    def read(self, spark: SparkSession) -> ingesting.Layers:
-        return ingesting.Layers(
-            tables.read_current(spark, self.raw, schemas.RAW),
-            tables.read_current(spark, self.clean, schemas.CLEAN),
-            tables.read_current(spark, self.embeddings, schemas.EMBEDDINGS),
-        )
+    @property
+    def raw_table(self) -> Table:
+        return Table(self.raw, schemas.RAW, "url", self.parts)
 
+    @property
+    def clean_table(self) -> Table:
+        return Table(self.clean, schemas.CLEAN, "id", self.parts)
 
-def merge_into(
-    root: str,
-    target: DataFrame,
-    source: DataFrame,
-    key: str,
-    update_cols: Sequence[str] | None = None,
-    insert_cols: Sequence[str] | None = None,
-) -> None:
-    """Merge ``source`` into the table at ``root``, whose present state is ``target``.
+    @property
+    def embeddings_table(self) -> Table:
+        return Table(self.embeddings, schemas.EMBEDDINGS, "id", self.parts)
 
-    While no key is stored yet, the rows are appended and nothing is rewritten.
-    ``source`` should be written down already; it is read several times.
-    """
-    if listed(target.select(key), source, key).isEmpty():
-        tables.append(insert_rows(target, source, key, insert_cols), root)
-    else:
-        tables.publish(upsert(target, source, key, update_cols, insert_cols), root)
+    def read(self, spark: SparkSession) -> ingesting.Layers:
+        return ingesting.Layers(
+            self.raw_table.read(spark), self.clean_table.read(spark), self.embeddings_table.read(spark)
+        )
 
 
 def run_clean(spark: SparkSession, store: Store, csv_path: str | None = None) -> int:
     """Rebuild the clean table from the raw one (P1); returns its row count."""
-    rows = tables.publish(clean_items(store.read(spark).raw), store.clean)
+    rows = store.clean_table.publish(clean_items(store.raw_table.read(spark)))
     if csv_path:
-        tables.write_csv(tables.read_current(spark, store.clean), csv_path)
+        tables.write_csv(store.clean_table.read(spark), csv_path)
     return rows
 
 
@@ -66,13 +124,13 @@ def run_embed(spark: SparkSession, store: Store, encoder: Callable[[], Model], m
     layers = store.read(spark)
     fresh = embedding.new_embeddings(layers.clean, layers.embeddings, encoder, mode, prefer="url")
     if mode == "new":
-        return tables.append(fresh, store.embeddings)
+        return store.embeddings_table.append(fresh)
     # Written down first, so that the encoder runs once.
     fresh = runtime.broadcast_if_small(runtime.checkpointed(fresh))
     rows = fresh.count()
     if rows:
         columns = ["perfume_string", "embedding"]
-        merge_into(store.embeddings, layers.embeddings, fresh, "id", columns, ["id", *columns])
+        store.embeddings_table.merge(layers.embeddings, fresh, columns, ["id", *columns])
     return rows
 
 
@@ -80,19 +138,18 @@ def run_ingest(spark: SparkSession, store: Store, incoming: DataFrame, encoder:
     """Add or update scraped records in all tables (P6); returns the status per record."""
     layers = store.read(spark)
     batch = ingesting.prepare(incoming, layers)
-    merge_into(store.raw, layers.raw, batch.records, "url", **batch.raw_cols)
-    merge_into(store.clean, layers.clean, batch.status, "id", **batch.clean_cols)
+    store.raw_table.merge(layers.raw, batch.records, **batch.raw_cols)
+    store.clean_table.merge(layers.clean, batch.status, **batch.clean_cols)
     vectors = ingesting.vectors(batch.status, encoder)
     if not vectors.isEmpty():
         columns = ["perfume_string", "embedding"]
-        merge_into(store.embeddings, layers.embeddings, vectors, "id", columns, ["id", *columns])
+        store.embeddings_table.merge(layers.embeddings, vectors, columns, ["id", *columns])
     return batch.report
 
 
 def run_remove(spark: SparkSession, store: Store, keys: DataFrame) -> None:
     """Delete the listed items (id, url) from all tables (M3)."""
     keys = runtime.broadcast_if_small(runtime.checkpointed(keys.select("id", "url").distinct()))
-    left = ingesting.remove(keys, store.read(spark))
-    tables.publish(left.embeddings, store.embeddings)
-    tables.publish(left.clean, store.clean)
-    tables.publish(left.raw, store.raw)
+    store.embeddings_table.remove(spark, keys.select(text.to_key("id").alias("id")))
+    store.clean_table.remove(spark, keys)
+    store.raw_table.remove(spark, keys)

@@ -1,0 +1,141 @@
+"""Published tables in key-hash parts, of which a change rewrites only those it meets.
+
+A table lies in ``parts`` folders by a hash of its key, and each holds versions:
+``root/part=P/version=V``.  A change is one Spark job that writes a new version of
+the parts it meets; it becomes visible, in all of them at once, with the
+empty file ``root/_finished/V``.  A job may read the present state while it
+writes the next one, and a failed job leaves the table as it was.  One job at a time may change a table.
+
+The driver lists folders only: at most parts x kept versions.  With many more
+parts than a batch has keys, a batch rewrites little more than its own rows' parts; one
+that meets every part rewrites the table, as it would without parts.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from catalog_engine.operators import quality
+from catalog_engine.operators.keys import hashable
+from catalog_engine.sources.tables import file_system
+
+PART, VERSION = "part", "version"
+FOLDER = re.compile(rf"{PART}=(\d+)/{VERSION}=(\d+)(-empty)?$")
+
+
+def part_of(df: DataFrame, key: str, parts: int) -> Column:
+    """The part of a row; rows without a key share one part."""
+    return F.pmod(F.xxhash64(hashable(df, key)), F.lit(parts)).cast("int")
+
+
+def met_by(keys: DataFrame, key: str, parts: int) -> list[int]:
+    """The parts that hold the keys: at most ``parts`` numbers."""
+    return sorted(r[0] for r in keys.select(part_of(keys, key, parts)).distinct().collect())
+
+
+def _names(spark: SparkSession, pattern: str) -> list[str]:
+    fs, path = file_system(spark, pattern)
+    return [s.getPath().toString() for s in fs.globStatus(path) or ()]
+
+
+def _begun(spark: SparkSession, root: str) -> list[tuple[int, int, bool, str]]:
+    """Part, version, whether it is empty, and path of every version folder."""
+    names = _names(spark, f"{root}/{PART}=*/{VERSION}=*")
+    return [(int(m[1]), int(m[2]), bool(m[3]), name) for name in names if (m := FOLDER.search(name))]
+
+
+def _finished(spark: SparkSession, root: str) -> set[int]:
+    return {int(name.rsplit("/", 1)[1]) for name in _names(spark, f"{root}/_finished/*")}
+
+
+def _present(spark: SparkSession, root: str) -> dict[int, tuple[int, bool, str]]:
+    """Version, whether it is empty, and path of every part."""
+    finished = _finished(spark, root)
+    return {part: rest for part, *rest in sorted(_begun(spark, root)) if rest[0] in finished}
+
+
+def versions(spark: SparkSession, root: str) -> dict[int, int]:
+    """The present version of every part that was ever written."""
+    return {part: version for part, (version, _, _) in _present(spark, root).items()}
+
+
+def read(spark: SparkSession, root: str, schema: T.StructType, only: Iterable[int] | None = None) -> DataFrame:
+    """The present rows, of all parts or ``only`` some; an empty table of ``schema`` when there are none."""
+    wanted = None if only is None else set(only)
+    present = _present(spark, root)
+    paths = [path for part, (_, empty, path) in present.items() if not empty and (wanted is None or part in wanted)]
+    return spark.read.parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _check(spark: SparkSession, root: str, df: DataFrame, parts: int) -> None:
+    clash = {c.lower() for c in df.columns} & {PART, VERSION}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are names of folders")
+    dealt = [name for name in _names(spark, f"{root}/_parts/*") if not name.endswith(f"/{parts}")]
+    if dealt:
+        raise ValueError(f"{root} has {dealt[0].rsplit('/', 1)[1]} parts, not {parts}")
+    _touch(spark, f"{root}/_parts/{parts}")
+
+
+def _touch(spark: SparkSession, name: str) -> None:
+    fs, path = file_system(spark, name)
+    fs.create(path, True).close()
+
+
+def _write(df: DataFrame, root: str, key: str, parts: int, version: Column) -> int:
+    """Rows to ``version`` of their parts; Spark splits large parts and joins small ones before it writes."""
+    counted, seen = quality.observe_rows(df, "rows")
+    dealt = counted.withColumn(PART, part_of(df, key, parts))
+    dealt = dealt.withColumn(VERSION, version).hint("rebalance", PART)
+    dealt.write.mode("append").partitionBy(PART, VERSION).parquet(root)
+    return seen.get["rows"]
+
+
+def _next_version(spark: SparkSession, root: str) -> int:
+    """A number that was never begun."""
+    return max({v for _, v, _, _ in _begun(spark, root)} | _finished(spark, root), default=0) + 1
+
+
+def replace(df: DataFrame, root: str, key: str, parts: int, met: Iterable[int] | None = None) -> int:
+    """``df`` becomes the content of the parts ``met``, by default of the whole table; returns its rows.
+
+    A part that gets no row is empty from then on.  Every row of ``df`` must belong to a part ``met``.
+    """
+    spark = df.sparkSession
+    _check(spark, root, df, parts)
+    version = _next_version(spark, root)
+    rows = _write(df, root, key, parts, F.lit(version))
+    written = {part for part, v, _, _ in _begun(spark, root) if v == version}
+    for part in sorted(set(range(parts) if met is None else met) - written):
+        fs, path = file_system(spark, f"{root}/{PART}={part}/{VERSION}={version}-empty")
+        fs.mkdirs(path)
+    _touch(spark, f"{root}/_finished/{version}")
+    return rows
+
+
+def append(df: DataFrame, root: str, key: str, parts: int, schema: T.StructType) -> int:
+    """Add rows to the present versions of their parts; nothing is rewritten.  Returns how many.
+
+    Columns the rows lack are NULL; a column the table lacks is an error.
+    """
+    spark = df.sparkSession
+    fields = read(spark, root, schema).schema.fields
+    unknown = set(df.columns) - {f.name for f in fields}
+    if unknown:
+        raise ValueError(f"{root} has no column {sorted(unknown)}")
+    df = df.select(
+        *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    )
+    _check(spark, root, df, parts)
+    # Parts without files get their first ones with a new version.
+    version, present = _next_version(spark, root), _present(spark, root)
+    files = {part: number for part, (number, empty, _) in present.items() if not empty}
+    into = F.array(*[F.lit(files.get(part, version)) for part in range(parts)])
+    rows = _write(df, root, key, parts, F.element_at(into, F.col(PART) + 1))
+    _touch(spark, f"{root}/_finished/{version}")
+    return rows

@@ -26,12 +26,13 @@ def read_table(spark: SparkSession, where: str, columns: Sequence[str] | None =
 
 
 def read_raw_csv(
-    spark: SparkSession, path: str, schema: T.StructType = schemas.RAW, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType = schemas.RAW, multi_line: bool = False
 ) -> DataFrame:
     """Raw rows from CSV with a header, all text.
 
-    Quoted line breaks need ``multi_line``, which makes every file one task;
-    an export without them can be split when it is switched off.
+    Large files are split over tasks.  Values with line breaks need
+    ``multi_line``, which makes every file one task: an export that has them
+    should come in many files.
     """
     return spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, quote='"', escape='"')
 
@@ -66,14 +67,14 @@ def preview(df: DataFrame, n: int = 10) -> DataFrame:
 MARKER = "_SUCCESS"
 
 
-def _fs(spark: SparkSession, root: str):
+def file_system(spark: SparkSession, root: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def _versions(spark: SparkSession, root: str, finished: bool = True) -> list[int]:
     """Finished versions, or all that were begun, oldest first."""
-    fs, path = _fs(spark, root)
+    fs, path = file_system(spark, root)
     if not fs.exists(path):
         return []
     found = []
@@ -86,7 +87,7 @@ def _versions(spark: SparkSession, root: str, finished: bool = True) -> list[int
 
 def _finish(spark: SparkSession, version: str) -> None:
     """Marks a version as finished, whether or not the committer is set to mark its jobs."""
-    fs, path = _fs(spark, f"{version}/{MARKER}")
+    fs, path = file_system(spark, f"{version}/{MARKER}")
     fs.create(path, True).close()
 
 

@@ -32,7 +32,7 @@ def csv_roundtrip(spark, sf):
     docs = table(spark, sf, "documents").withColumn("text", padded)
     store.write_csv(docs.select("doc_id", "text", "lang"), path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_id", "text", "lang")])
-    return store.read_raw_csv(spark, path, schema).select(
+    return store.read_raw_csv(spark, path, schema, multi_line=True).select(
         F.col("doc_id").try_cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"), "lang"
     )
 
