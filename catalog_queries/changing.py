@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog_engine import runtime
 from catalog_engine.operators import changes
 from catalog_engine.operators.upsert import delete_cascade, upsert
+from catalog_engine.plans import jobs
 from catalog_queries.tables import table
 
 
@@ -68,6 +70,18 @@ def upsert_all(spark, sf):
     return upsert(table(spark, sf, "labels"), _relabelled(spark, sf), "doc_id")
 
 
+def upsert_parts(spark, sf):
+    """The same into a stored table in key-hash parts, one language after the other."""
+    fresh = table(spark, sf, "documents").select("doc_id", "lang").join(_relabelled(spark, sf), "doc_id")
+    labels = table(spark, sf, "labels")
+    stored = jobs.Table(runtime.scratch_path(spark, "parts"), labels.schema, "doc_id", parts=16)
+    stored.publish(labels)
+    for english in (F.col("lang") == "en", ~F.col("lang").eqNullSafe("en")):
+        batch = runtime.broadcast_if_small(runtime.checkpointed(fresh.filter(english).drop("lang")))
+        stored.merge(stored.read(spark), batch)
+    return stored.read(spark)
+
+
 def upsert_cols(spark, sf):
     out = upsert(
         table(spark, sf, "labels"), _relabelled(spark, sf), "doc_id", update_cols=["quality"],
@@ -115,7 +129,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         anti_new, stale_rows, classify_changes, existing_state, semi_in, scalar_eq,
-        upsert_all, upsert_cols, upsert_orders,
+        upsert_all, upsert_parts, upsert_cols, upsert_orders,
     )
 } | {"delete_cascade": delete_cascade_query}
 
@@ -146,6 +160,9 @@ WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDIN
 WHERE o_custkey = (SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1)""",
     "upsert_all": f"""WITH {_RELABELLED}
 SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM fresh)
+UNION ALL SELECT doc_id, quality, toxic FROM fresh""",
+    "upsert_parts": f"""WITH {_RELABELLED}
+SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM fresh)
 UNION ALL SELECT doc_id, quality, toxic FROM fresh""",
     "upsert_cols": f"""WITH {_RELABELLED}
 SELECT l.doc_id, CASE WHEN f.doc_id IS NOT NULL THEN f.quality ELSE l.quality END AS quality, l.toxic::DOUBLE AS toxic
