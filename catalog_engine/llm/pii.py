@@ -33,6 +33,20 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Signs of an account number by country.
+IBAN_LENGTH = {
+    code: int(n)
+    for n, codes in (
+        part.split(":")
+        for part in (
+            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
+            "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR "
+            "27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE "
+            "31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for code in codes.split(",")
+}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
@@ -81,6 +95,26 @@ def emails(text: str):
             at = text.find("@", cursor)
 
 
+def accounts(text: str):
+    """Account numbers.  The pattern runs on into words in capitals and other numbers: of the
+    beginnings that end with a word, the one as long as its country's numbers must pass mod 97;
+    where the length is not known, the longest that passes counts.  What follows it is read again.
+    """
+    m = IBAN.search(text)
+    while m:
+        start, at = m.start(), m.start() + 1
+        length = IBAN_LENGTH.get(m[0][:2])
+        for end in range(m.end(), start + 14, -1):
+            if end < m.end() and text[end] != " ":
+                continue
+            account = text[start:end].replace(" ", "")
+            if (len(account) == length if length else 15 <= len(account) <= 34) and mod97(account):
+                yield start, end
+                at = end
+                break
+        m = IBAN.search(text, at)
+
+
 def _spans(text: str):
     if "@" in text:
         for start, end in emails(text):
@@ -97,10 +131,8 @@ def _spans(text: str):
         for m in PHONE.finditer(text):
             if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if 15 <= len(account) <= 34 and mod97(account):
-            yield "iban", *m.span()
+    for start, end in accounts(text):
+        yield "iban", start, end
     for m in SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9":
             yield "ssn", *m.span()

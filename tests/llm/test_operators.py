@@ -146,6 +146,24 @@ def test_added_kinds_need_checksum_or_context(spark, odd):
     assert pii.find_pii(odd).count() == len(ODD) and pii.find_pii(odd.limit(0)).count() == 0
 
 
+def test_account_numbers_before_capitals_and_numbers():
+    def found(t):
+        return [t[a:b] for k, a, b, _ in pii.find(t) if k == "iban"]
+
+    spaced, whole = "BE68 5390 0754 7034", "ES9121000418450200051332"
+    for text in (f"{spaced} KBC", f"pay {spaced} 2024 now", f"{spaced} KBCX Bank", f"AB12 CODE {spaced}", f"{spaced}."):
+        assert found(text) == [spaced]
+    assert found("ES91 2100 0418 4502 0005 1332 2024") == ["ES91 2100 0418 4502 0005 1332"]
+    assert found(f"{whole} BIC CAIXESBB") == [whole]
+    assert found(f"{spaced} AT61 1904 3002 3457 3201 EUR") == [spaced, "AT61 1904 3002 3457 3201"]
+    assert found("BE69 5390 0754 7034 KBC") == [] and found(f"{spaced}x") == [] and found(f"{spaced}KBC") == []
+    assert pii.mask(f"{spaced} KBC", pii.find(f"{spaced} KBC")) == "<IBAN> KBC"
+    code = "AO06004400006729503010102"
+    assert found(f"{code} REF") == [code]
+    for run in ("AB12" * 30000, "AB12 " * 30000, "A" * 100000):
+        pii.find(run)
+
+
 def test_mix_equals_sql(spark):
     assert oracle.difference(queries.op7_mix(spark, SF), oracle.connect(SF), queries.SQL["op7_mix"]) is None
 
