@@ -15,6 +15,11 @@ nodes are long and well punctuated is content; menus have many short nodes.
    that a title or a short paragraph stays; headers, menus, sidebars, notices,
    adverts, forms and comments inside it are left out by their tag or marking.
 
+A class or id named like boilerplate does not count on a heading, on what holds
+the article or most of the text, and with "has", "no" or "with" before it.  Where
+it may as well come from the words of a section, the ratios decide on a class,
+and on an id whether the text is more than links.
+
 Characters of a block are joined, references decoded, white space turned into
 one space; blocks are joined by a line break.  ``br`` is white space.
 """
@@ -25,6 +30,7 @@ import html
 import re
 import unicodedata
 from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +47,10 @@ HELD = 0.9
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SKIPPED = frozenset(
-    "head script style noscript template nav header footer aside form button select option textarea input svg "
+    "head script style noscript template nav header footer aside button select option textarea input svg "
     "iframe object canvas title dialog menu label noembed noframes xmp".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split()
@@ -73,6 +80,17 @@ BOILERPLATE = re.compile(
     r"share|sharing|social|toolbar|skip-link|login|signup|search)(?=$|[\s_-])",
     re.I,
 )
+#: What a layout has or lacks says nothing about the element itself.
+HAS = re.compile(r"(?:(?<=[\s_-])|^)(?:has|have|no|not|with|without)[_-]+\S*", re.I)
+#: Words of the list that sections of an article are called by as well.
+TOPIC = re.compile(r"[\s_-]*(?:discussion|related|recommend\w*|social|search)", re.I)
+COMMENTS = re.compile(r"[\s\d_-]*comments?[\s\d_-]*", re.I)
+#: Their ids never mark them.
+NAMED_BY_TEXT = HEADINGS | INLINE | frozenset("p dt dd pre".split())
+#: How sure a mark of boilerplate is.
+PERHAPS, SURELY = 1, 2
+#: Fused ratio from which a block is prose, whatever else the page holds.
+PROSE = 150.0
 CONTENT = re.compile(
     r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:[_-]?(?:body|content|text|main|area))?(?=$|[\s])", re.I
 )
@@ -82,37 +100,70 @@ TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "depth", "skipped", "content", "within", "order", "block")
+    __slots__ = ("tag", "parent", "path", "depth", "skipped", "content", "within", "order", "block", "link", "marks")
 
-    def __init__(self, tag, parent, skipped, content, order, path):
-        self.tag, self.parent, self.skipped, self.content, self.order = tag, parent, skipped, content, order
-        self.path = path
+    def __init__(self, tag, parent, skipped, marks, order, path):
+        self.tag, self.parent, self.skipped, self.marks, self.order = tag, parent, skipped, marks, order
+        self.path, self.content = path, marks.article
         self.depth = parent.depth + 1 if parent else 0
         #: Whether an element around this one is marked as the article.
         self.within = bool(parent) and (parent.within or parent.content)
         self.block = parent.block if parent and tag in INLINE else self
+        self.link = tag == "a" or bool(parent) and parent.link
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
 
 
-def _marks(tag: str, source: str) -> tuple[bool, bool]:
-    """Whether an element is left out, and whether it is marked as the article."""
+class Marks(NamedTuple):
+    """What the tag and the attributes of an element say of it."""
+
+    #: Never part of the text.
+    out: bool = False
+    #: Marked as the article; by more than its class or id; as the main part of the page.
+    article: bool = False
+    strong: bool = False
+    main: bool = False
+    #: Named like boilerplate, and how far that counts against it: 0, PERHAPS or SURELY.
+    named: bool = False
+    boilerplate: int = 0
+    by_id: bool = False
+    id: str = ""
+
+
+def _boilerplate(tag: str, classes: str, name: str) -> int:
+    """A class says what an element is, an id may come from the words of a section."""
+    if any(not TOPIC.fullmatch(m[0]) for m in BOILERPLATE.finditer(classes)):
+        return SURELY
+    words = [] if tag in NAMED_BY_TEXT else [m[0] for m in BOILERPLATE.finditer(name)]
+    if words and not re.search(r"[^\W\d_]", BOILERPLATE.sub("", name)) and not all(map(TOPIC.fullmatch, words)):
+        return SURELY
+    return PERHAPS if words or BOILERPLATE.search(classes) else 0
+
+
+def _marks(tag: str, source: str) -> Marks:
     if not source or source.isspace() or source == "/":
-        return tag in SKIPPED, tag in ("article", "main")
+        strong = tag in ("article", "main")
+        return Marks(tag in SKIPPED, strong, strong, tag == "main", False, SURELY if tag == "form" else 0)
     attributes = _attributes(source)
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    classes, name, role = attributes.get("class", ""), attributes.get("id", ""), attributes.get("role")
     hidden = (
         "hidden" in attributes
         or attributes.get("aria-hidden") == "true"
         or re.search(r"display\s*:\s*none", attributes.get("style", ""))
     )
-    article = tag in ("article", "main") or attributes.get("role") in ("main", "article") or bool(CONTENT.search(names))
-    article = article or attributes.get("itemprop") == "articleBody"
-    left_out = tag in SKIPPED or hidden or attributes.get("role") in ROLES
-    left_out = left_out or (tag not in ("html", "body", "article", "main") and bool(BOILERPLATE.search(names)))
-    return bool(left_out), article
+    strong = tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articleBody"
+    article = strong or bool(CONTENT.search(f"{classes} {name}"))
+    boilerplate = _boilerplate(tag, HAS.sub("", classes), HAS.sub("", name))
+    named = boilerplate > 0
+    if tag == "form":
+        boilerplate = SURELY
+    elif tag in ("html", "body", "article", "main") or tag in HEADINGS:
+        boilerplate = 0
+    main = tag == "main" or role == "main"
+    by_id = not BOILERPLATE.search(HAS.sub("", classes))
+    return Marks(bool(tag in SKIPPED or hidden or role in ROLES), article, strong, main, named, boilerplate, by_id, name)
 
 
 def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
@@ -121,7 +172,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     ``br`` is a text node of a line break.  A tag path is a number: pages may
     nest without bound.
     """
-    root = Node("", None, False, False, 0, 0)
+    root = Node("", None, False, Marks(), 0, 0)
     nodes, paths, opened = [root], {}, defaultdict(int)
     node, texts, at, size = root, [], 0, len(source)
     while at < size:
@@ -175,9 +226,9 @@ def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 up = up.parent
             if found:
                 node = _close(node, found, opened)
-        left_out, article = _marks(tag, attributes)
+        marks = _marks(tag, attributes)
         path = paths.setdefault((node.path, tag), len(paths) + 1)
-        child = Node(tag, node, node.skipped or left_out, article, len(nodes), path)
+        child = Node(tag, node, node.skipped or marks.out, marks, len(nodes), path)
         nodes.append(child)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
@@ -233,6 +284,103 @@ def path_scores(texts: list[tuple[Node, str]]) -> dict[int, float]:
     return dict(zip(paths, fused))
 
 
+def content_floor(scores: dict[int, float]) -> float:
+    """The score from which a path is a content path; scores are products, so their logarithms are averaged."""
+    logs = np.log(list(scores.values()) or [1.0])
+    return float(np.exp(logs.mean() - THRESHOLD * logs.std()))
+
+
+def _leave_out(nodes: list[Node], texts: list[tuple[Node, str]]) -> None:
+    """Skip what is named like boilerplate, where it is.
+
+    An element around the article, or around most of the text where no article
+    is marked, stays.  So does one that only may be boilerplate, inside an
+    article or as a section, when most of its text is prose.
+    """
+    if not any(n.marks.boilerplate and not n.skipped for n in nodes):
+        return
+    size = len(nodes)
+    votes, around, holds, suspected = [0.0] * size, [False] * size, [False] * size, [False] * size
+    for node, text in texts:
+        votes[node.order] += len(text.strip()) + _punctuation(text)
+    for n in reversed(nodes[1:]):
+        votes[n.parent.order] += votes[n.order]
+        holds[n.order] = holds[n.order] or (n.marks.strong and not n.marks.named and votes[n.order] > 0)
+        holds[n.parent.order] = holds[n.parent.order] or holds[n.order]
+    for n in nodes[1:]:
+        suspected[n.order] = suspected[n.parent.order] or n.marks.boilerplate > 0
+    marked = [n for n in nodes if n.content and not n.skipped and votes[n.order]]
+    clear = [n for n in marked if not suspected[n.order]]
+    for n in marked:
+        around[n.order] = n.marks.main
+    strong = [n for n in marked if n.marks.strong and not n.marks.named]
+    if strong and not any(n.marks.strong for n in clear):
+        best = max(strong, key=lambda n: (votes[n.order], -n.order))
+        around[best.order] |= all(votes[best.order] > votes[n.order] for n in clear)
+    for n in reversed(nodes[1:]):
+        # Beside a marked article, cards of other articles may be the longer half.
+        most = holds[n.order] and votes[n.order] >= HELD * votes[0] if clear else 2 * votes[n.order] > votes[0]
+        around[n.parent.order] |= around[n.order]
+        around[n.order] |= most
+    headings = _first_headings(nodes, texts)
+    perhaps = []
+    for n in nodes[1:]:
+        n.skipped = n.skipped or n.parent.skipped
+        if n.marks.boilerplate and not n.skipped and not around[n.order]:
+            section = n.content or n.within or n.tag == "section" or headings[n.order]
+            if section and (n.marks.boilerplate == PERHAPS or _named_by(headings[n.order], n.marks)):
+                perhaps.append(n)
+            else:
+                n.skipped = True
+    if not perhaps:
+        return
+    prose, free, chars = _prose(nodes, [(node, text) for node, text in texts if not node.skipped])
+    for n in perhaps:
+        found = free if n.marks.by_id else prose
+        n.skipped = not found[n.order] or 2 * found[n.order] < chars[n.order]
+    for n in nodes[1:]:
+        n.skipped = n.skipped or n.parent.skipped
+
+
+def _first_headings(nodes: list[Node], texts: list[tuple[Node, str]]) -> list[str]:
+    """The text of the first heading in every element."""
+    found = [""] * len(nodes)
+    for node, text in texts:
+        if node.block.tag in HEADINGS:
+            found[node.block.order] += text
+    for n in reversed(nodes[1:]):
+        found[n.parent.order] = found[n.order] or found[n.parent.order]
+    return found
+
+
+def _named_by(heading: str, marks: Marks) -> bool:
+    """Whether an id is the words of a heading, and not those of a list of comments."""
+    words = re.findall(r"\w+", heading.lower())
+    return bool(words) and not COMMENTS.fullmatch(heading) and words == re.findall(r"[^\W_]+", marks.id.lower())
+
+
+def _prose(nodes: list[Node], texts: list[tuple[Node, str]]) -> tuple[list[int], list[int], list[int]]:
+    """Characters of every element besides headings: in long, punctuated blocks, outside of links, and all."""
+    chars, prose, free, own, marks = ([0] * len(nodes) for _ in range(5))
+    for node, text in texts:
+        at, n = node.block.order, len(text.strip())
+        if node.block.tag not in HEADINGS:
+            chars[at] += n
+            if not node.link:
+                own[at] += n
+                marks[at] += _punctuation(text)
+    floor = min(PROSE, content_floor(path_scores(texts)))
+    for n in reversed(nodes):
+        at = n.order
+        free[at] += own[at]
+        if marks[at] and (1 + own[at]) * (1 + marks[at]) >= floor:
+            prose[at] += own[at]
+        if n.parent:
+            for of in (chars, prose, free):
+                of[n.parent.order] += of[at]
+    return prose, free, chars
+
+
 def _container(nodes, texts, scores) -> Node | None:
     """The element that holds the votes of the content paths."""
     values = np.array(list(scores.values()))
@@ -258,6 +406,8 @@ def main_text(source: str) -> str:
     """The article of a page: its blocks, one to a line; empty when there is none."""
     nodes, texts = parse(source)
     texts = [(node, html.unescape(text)) for node, text in texts if text and not node.skipped]
+    _leave_out(nodes, texts)
+    texts = [(node, text) for node, text in texts if not node.skipped]
     scores = path_scores(texts)
     if not scores:
         return ""

@@ -224,6 +224,42 @@ def test_main_text(spark):
     assert queries.op10_main_text(spark, SF).filter("text like '%©%' or n_chars = 0").count() == 0
 
 
+FIRST = "The first part is long enough, as parts go, and has its marks."
+SECOND = "A second part follows; it says more, in whole sentences, and ends."
+
+
+@pytest.mark.parametrize("name", ["page has-sidebar", "no-sidebar", "single has-comments", "layout sidebar-right", "header-fixed"])
+def test_main_text_inside_a_layout(name):
+    page = f"<body><nav><a>Home</a></nav><div class='{name}'><article><p>{FIRST}</p></article><div class=sidebar>Side</div></div>"
+    assert html_paths.main_text(page) == FIRST
+    assert html_paths.main_text(page.replace("article>", "main>")) == FIRST
+    plain = f"<body><div class='{name}'><p>{FIRST}</p><p>{SECOND}</p></div><div class=ad>Buy!</div>"
+    assert html_paths.main_text(plain) == f"{FIRST}\n{SECOND}"
+
+
+@pytest.mark.parametrize("name", ["discussion", "related-work", "social-impact", "search", "recommendations", "comments-on-the-method"])
+def test_main_text_of_sections_named_by_their_words(name):
+    page = f"<article><p>{FIRST}</p><section id='{name}'><h2 id='{name}'>Head</h2><p>{SECOND}</p></section></article>"
+    assert html_paths.main_text(page) == f"{FIRST}\nHead\n{SECOND}"
+    assert html_paths.main_text(page.replace(SECOND, "Few words")) == f"{FIRST}\nHead\nFew words"
+    links = "".join(f"<li><a>More to read {i}</a>" for i in range(5))
+    for tag in ("section", "div"):
+        for mark in ("class", "id"):
+            page = f"<article><p>{FIRST}</p><{tag} {mark}='{name}'><h2>More</h2><ul>{links}</ul></{tag}></article>"
+            assert html_paths.main_text(page) == FIRST
+
+
+def test_main_text_leaves_out_named_boilerplate():
+    assert html_paths.main_text(f"<article><p>{FIRST}</p><section id=cookies><h2>Cookies</h2><p>{SECOND}</p></section></article>") == f"{FIRST}\nCookies\n{SECOND}"
+    for mark in ("class=comments", "id=comments", "class=cookie-notice", "class=sidebar", "id=sidebar", "class='ad'"):
+        assert html_paths.main_text(f"<article><p>{FIRST}</p><div {mark}><p>{SECOND}</p></div></article>") == FIRST
+    comments = f"<div class=comments><article class=comment><p>{SECOND * 9}</p></article></div>"
+    assert html_paths.main_text(f"<body><article><p>{FIRST}</p></article>{comments}") == FIRST
+    related = f"<div class=related><article><p>{SECOND}</p></article></div>"
+    assert html_paths.main_text(f"<body><article><p>{FIRST}</p></article>{related}") == FIRST
+    assert html_paths.main_text(f"<body><form><div><article><p>{FIRST}</p></article></div></form>") == FIRST
+
+
 def test_quality_held_out(spark, odd):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     scored = queries.op3_quality(spark, SF)
