@@ -8,12 +8,15 @@ nodes are long and well punctuated is content; menus have many short nodes.
 2. Both are smoothed over paths in page order with a Gaussian window, and
    fused by multiplying them (one added to each).
 3. Paths from ``THRESHOLD`` standard deviations below the mean up are content
-   paths.  Characters and punctuation of content paths vote for the container
-   that holds them: ``article`` or ``main`` (or an element marked as such), else
+   paths.  Characters and punctuation of content paths vote for the containers
+   that hold them: every ``article`` or ``main`` (or element marked as such), else
    the deepest element that holds nearly all votes.
-4. Text nodes of that container are the content nodes, whatever their length, so
+4. Text nodes of the containers are the content nodes, whatever their length, so
    that a title or a short paragraph stays; headers, menus, sidebars, notices,
-   adverts, forms and comments inside it are left out by their tag or marking.
+   adverts, forms and comments inside are left out by their tag or marking.
+5. Blocks on content paths beside the containers, and headings over what is kept,
+   are content too: of the whole page, or where articles are marked between and
+   next to them.  There the logarithms of the scores are compared.
 
 A class or id named like boilerplate does not count on a heading, on what holds
 the article or most of the text, and with "has", "no" or "with" before it.  Where
@@ -381,8 +384,8 @@ def _prose(nodes: list[Node], texts: list[tuple[Node, str]]) -> tuple[list[int],
     return prose, free, chars
 
 
-def _container(nodes, texts, scores) -> Node | None:
-    """The element that holds the votes of the content paths."""
+def _containers(nodes, texts, scores) -> list[Node]:
+    """All outermost elements marked as the article, else the element that holds the votes of the content paths."""
     values = np.array(list(scores.values()))
     floor = values.mean() - THRESHOLD * values.std()
     votes = [0.0] * len(nodes)
@@ -393,13 +396,73 @@ def _container(nodes, texts, scores) -> Node | None:
     for node in reversed(nodes[1:]):
         votes[node.parent.order] += votes[node.order]
     if not votes[0]:
-        return None
+        return []
     blocks = [n for n in nodes if votes[n.order] and n.tag not in INLINE and not n.skipped]
     outer = [n for n in blocks if n.content and not n.within]
     if outer:
-        return max(outer, key=lambda n: (votes[n.order], -n.order))
+        return outer
     held = [n for n in blocks if votes[n.order] >= HELD * votes[0] and n.tag not in LEAVES]
-    return max(held, key=lambda n: n.depth)
+    return [max(held, key=lambda n: n.depth)]
+
+
+def _beside(nodes, texts, scores, containers: list[Node], inside: list[bool]) -> set[int]:
+    """Blocks outside of the containers that belong to them: those on content paths, and headings of what is kept.
+
+    Where articles are marked, what is between them and what stands right beside
+    them; else the whole page.  Blocks of links, and loose text that is short or
+    has no punctuation, are not taken.
+    """
+    size = len(nodes)
+    chars, linked, marks, holds, under = [0] * size, [0] * size, [0] * size, [0] * size, [False] * size
+    content, order = [False] * size, []
+    floor = content_floor(scores)
+    for node, text in texts:
+        stripped, at = text.strip(), node.block.order
+        if stripped and not inside[at]:
+            if not chars[at]:
+                order.append(node.block)
+            chars[at] += len(stripped)
+            linked[at] += len(stripped) if node.link else 0
+            marks[at] += _punctuation(stripped)
+            content[at] |= scores[node.path] >= floor
+        elif stripped and (not order or order[-1] is not None):
+            order.append(None)
+    if not any(order):
+        return set()
+    marked = containers[0].content
+    for n in containers:
+        holds[n.order] = 1
+    for n in reversed(nodes[1:]):
+        holds[n.parent.order] += holds[n.order]
+    first, last = containers[0].order, containers[-1].order
+    top = max((n for n in nodes if holds[n.order] == len(containers)), key=lambda n: n.depth) if marked else nodes[0]
+    if top is containers[0] and top.parent:
+        top = top.parent
+    under[top.order] = True
+    for n in nodes[1:]:
+        under[n.order] = under[n.order] or under[n.parent.order]
+
+    def belongs(n: Node) -> bool:
+        at = n.order
+        if 2 * linked[at] >= chars[at] or not content[at]:
+            return False
+        prose = marks[at] > 0 and (1 + chars[at]) * (1 + marks[at]) >= min(PROSE, floor)
+        return prose or n.tag in LEAVES and not (marked and at > last)
+
+    found, follows = set(), False
+    for n in reversed(order):
+        if n is None:
+            follows = True
+        elif not under[n.order] or marked and not (n.parent is top or n is top or first < n.order < last):
+            follows = False
+        elif n.tag in HEADINGS:
+            if follows or n.tag == "h1" and n.order < last:
+                found.add(n.order)
+        else:
+            follows = belongs(n)
+            if follows:
+                found.add(n.order)
+    return found
 
 
 def main_text(source: str) -> str:
@@ -411,15 +474,18 @@ def main_text(source: str) -> str:
     scores = path_scores(texts)
     if not scores:
         return ""
-    container = _container(nodes, texts, scores)
-    if container is None:
+    containers = _containers(nodes, texts, scores)
+    if not containers:
         return ""
     inside = [False] * len(nodes)
-    for node in nodes:
-        inside[node.order] = node is container or (node.parent is not None and inside[node.parent.order])
+    for node in containers:
+        inside[node.order] = True
+    for node in nodes[1:]:
+        inside[node.order] = inside[node.order] or inside[node.parent.order]
+    beside = _beside(nodes, texts, scores, containers, inside)
     blocks, held, last = [], [], None
     for node, text in texts:
-        if inside[node.order]:
+        if inside[node.order] or node.block.order in beside:
             if node.block is not last:
                 blocks.append(held)
                 held, last = [], node.block

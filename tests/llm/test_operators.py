@@ -260,6 +260,27 @@ def test_main_text_leaves_out_named_boilerplate():
     assert html_paths.main_text(f"<body><form><div><article><p>{FIRST}</p></article></div></form>") == FIRST
 
 
+@pytest.mark.parametrize("block", ["div class=content", "article", "div class='entry'"])
+def test_main_text_of_several_articles(block):
+    end = block.split()[0]
+    one, two = (f"<{block}><p>{t}</p></{end}>" for t in (FIRST * 3, SECOND))
+    nav, ad = "<nav><a>Home</a></nav>", "<div class=ad>Buy this, and that!</div>"
+    want = f"{FIRST * 3}\n{SECOND}"
+    assert html_paths.main_text(f"<body>{nav}<div>{one}{ad}{two}</div><footer>me</footer>") == want
+    assert html_paths.main_text(f"<body>{nav}<div>{one}</div>{ad}<div>{two}</div>") == want
+    assert html_paths.main_text(f"<body><div><h1>Title</h1>{one}<div>Buy!</div>{two}</div>") == f"Title\n{want}"
+
+
+@pytest.mark.parametrize("times", [1, 5, 60, 2000])
+def test_main_text_keeps_title_lead_and_end_of_long_pages(times):
+    long = f"<div class='text'>{f'<p>{FIRST}</p>' * times}</div>"
+    menu = "<div>" + "".join(f"<a>Go {i}</a> " for i in range(9)) + "</div>"
+    page = f"<body>{menu}<h1>Title</h1><p>A lead, in short.</p>{long}<div><h2>End</h2><p>{SECOND}</p></div></body>"
+    lines = html_paths.main_text(page).split("\n")
+    assert lines[-times - 4 :] == ["Title", "A lead, in short.", *[FIRST] * times, "End", SECOND]
+    assert times < 60 or len(lines) == times + 4
+
+
 def test_quality_held_out(spark, odd):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     scored = queries.op3_quality(spark, SF)
