@@ -456,3 +456,62 @@ def test_pipeline(spark, odd):
             want = sorted((r.doc_id, model.encode(r.text)) for r in before.collect())
             assert sorted((r.doc_id, list(r.ids)) for r in after.collect()) == want
         before = spark.createDataFrame(after.collect(), after.schema) if name != "sentencepiece" else after
+
+
+def all_pairs_classes(rows):
+    """Classes by comparing all pairs, whatever the number of documents that share a run of words."""
+    shingles = near.Shingles()
+    sets = [near.occurrences(*shingles.weighted(t)) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for j, (_, text) in enumerate(rows):
+        for i in range(j):
+            if top(i) == top(j):
+                continue
+            least, most = sorted((len(sets[i]), len(sets[j])))
+            if text == rows[i][1] or least and least >= 0.8 * most and near.similarity(sets[i], sets[j]) >= 0.8:
+                label[top(j)] = top(i)
+    return {i: min(rows[k][0] for k in range(len(rows)) if top(k) == top(at)) for at, (i, _) in enumerate(rows)}
+
+
+def test_run_of_the_pipeline_equals_a_plain_chain(spark, tmp_path):
+    """All stages, each written and read again, against plain versions on a table with a large group of near copies."""
+    import corpus_pipeline
+    import pandas as pd
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    given = spark.read.parquet(f"{SF}/documents.parquet").filter("char_length(text) < 900").orderBy("doc_id").limit(160)
+    good = given.join(labels.filter("quality = 1"), "doc_id", "left_semi").filter("char_length(text) > 500")
+    base, rnd = good.orderBy("doc_id").first(), random.Random(5)
+    rows = [tuple(r) for r in given.collect()]
+    for i in range(320):
+        words = base.text.split(" ")
+        words[rnd.randrange(len(words))] = f"other{i}"
+        text = " ".join([*words, "mail", f"reader{i}@example.org"][: len(words) + 2 * (i % 2)])
+        rows.append((10**6 + i, text, base.lang, base.source, len(text)))
+    documents = spark.createDataFrame(rows, given.schema)
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    table, network = quality.fit(documents, labels)
+    score = {r.doc_id: r.score for r in quality.score(documents, table, network).collect()}
+    kept = [r for r in rows if score[r[0]] >= 0.3]
+    assert sum(r[0] >= 10**6 for r in kept) >= 300 and len(kept) < len(rows)
+    least = set(all_pairs_classes([r[:2] for r in kept]).values())
+    assert len(least) < len(kept) - 300
+    masked = [(i, pii.mask(t, pii.find(t)), lang, source) for i, t, lang, source, _ in kept if i in least]
+    con = oracle.duckdb.connect()
+    con.register("documents", pd.DataFrame(masked, columns=["doc_id", "text", "lang", "source"]))
+    mixed = con.execute(f"SELECT doc_id, size, taken FROM ({mix.SQL})").fetchall()
+    times = {i: taken // size if size else 0 for i, size, taken in mixed}
+    model, want = pieces.Pieces(MODEL), []
+    for i, text, lang, source in masked:
+        want += times[i] * [(i, lang, source, len(text), plain_viterbi(model, text))]
+    assert len(want) > len(masked)
+    assert sorted((r.doc_id, r.lang, r.source, r.n_chars, list(r.ids)) for r in got) == sorted(want)
