@@ -330,12 +330,14 @@ def near_duplicates(
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` that stay when of each class of near-duplicates one document is kept; same columns.
 
-    An id that repeats stays once.  Rows without an id all stay.
+    An id that repeats stays once, with the text of the smallest digest.  Rows
+    without an id all stay.
     """
     found = near_duplicates(df, id_col, text_col, threshold).filter(F.col(id_col).isNotNull() & F.col("kept"))
     kept = unused_name(df, "kept_id")
     ids = runtime.checkpointed(found.groupBy(F.col(id_col).alias(kept)).count())
     rows = df.join(ids.select(kept), F.col(id_col).cast("long") == F.col(kept), "left_semi")
     if ids.filter("count > 1").limit(1).count():
-        rows = rows.dropDuplicates([id_col])
+        first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.sha2(F.coalesce(text_col, F.lit("")), 256))
+        rows = rows.groupBy(F.col(id_col).alias(kept)).agg(first.alias("row")).select("row.*")
     return rows.unionByName(df.filter(F.col(id_col).isNull()))

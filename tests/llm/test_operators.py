@@ -380,6 +380,15 @@ def test_keeping_one_beside_columns_of_any_name(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1]
 
 
+def test_the_text_that_stays_of_a_repeated_id_does_not_depend_on_order(spark):
+    rows = [(7, f"these are the words of text {i}") for i in range(6)] + [(8, "x"), (None, "y")]
+    kept = [
+        sorted((r.doc_id or 0, r.text) for r in near.keep_one(spark.createDataFrame(some, "doc_id long, text string").coalesce(1)).collect())
+        for some in (rows, rows[::-1])
+    ]
+    assert kept[0] == kept[1] and [i for i, _ in kept[0]] == [0, 7, 8]
+
+
 def test_near_vectors_equal_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(itq, "BLOCK", 16)
     df, x = vectors(spark, EXTRA)
