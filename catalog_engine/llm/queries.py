@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog_engine import runtime
-from catalog_engine.llm import html_paths, itq, mix, multi_index, near, pieces, pii, quality, tokens, warc
+from catalog_engine.llm import (
+    chat,
+    html_paths,
+    itq,
+    mix,
+    multi_index,
+    near,
+    orchard,
+    pieces,
+    pii,
+    quality,
+    source_audit,
+    tokens,
+    warc,
+)
 
 
 def _table(spark, sf, name):
@@ -83,6 +97,24 @@ def op10_main_text(spark, sf):
     return html_paths.extract_main_text(_table(spark, sf, "pages"))
 
 
+def op11_source_audit(spark, sf):
+    """How the sources of each language differ, and by which terms."""
+    return source_audit.audit(_table(spark, sf, "documents"))
+
+
+def op12_orchard(spark, sf):
+    """Clusters of all vectors of 64 components."""
+    return orchard.clusters(_table(spark, sf, "embeddings"))
+
+
+def op13_chat(spark, sf):
+    """Every conversation formatted, written, read again and parsed."""
+    path = runtime.scratch_path(spark, "chat")
+    formatted = chat.format_conversations(chat.with_sample(_table(spark, sf, "conversations")))
+    formatted.write.option("compression", "zstd").parquet(path)
+    return chat.digests(spark.read.parquet(path)).select(F.col("conv").alias("conv_id"), *chat.DIGEST)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -96,7 +128,15 @@ QUERIES = {
         op8_itq,
         op9_token_counts,
         op10_main_text,
+        op11_source_audit,
+        op12_orchard,
+        op13_chat,
     )
 }
 
-SQL = {"op7_mix": mix.SQL}
+SQL = {
+    "op7_mix": mix.SQL,
+    "op11_source_audit": source_audit.SQL,
+    "op12_orchard": orchard.SQL,
+    "op13_chat": chat.SQL,
+}
