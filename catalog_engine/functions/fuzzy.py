@@ -120,8 +120,8 @@ class NameBlock:
             self.no_twice[i] = len(distinct) == len(ws)
             for w in distinct:
                 self.rows_with.setdefault(w, []).append(i)
-        joined = _lengths([" ".join(ws) for ws in self.words])
-        self.plain = self.no_twice & (self.lengths == joined)  # and single spaces only
+        single = np.array([" ".join(ws) == n for n, ws in zip(names, self.words)], dtype=bool)
+        self.plain = self.no_twice & single  # and single spaces only
         row = np.repeat(np.arange(len(names)), self.lengths)
         counts = np.bincount(row * self.CLASSES + _classes("".join(names)), minlength=len(names) * self.CLASSES)
         self.counts = counts.reshape(len(names), self.CLASSES)

@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine import rules
+from catalog_engine import rules, runtime
 from catalog_engine.functions import text
+from catalog_engine.operators.extract import field_column
 
 # Elements that never have content (HTML standard).
 VOID = frozenset(
@@ -224,7 +225,7 @@ def extract_html_fields(df: DataFrame, html: str, page_rules: Sequence[HtmlRule]
                 names=[f.name for f in kept] + [r.name for r in page_rules],
             )
 
-    return df.select(*[f.name for f in kept], html).mapInArrow(run, schema)
+    return runtime.spread(df.select(*[f.name for f in kept], html)).mapInArrow(run, schema)
 
 
 # --------------------------------------------------------------------------
@@ -285,3 +286,33 @@ def item_pages_to_raw(pages: DataFrame, url: str = "url", html: str = "html") ->
         F.array_distinct("perfumers").alias("perfumers"),
         marked(F.regexp_replace("description", r"(?U)\s+", " ")).alias("description"),
     )
+
+
+def legacy_pages_to_raw(pages: DataFrame, segment: str, html: str = "html") -> DataFrame:
+    """Pages of the older layout to whole scraped records, with the ``id`` and ``brand`` of their address.
+
+    Everything comes from the page itself: its address from a meta tag; name,
+    brand and id from the address, for the brand whose URL segment is
+    ``segment``; the category from the prose, wherever it stands there.  What the
+    page lacks is the missing mark, an empty list, or a NULL id or brand; the
+    layout has no perfumers.
+    """
+    found = extract_html_fields(pages.select(html), html, ITEM_PAGE_LEGACY)
+    named = {rule.name: field_column(rule) for rule in rules.one_brand_fields(segment)}
+    labels = tuple((label, label) for label, _ in rules.CATEGORY_SUFFIXES)
+
+    def marked(c: Column) -> Column:
+        return F.coalesce(text.blank_to_null(c), F.lit(rules.MISSING_MARK))
+
+    return found.select(
+        "url",
+        marked(named["name"]).alias("name"),
+        marked(text.suffix_category("description", labels, "contains")).alias("gender"),
+        marked(F.col("rating")).alias("rating"),
+        marked(F.col("rating_count")).alias("rating_count"),
+        "main_accords",
+        F.array().cast("array<string>").alias("perfumers"),
+        marked(F.col("description")).alias("description"),
+        named["id"].alias("id"),
+        named["brand"].alias("brand"),
+    )

@@ -5,6 +5,9 @@ both sides for this very join, whatever they were partitioned by before, and
 only such a join can have a hot key of the big table split at run time.  It
 also comes first in the sort order, so long keys with a common start (URLs)
 are rarely compared as text.
+
+A table that is stored in buckets by the key is joined on the key alone: it need
+not be shuffled at all.
 """
 
 from __future__ import annotations
@@ -63,6 +66,27 @@ def is_broadcast(df: DataFrame) -> bool:
     return int(str(execution.optimizedPlan().stats().sizeInBytes())) <= limit
 
 
+def is_bucketed(df: DataFrame, key: str) -> bool:
+    """Whether ``df`` is a stored table, or a projection or filter of one, whose rows lie in buckets by ``key``."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    leaf = leaves.head() if leaves.size() == 1 else None
+    if leaf is None or leaf.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    relation = leaf.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.bucketSpec().isEmpty():
+        return False
+    names = relation.bucketSpec().get().bucketColumnNames()
+    if names.size() != 1 or names.head().lower() != key.lower():
+        return False
+    # The column is still the stored one.
+    ids = [
+        {a.exprId().toString() for a in map(output.apply, range(output.size())) if a.name().lower() == key.lower()}
+        for output in (leaf.output(), plan.output())
+    ]
+    return bool(ids[0] & ids[1])
+
+
 def listed(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``keys``."""
     return _filtered(df, keys, on, "left_semi")
@@ -75,5 +99,9 @@ def unlisted(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
 
 def _filtered(df: DataFrame, keys: DataFrame, on: tuple[str, ...], how: str) -> DataFrame:
     check_types(df, keys, *on)
+    if len(on) == 1 and is_bucketed(df, *on):
+        return df.join(key_set(keys, *on), list(on), how)
+    if len(on) == 1 and is_bucketed(keys, *on):
+        return df.join(keys.select(*on), list(on), how)
     right = with_hash(key_set(keys, *on), *on)
     return with_hash(df, *on).join(right, [HASH, *on], how).select(*df.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog_engine import rules, runtime
-from catalog_engine.functions import fuzzy, text
+from catalog_engine.functions import fuzzy, grams, text
 from catalog_engine.operators import pairing
 
 
@@ -94,12 +94,22 @@ def search_terms(
 HELD = 1 << 18
 
 
+def _rows_of(codes: np.ndarray, n: int) -> list[np.ndarray]:
+    """The rows of each of ``n`` codes."""
+    order = np.argsort(codes, kind="stable")
+    ends = np.searchsorted(codes[order], np.arange(n + 1))
+    return [order[start:end] for start, end in zip(ends[:-1], ends[1:])]
+
+
 class _TermHits:
     """Running top list per term over blocks of names."""
 
     def __init__(self, terms: pa.Table, carried: list[str], key: str, ties: list[str], threshold: float, limit: int):
         self.terms = terms.column("term").to_pylist()
-        self.norms = terms.column("_norm").to_pylist()
+        # Terms that are the same when normalised are looked for once.
+        coded = terms.column("_norm").combine_chunks().dictionary_encode()
+        self.index = grams.TermIndex(coded.dictionary.to_pylist())
+        self.asked = _rows_of(coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary))
         self.carried, self.threshold, self.limit = carried, threshold, limit
         self.order = ["score", *ties, key]
         self.rising = [False] * (1 + len(ties)) + [True]
@@ -113,20 +123,16 @@ class _TermHits:
         coded = block.column("_norm").combine_chunks().dictionary_encode()
         names = fuzzy.NameBlock(coded.dictionary.to_pylist())
         at = coded.indices.to_numpy(zero_copy_only=False)
-        known = ~np.isnan(at.astype(float))
-        code = np.where(known, at, 0).astype(int)
+        rows_of = _rows_of(np.where(np.isnan(at.astype(float)), -1, at).astype(int), len(coded.dictionary))
         found, held = [], 0
-        for t, norm in enumerate(self.norms):
-            by_name = names.scores(norm, self.threshold)
-            score = np.where(known, by_name[code] if len(by_name) else 0.0, 0.0)
-            hit = np.flatnonzero(score > self.threshold)
-            if not len(hit):
-                continue
-            found.append((np.full(len(hit), t), hit, score[hit]))
-            held += len(hit)
-            if held >= HELD:
-                self._keep(rows, found)
-                found, held = [], 0
+        for scored in self.index.scores(names, self.threshold):
+            for n, t, score in zip(*scored):
+                hit, terms = rows_of[n], self.asked[t]
+                found.append((np.repeat(terms, len(hit)), np.tile(hit, len(terms)), np.full(len(hit) * len(terms), score)))
+                held += len(hit) * len(terms)
+                if held >= HELD:
+                    self._keep(rows, found)
+                    found, held = [], 0
         if found:
             self._keep(rows, found)
 

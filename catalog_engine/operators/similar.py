@@ -158,6 +158,9 @@ def _unit_rows(vecs: pa.ChunkedArray, dim: int) -> np.ndarray:
     arr = vecs.combine_chunks()
     sizes = arr.value_lengths().to_numpy(zero_copy_only=False)
     fits = sizes == dim
+    if not dim:
+        # A vector without components has no direction.
+        return np.full((len(sizes), 1), np.nan)
     out = np.full((len(sizes), dim), np.nan)
     if fits.all():
         out = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), dim)

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine.operators.keys import check_types, is_broadcast, listed, same_key, unlisted, with_hash
+from catalog_engine.operators.keys import check_types, is_broadcast, is_bucketed, listed, same_key, unlisted, with_hash
 
 
 def ambiguous_keys(source: DataFrame, key: str) -> DataFrame:
@@ -56,9 +56,12 @@ def upsert(
         insert_cols = list(insert_cols if insert_cols is not None else [key, *update_cols])
         # The table is read once, on the streamed side: it is not shuffled
         # while the source fits Spark's broadcast limit.
-        old, new = with_hash(target, key).alias("t"), with_hash(keyed, key).alias("s")
+        old, new, same = with_hash(target, key).alias("t"), with_hash(keyed, key).alias("s"), same_key("t", "s", key)
+        if is_bucketed(target, key):
+            # Rows stored in buckets by the key are joined where they lie.
+            old, new, same = target.alias("t"), keyed.alias("s"), F.col(f"t.{key}") == F.col(f"s.{key}")
         matched = F.col(f"s.{key}").isNotNull()
-        state = old.join(new, same_key("t", "s", key), "left").select(
+        state = old.join(new, same, "left").select(
             *[
                 F.when(matched, F.col(f"s.{c}").cast(kinds[c])).otherwise(F.col(f"t.{c}")).alias(c)
                 if c in update_cols

@@ -18,44 +18,44 @@ from catalog_engine.operators.upsert import delete_by_key, insert_rows, upsert
 from catalog_engine.plans import embed as embedding
 from catalog_engine.plans import ingest as ingesting
 from catalog_engine.plans.clean import clean_items
-from catalog_engine.sources import parts as key_parts
+from catalog_engine.sources import partitions as hashed
 from catalog_engine.sources import tables
 
 
 @dataclass(frozen=True)
 class Table:
-    """A published table: whole versions, or versions of ``parts`` key-hash parts."""
+    """A published table: whole versions, or ``partitions`` by a hash of the key."""
 
     root: str
     schema: T.StructType
     key: str
-    parts: int | None = None
+    partitions: int | None = None
 
     def read(self, spark: SparkSession) -> DataFrame:
-        if self.parts:
-            return key_parts.read(spark, self.root, self.schema)
+        if self.partitions:
+            return hashed.read(spark, self.root, self.schema, self.partitions)
         return tables.read_current(spark, self.root, self.schema)
 
     def publish(self, df: DataFrame) -> int:
         """``df`` as the table's content; returns its rows."""
-        if self.parts:
-            return key_parts.replace(df, self.root, self.key, self.parts)
+        if self.partitions:
+            return hashed.overwrite(df, self.root, self.key, self.partitions)
         return tables.publish(df, self.root)
 
     def append(self, df: DataFrame) -> int:
-        if self.parts:
-            return key_parts.append(df, self.root, self.key, self.parts, self.schema)
+        if self.partitions:
+            return hashed.append(df, self.root, self.key, self.partitions)
         return tables.append(df, self.root)
 
     def _change(self, spark: SparkSession, keys: DataFrame, new: Callable[[DataFrame], DataFrame]) -> None:
-        """Publish ``new`` of the table, or of those of its parts that the keys meet."""
-        if not self.parts:
+        """Publish ``new`` of the table, or of those of its partitions that the keys meet."""
+        if not self.partitions:
             self.publish(new(self.read(spark)))
             return
-        met = key_parts.met_by(keys, self.key, self.parts)
+        met = hashed.met_by(keys, self.key, self.partitions)
         if met:
-            state = key_parts.read(spark, self.root, self.schema, met)
-            key_parts.replace(new(state), self.root, self.key, self.parts, met)
+            state = hashed.read(spark, self.root, self.schema, self.partitions, met)
+            hashed.overwrite(new(state), self.root, self.key, self.partitions, met)
 
     def merge(
         self,
@@ -83,27 +83,27 @@ class Table:
 
 @dataclass(frozen=True)
 class Store:
-    """Roots of the three published tables, and the number of their key-hash parts, if any.
+    """Roots of the three published tables, and the number of their partitions by key, if any.
 
-    Parts are for batches that are small beside the tables: a batch rewrites the parts it meets only.
+    Partitions are for batches that are small beside the tables: a batch rewrites those it meets only.
     """
 
     raw: str
     clean: str
     embeddings: str
-    parts: int | None = None
+    partitions: int | None = None
 
     @property
     def raw_table(self) -> Table:
-        return Table(self.raw, schemas.RAW, "url", self.parts)
+        return Table(self.raw, schemas.RAW, "url", self.partitions)
 
     @property
     def clean_table(self) -> Table:
-        return Table(self.clean, schemas.CLEAN, "id", self.parts)
+        return Table(self.clean, schemas.CLEAN, "id", self.partitions)
 
     @property
     def embeddings_table(self) -> Table:
-        return Table(self.embeddings, schemas.EMBEDDINGS, "id", self.parts)
+        return Table(self.embeddings, schemas.EMBEDDINGS, "id", self.partitions)
 
     def read(self, spark: SparkSession) -> ingesting.Layers:
         return ingesting.Layers(

@@ -54,3 +54,15 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     it shuffle the whole table it meets.
     """
     return F.broadcast(df) if is_small(df, max_bytes) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores when it is read in fewer partitions than there are, for costly work on each row.
+
+    Few partitions mean a small input, such as one file with one row group; a
+    large one, or one that was shuffled, stays as it is.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

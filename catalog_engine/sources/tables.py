@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,3 +172,158 @@ def write_clustered(df: DataFrame, path: str, keys: Sequence[str], files: int) -
 def compact(spark: SparkSession, root: str, keys: Sequence[str], files: int) -> int:
     """The present content as a new, clustered version."""
     return publish(clustered(read_current(spark, root), keys, files), root)
+
+
+# -- catalog tables ------------------------------------------------------------
+
+
+def table_exists(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name)
+
+
+def save_table(
+    df: DataFrame,
+    name: str,
+    key: str | None = None,
+    buckets: int = 0,
+    path: str | None = None,
+    mode: str = "error",
+) -> None:
+    """``df`` as a catalog table (S1, S6), by a hash of ``key`` in ``buckets`` sorted buckets when given.
+
+    Joins with the table on its key, such as those of keyed jobs, don't shuffle
+    it then.  Spark keeps to this while there are at least as many buckets as
+    shuffle partitions.  With ``path`` the table is an external one.
+    """
+    writer = df.write.format("parquet").mode(mode)
+    if buckets:
+        # One file a bucket: rows come to the writer as they are to be stored.
+        writer = df.repartition(buckets, key).write.format("parquet").mode(mode).bucketBy(buckets, key).sortBy(key)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+
+
+def replace_table(
+    df: DataFrame, name: str, key: str | None = None, buckets: int = 0, path: str | None = None
+) -> None:
+    """``df`` becomes the table's content, also where it reads that very table.
+
+    The new state is written beside the present one, which then gives its name to it.
+    A column of the table that ``df`` lacks stays in it as NULL.  Between
+    the two statements of the catalog there is no table of the name.
+    """
+    spark = df.sparkSession
+    if not table_exists(spark, name):
+        save_table(df, name, key, buckets, path)
+        return
+    missing = [f for f in spark.table(name).schema.fields if f.name not in df.columns]
+    df = df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
+    following = f"{name}__next"
+    spark.sql(f"DROP TABLE IF EXISTS {following}")
+    save_table(df, following, key, buckets, path)
+    spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"ALTER TABLE {following} RENAME TO {name}")
+
+
+def append_table(df: DataFrame, name: str) -> None:
+    """Rows added to a catalog table, by column name (S7); columns they lack are NULL, others than the table's an error."""
+    spark = df.sparkSession
+    fields = spark.table(name).schema.fields
+    unknown = set(df.columns) - {f.name for f in fields}
+    if unknown:
+        raise ValueError(f"{name} has no column {sorted(unknown)}")
+    aligned = df.select(
+        *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    )
+    aligned.write.mode("append").insertInto(name)
+
+
+# -- files that lookups skip -----------------------------------------------------
+
+#: Bytes of a row group of tables that are looked up by key, before compression.
+LOOKUP_ROW_GROUP = 16 * 1024 * 1024
+
+
+def write_lookup(
+    df: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    distinct: int,
+    row_group_bytes: int = LOOKUP_ROW_GROUP,
+    mode: str = "error",
+) -> None:
+    """Parquet with a Bloom filter of each key in every row group.
+
+    A lookup by equality reads the row groups whose filter may hold the key,
+    whatever order the rows are in.  ``distinct`` is the number of distinct keys
+    to expect in a row group; about 1.2 bytes are stored for each.  Dictionaries are
+    off for the keys: Parquet writes no filter for a column that has one.
+    """
+    options = {"parquet.block.size": str(row_group_bytes)}
+    for key in keys:
+        options |= {
+            f"parquet.bloom.filter.enabled#{key}": "true",
+            f"parquet.bloom.filter.expected.ndv#{key}": str(distinct),
+            f"parquet.enable.dictionary#{key}": "false",
+        }
+    df.write.mode(mode).options(**options).parquet(path)
+
+
+# -- clustering by several keys ----------------------------------------------------
+
+#: Rows at most that key ranges are found from, and bits of a key's rank.
+RANGE_SAMPLE, RANK_BITS = 1 << 15, 6
+
+
+def key_ranges(df: DataFrame, keys: Sequence[str], bits: int = RANK_BITS) -> dict[str, list]:
+    """For each key the values that cut it into 2 ** ``bits`` ranges of about equal size.
+
+    From at most ``RANGE_SAMPLE`` rows, those of smallest hash.  A value that
+    fills several ranges is listed once.
+    """
+    chosen = df.select(*keys).orderBy(F.xxhash64(*df.columns)).limit(RANGE_SAMPLE).collect()
+    cuts = {}
+    for i, key in enumerate(keys):
+        values = sorted(r[i] for r in chosen if r[i] is not None)
+        steps = [values[len(values) * k >> bits] for k in range(1, 1 << bits)] if values else []
+        cuts[key] = list(dict.fromkeys(steps))
+    return cuts
+
+
+def _rank(c: Column, bounds: list, low: int, high: int) -> Column:
+    """How many of ``bounds[low:high]``, which rise, are not above ``c``, plus ``low``; a search by halves."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(c >= F.lit(bounds[middle]), _rank(c, bounds, middle + 1, high)).otherwise(
+        _rank(c, bounds, low, middle)
+    )
+
+
+def interleaved(df: DataFrame, cuts: dict[str, list], place: str, bits: int = RANK_BITS) -> DataFrame:
+    """``df`` with its Z-order: the bits of the ranks of its keys by turns, highest first.  NULL ranks lowest."""
+    ranks = {f"{place}_{i}": F.when(F.col(k).isNull(), 0).otherwise(_rank(F.col(k), b, 0, len(b))) for i, (k, b) in enumerate(cuts.items())}
+    ranked, z = df.withColumns(ranks), F.lit(0).cast("long")
+    for turn, name in enumerate(ranks):
+        for bit in range(bits):
+            one = F.shiftright(name, bit).bitwiseAND(F.lit(1)).cast("long")
+            z = z + F.shiftleft(one, bit * len(ranks) + len(ranks) - 1 - turn)
+    return ranked.withColumn(place, z).drop(*ranks)
+
+
+def write_zordered(
+    df: DataFrame, path: str, keys: Sequence[str], files: int, bits: int = RANK_BITS, mode: str = "overwrite"
+) -> None:
+    """About ``files`` files that a filter on any of ``keys`` can skip.
+
+    Rows are ordered by the interleaved bits of the keys' ranks; the order within
+    a file is that order, too, so that row groups can be skipped.  A hash of the row comes last in the
+    ranges: rows that share all keys can still be split.
+    """
+    place = "_place"
+    while place in df.columns:
+        place += "_"
+    ordered = interleaved(df, key_ranges(df, keys, bits), place, bits)
+    ordered = ordered.repartitionByRange(files, place, F.xxhash64(*df.columns)).sortWithinPartitions(place, *keys)
+    ordered.drop(place).write.mode(mode).parquet(path)

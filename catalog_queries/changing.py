@@ -70,11 +70,11 @@ def upsert_all(spark, sf):
     return upsert(table(spark, sf, "labels"), _relabelled(spark, sf), "doc_id")
 
 
-def upsert_parts(spark, sf):
-    """The same into a stored table in key-hash parts, one language after the other."""
+def upsert_partitions(spark, sf):
+    """The same into a stored table, of which each language's batch rewrites the partitions that it meets."""
     fresh = table(spark, sf, "documents").select("doc_id", "lang").join(_relabelled(spark, sf), "doc_id")
     labels = table(spark, sf, "labels")
-    stored = jobs.Table(runtime.scratch_path(spark, "parts"), labels.schema, "doc_id", parts=16)
+    stored = jobs.Table(runtime.scratch_path(spark, "partitions"), labels.schema, "doc_id", partitions=16)
     stored.publish(labels)
     for english in (F.col("lang") == "en", ~F.col("lang").eqNullSafe("en")):
         batch = runtime.broadcast_if_small(runtime.checkpointed(fresh.filter(english).drop("lang")))
@@ -129,7 +129,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         anti_new, stale_rows, classify_changes, existing_state, semi_in, scalar_eq,
-        upsert_all, upsert_parts, upsert_cols, upsert_orders,
+        upsert_all, upsert_partitions, upsert_cols, upsert_orders,
     )
 } | {"delete_cascade": delete_cascade_query}
 
@@ -161,7 +161,7 @@ WHERE o_custkey = (SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_or
     "upsert_all": f"""WITH {_RELABELLED}
 SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM fresh)
 UNION ALL SELECT doc_id, quality, toxic FROM fresh""",
-    "upsert_parts": f"""WITH {_RELABELLED}
+    "upsert_partitions": f"""WITH {_RELABELLED}
 SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM fresh)
 UNION ALL SELECT doc_id, quality, toxic FROM fresh""",
     "upsert_cols": f"""WITH {_RELABELLED}

@@ -10,9 +10,11 @@ from catalog_engine import rules
 from catalog_engine.functions import text
 from catalog_engine.operators import html_fields as html
 from catalog_engine.operators import quality
+from catalog_engine.sources import pages as source_pages
 from catalog_queries.tables import (
     ITEM_URL_SQL,
     ITEM_TITLE_SQL,
+    item_gender,
     item_prose,
     item_prose_sql,
     item_title,
@@ -103,8 +105,44 @@ def legacy_item_pages(spark, sf):
     )
 
 
+def legacy_records(spark, sf):
+    """Whole records of one brand's pages of the older layout, and what is left of all others."""
+    part = table(spark, sf, "part")
+    prose = F.concat(F.lit("\n<b>"), F.col("p_name"), F.lit("</b> is a choice "), F.upper(item_gender()), F.lit(" &amp; more. "))
+    about = F.when(F.col("p_size") == 7, "").otherwise(
+        F.concat(F.lit('<div class="cell small-12" itemprop="description">'), F.coalesce(prose, "p_name"), F.lit("</div>"))
+    )
+    count = F.when(F.col("p_size") > 20, F.concat(F.lit('<span itemprop="ratingCount">'), "p_partkey", F.lit("</span>")))
+    page = F.concat(
+        F.lit('<html><head><meta property="og:url" content="'), item_url(), F.lit('"/></head><body>'),
+        F.lit('<div class="cell accord-box"> '), F.col("p_type"), F.lit("</div>"), about,
+        F.lit('<span itemprop="ratingValue">'), F.col("p_size").cast("string"), F.lit("</span>"),
+        F.coalesce(count, F.lit("")), F.lit("</body></html>"),
+    )
+    found = html.legacy_pages_to_raw(part.select(page.alias("html")), "Brand-1")
+    return found.withColumns({c: F.array_join(c, "|") for c in ("main_accords", "perfumers")})
+
+
+def page_bytes(spark, sf):
+    """All pages as bytes of four encodings, read as text again."""
+    page = table(spark, sf, "pages").select("page_id", "html")
+    turn = F.pmod("page_id", F.lit(4))
+    # Where a page has letters that an encoding lacks, it stays in UTF-8.
+    narrow = F.concat(F.lit('<meta charset="iso-8859-1">'), "html")
+    fits = ~F.col("html").rlike(r"[^\x00-\x7F\xA0-\xFF]")
+    content = (
+        F.when((turn == 0) & fits, F.encode(narrow, "ISO-8859-1"))
+        .when(turn == 1, F.encode("html", "UTF-16"))
+        .when(turn == 2, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode("html", "UTF-8")))
+        .otherwise(F.encode("html", "UTF-8"))
+    )
+    read = source_pages.decode_pages(page.select("page_id", content.alias("content")))
+    return read.select("page_id", F.regexp_replace("html", '^<meta charset="iso-8859-1">', "").alias("html"))
+
+
 QUERIES = {
-    f.__name__: f for f in (html_fields, item_pages, field_coverage, sentinel_fields, legacy_item_pages)
+    f.__name__: f
+    for f in (html_fields, item_pages, field_coverage, sentinel_fields, legacy_item_pages, legacy_records, page_bytes)
 }
 
 
@@ -151,6 +189,17 @@ SELECT field, passing, total,
 SELECT url, concat_ws(', ', CASE WHEN name = 'N/A' THEN 'name' END, CASE WHEN gender = 'N/A' THEN 'gender' END,
   CASE WHEN rating = 'N/A' THEN 'rating' END, CASE WHEN rating_count = 'N/A' THEN 'rating_count' END,
   CASE WHEN description = 'N/A' THEN 'description' END) AS missing_fields FROM found""",
+    "page_bytes": "SELECT page_id, html FROM pages",
+    "legacy_records": f"""SELECT {ITEM_URL_SQL} AS url,
+  CASE WHEN p_brand = 'Brand#1' THEN p_name ELSE 'N/A' END AS name,
+  CASE WHEN p_size <> 7 AND p_type = 'MEDIUM' THEN 'for women' ELSE 'N/A' END AS gender,
+  p_size::VARCHAR AS rating, CASE WHEN p_size > 20 THEN p_partkey::VARCHAR ELSE 'N/A' END AS rating_count,
+  p_type AS main_accords, '' AS perfumers,
+  CASE WHEN p_size = 7 THEN 'N/A'
+    ELSE p_name || CASE p_type WHEN 'MEDIUM' THEN ' is a choice FOR WOMEN & more.' WHEN 'PROMO' THEN ' is a choice UNISEX & more.' ELSE '' END
+  END AS description,
+  CASE WHEN p_brand = 'Brand#1' THEN p_partkey::VARCHAR END AS id, CASE WHEN p_brand = 'Brand#1' THEN 'Brand 1' END AS brand
+FROM part""",
     "legacy_item_pages": f"""SELECT p_partkey, {ITEM_URL_SQL} AS url, p_size::VARCHAR AS rating,
   CAST(NULL AS VARCHAR) AS rating_count, p_type || '|' || p_brand AS main_accords,
   {ITEM_TITLE_SQL} || '!' AS description,

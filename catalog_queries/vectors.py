@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog_engine import runtime
 from catalog_engine.functions import text
 from catalog_engine.functions import vectors as V
-from catalog_engine.operators import quality, similar
+from catalog_engine.operators import pivots, quality, similar
 from catalog_engine.plans import recommend as rec
 from catalog_queries.tables import table
 
@@ -37,6 +37,14 @@ def similar_batch(spark, sf):
     return top.select("target", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def similar_pivots(spark, sf):
+    """The same by groups around pivots."""
+    top = pivots.top_n_pivots(
+        _embeddings(spark, sf), _label_targets(spark, sf), "vec_id", "embedding", 5, pivots=32
+    )
+    return top.select("target", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def similar_mixed(spark, sf):
     """Vectors of two sizes and repeated targets, in one block of targets and in many: the same answers."""
     half = F.when(F.col("label") < 5, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
@@ -118,7 +126,7 @@ def missing_targets(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        similar_top_n, similar_batch, similar_mixed, recommend_join, recommend_left, recommend_batch,
+        similar_top_n, similar_batch, similar_pivots, similar_mixed, recommend_join, recommend_left, recommend_batch,
         vector_norms, vector_cosine, display_fields, dims, counts, missing_targets,
     )
 }
@@ -146,6 +154,7 @@ ranked AS (
 SQL = {
     "similar_top_n": f"WITH {_top(10)} SELECT vec_id, round(sim, 6) AS similarity FROM top",
     "similar_batch": f"WITH {_batch('min', 5)} SELECT * FROM ranked",
+    "similar_pivots": f"WITH {_batch('min', 5)} SELECT * FROM ranked",
     "similar_mixed": f"""WITH items AS (
   SELECT vec_id, label, CASE WHEN label < 5 THEN embedding[1:32] ELSE embedding END AS embedding FROM embeddings),
 targets AS (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label),

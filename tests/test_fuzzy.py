@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from catalog_engine import rules
-from catalog_engine.functions import fuzzy
+from catalog_engine.functions import fuzzy, grams
 from catalog_engine.operators.search import search, search_terms
 
 
@@ -68,6 +68,51 @@ def test_pruning_loses_nothing(names, term, floor):
     assert ((pruned == full) | (pruned == 0)).all()
 
 
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(texts, max_size=12, unique=True),
+    st.lists(texts.filter(str.strip), max_size=6, unique=True),
+    st.sampled_from([0.0, 10.0, 40.0, 70.0, 84.0]),
+    st.sampled_from([1, 7, 1 << 20]),
+)
+def test_inverted_lists_lose_nothing(names, terms, floor, pairs):
+    """All terms at once score like one after the other, also those that share no pair of letters with a name."""
+    block, index = fuzzy.NameBlock(names), grams.TermIndex(terms)
+    grams.PAIRS, before = pairs, grams.PAIRS
+    try:
+        found = {(i, j): s for scored in index.scores(block, floor) for i, j, s in zip(*scored)}
+    finally:
+        grams.PAIRS = before
+    want = {(i, j): s for j, t in enumerate(terms) for i, s in enumerate(block.scores(t)) if s > floor}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_words_apart_by_a_tab():
+    block = fuzzy.NameBlock(["a\tb"])
+    assert block.scores("aaaaa ab", 40.0)[0] == block.scores("aaaaa ab")[0] > 40
+
+
+def test_pairs_without_a_shared_pair_of_letters_are_found():
+    # Every second letter is another: no two letters in a row are shared.
+    name, term = "abcdefghij", "axcxexgxixj"
+    block, index = fuzzy.NameBlock([name, "zzz"]), grams.TermIndex(["acegibdfhj", term])
+    found = {(int(i), int(j)): s for scored in index.scores(block, 50) for i, j, s in zip(*scored)}
+    assert found == {(0, j): pytest.approx(block.scores(t)[0]) for j, t in enumerate(index.terms) if block.scores(t)[0] > 50}
+    assert found
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(texts, min_size=1, max_size=8), st.lists(st.text(alphabet="ab cdéz", max_size=150), min_size=1, max_size=5), st.sampled_from([1, 50, 1 << 21]))
+def test_pairwise_lcs_equals_plain(names, terms, cells):
+    n, t = (x.ravel() for x in np.meshgrid(np.arange(len(names)), np.arange(len(terms))))
+    grams.CELLS, before = cells, grams.CELLS
+    try:
+        got = grams.pair_lcs(names, n, terms, t)
+    finally:
+        grams.CELLS = before
+    assert got.tolist() == [lcs(names[i], terms[j]) for i, j in zip(n, t)]
+
+
 def test_long_texts_share_no_padding():
     names = ["a" * 100_000, "ab", ""]
     assert fuzzy.lcs_lengths(names, "ab" * 100).tolist() == [100, 2, 0]

@@ -234,25 +234,28 @@ def test_keys_that_are_one_number(spark, mode):
     assert E.rows_to_embed(items, got, mode, prefer="url").count() == 0
 
 
-def test_jobs_over_parts_equal_jobs_over_whole_versions(spark):
+def test_jobs_over_partitions_equal_jobs_over_whole_versions(spark):
     from catalog_engine import runtime
     from catalog_engine.operators.extract import stringify
     from catalog_engine.plans import jobs
-    from catalog_engine.sources import parts
+    from catalog_engine.sources import partitions
+
+    def files(spark, root):
+        return {p: sorted(os.listdir(path.removeprefix("file:"))) for p, path in partitions.folders(spark, root).items()}
 
     found = []
     for n in (None, 16):
         root = runtime.scratch_path(spark, "jobs")
-        store = jobs.Store(f"{root}/raw", f"{root}/clean", f"{root}/embeddings", parts=n)
+        store = jobs.Store(f"{root}/raw", f"{root}/clean", f"{root}/embeddings", partitions=n)
         first = spark.createDataFrame([record(i) for i in range(40)], RECORD)
         store.raw_table.publish(stringify(first, schema.RAW.names))
         assert jobs.run_clean(spark, store) == 40 and jobs.run_embed(spark, store, ENCODER) == 40
-        before = n and parts.versions(spark, store.embeddings)
+        before = n and files(spark, store.embeddings)
         incoming = spark.createDataFrame([record(2, "Lily"), record(50)], RECORD)
         status = jobs.run_ingest(spark, store, incoming, ENCODER)
         assert rows(status.select("id", "status")) == [("2", "updated"), ("50", "added")]
         if n:
-            after = parts.versions(spark, store.embeddings)
+            after = files(spark, store.embeddings)
             assert 1 <= sum(before.get(p) != v for p, v in after.items()) <= 2
         layers = store.read(spark)
         jobs.run_remove(spark, store, layers.clean.filter("id in (1, 3)").select("id", "url"))

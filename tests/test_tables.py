@@ -1,5 +1,7 @@
 """De-duplication, upserts, deletes, change classification and stored tables."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -328,52 +330,85 @@ def test_csv_keeps_outer_white_space(spark, tmp_path):
     assert sorted(r.text for r in store.read_raw_csv(spark, path, df.schema, multi_line=True).collect()) == sorted(r[0] for r in rows)
 
 
-# -- tables in key-hash parts ------------------------------------------------
+# -- tables partitioned by a hash of the key ---------------------------------
+
+
+def stored_files(spark, root):
+    from catalog_engine.sources import partitions
+
+    return {
+        p: sorted((f.name, f.stat().st_mtime_ns) for f in Path(path.removeprefix("file:")).iterdir())
+        for (_, p), path in partitions.folders(spark, root).items()
+    }
 
 
-def test_parts_are_rewritten_where_a_change_meets_them(spark, tmp_path):
-    from catalog_engine.sources import parts
+def test_only_partitions_that_a_change_meets_are_rewritten(spark, tmp_path):
+    from catalog_engine.sources import partitions as P
 
     root, df = str(tmp_path / "t"), spark.createDataFrame([(i, f"v{i}") for i in range(200)] + [(None, "n")], "k long, v string")
-    assert parts.read(spark, root, df.schema).count() == 0
-    assert parts.replace(df, root, "k", 8) == 201
-    assert rows(parts.read(spark, root, df.schema)) == rows(df)
+    assert P.read(spark, root, df.schema, 8).count() == 0
+    assert P.overwrite(df, root, "k", 8) == 201
+    assert rows(P.read(spark, root, df.schema, 8)) == rows(df)
+    first = stored_files(spark, root)
+    assert len(first) == 8
 
     keys = spark.createDataFrame([(5,)], "k long")
-    met = parts.met_by(keys, "k", 8)
-    state = parts.read(spark, root, df.schema, met)
+    met = P.met_by(keys, "k", 8)
+    state = P.read(spark, root, df.schema, 8, met)
     assert len(met) == 1 and 0 < state.count() < 201
-    parts.replace(state.filter("k <> 5"), root, "k", 8, met)
-    assert rows(parts.read(spark, root, df.schema)) == rows(df.filter("k is null or k <> 5"))
-    assert sorted(parts.versions(spark, root).values()) == [1] * 7 + [2]
-
-    # A part that loses all rows is empty; rows may be added to it again.
-    parts.replace(state.limit(0), root, "k", 8, met)
-    left = parts.read(spark, root, df.schema)
-    assert left.count() == 201 - state.count() - (0 if state.filter("k = 5").count() else 1)
-    assert parts.append(spark.createDataFrame([(5, ), (6,)], "k int"), root, "k", 8, df.schema) == 2
-    assert parts.read(spark, root, df.schema).filter("v is null").count() == 2
-    with pytest.raises(ValueError, match="8 parts"):
-        parts.replace(df, root, "k", 4)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull(key_hash_8" in plan and f"= {met[0]})" in plan
+    # The state that is replaced is read while it is replaced.
+    size = state.count()
+    assert P.overwrite(state.filter("k <> 5 or k is null"), root, "k", 8, met) == size - 1
+    assert rows(P.read(spark, root, df.schema, 8)) == rows(df.filter("k is null or k <> 5"))
+    second = stored_files(spark, root)
+    assert {p for p in first if first[p] != second[p]} == set(met)
+
+    # A partition that loses all rows is gone; rows may be added to it again.
+    P.overwrite(state.limit(0), root, "k", 8, met)
+    assert P.read(spark, root, df.schema, 8).count() == 201 - size and set(stored_files(spark, root)) == set(first) - set(met)
+    assert P.append(spark.createDataFrame([(5,), (6,)], "k int"), root, "k", 8) == 2
+    assert P.read(spark, root, df.schema, 8).filter("v is null").count() == 2
+    with pytest.raises(ValueError, match="8 partitions"):
+        P.overwrite(df, root, "k", 4)
     with pytest.raises(ValueError, match="no column"):
-        parts.append(df.withColumn("more", F.lit(1)), root, "k", 8, df.schema)
-    with pytest.raises(ValueError, match="names of folders"):
-        parts.replace(df.withColumn("Part", F.lit(1)), root, "k", 8)
+        P.append(df.withColumn("more", F.lit(1)), root, "k", 8)
+    with pytest.raises(ValueError, match="key_hash_8"):
+        P.overwrite(df.withColumn("key_hash_8", F.lit(1)), root, "k", 8)
+
+
+def test_partitions_of_other_columns_keep_theirs(spark, tmp_path):
+    from catalog_engine.sources import partitions as P
+
+    root = str(tmp_path / "t")
+    df = spark.createDataFrame([(i, f"v{i}", "b") for i in range(40)], "k long, v string, b string")
+    P.overwrite(df, root, "k", 4)
+    narrow = df.drop("b").withColumn("v", F.lit("new"))
+    for met in ([0, 1], [2]):
+        # A column is missing, and another is new.
+        part = narrow.filter(P.partition_of(narrow, "k", 4).isin(met)).withColumn("c", F.lit(len(met)))
+        P.overwrite(part, root, "k", 4, met)
+    got = P.read(spark, root, df.schema, 4)
+    assert set(got.columns) == {"k", "v", "b", "c"}
+    kept = P.partition_of(got, "k", 4) == 3
+    assert got.filter(kept).filter("b <> 'b' or c is not null").isEmpty()
+    assert got.filter(~kept).filter("b is not null or v <> 'new' or c is null").isEmpty()
+    assert got.count() == 40
 
 
-def test_a_failed_change_of_parts_leaves_the_table(spark, tmp_path):
-    from catalog_engine.sources import parts
+def test_a_failed_change_of_partitions_leaves_the_table(spark, tmp_path):
+    from catalog_engine.sources import partitions as P
 
     root, df = str(tmp_path / "t"), spark.createDataFrame([(i, "v") for i in range(50)], "k long, v string")
-    parts.replace(df, root, "k", 4)
+    P.overwrite(df, root, "k", 4)
+    before = stored_files(spark, root)
     broken = df.withColumn("v", F.when(F.col("k") == 7, F.raise_error(F.lit("no"))).otherwise("w"))
     with pytest.raises(Exception, match="no"):
-        parts.replace(broken, root, "k", 4)
-    # Folders without the marker, as an ended driver leaves them, are not seen either.
-    df.withColumns({"part": F.lit(1), "version": F.lit(9)}).write.partitionBy("part", "version").mode("append").parquet(root)
-    assert rows(parts.read(spark, root, df.schema)) == rows(df)
-    parts.replace(df.limit(3), root, "k", 4)
-    assert parts.read(spark, root, df.schema).count() == 3
+        P.overwrite(broken, root, "k", 4)
+    assert rows(P.read(spark, root, df.schema, 4)) == rows(df) and stored_files(spark, root) == before
+    assert P.overwrite(df.limit(3), root, "k", 4) == 3
+    assert P.read(spark, root, df.schema, 4).count() == 3
 
 
 def test_upsert_shuffles_a_large_table_twice(spark, tmp_path):
