@@ -26,7 +26,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog_engine import runtime
@@ -168,6 +168,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
+def digest_of(text_col: str) -> Column:
+    """16 bytes that stand for a text; null is the empty text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 32))
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, t, digest`` of all rows."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), digest_of(text_col).alias("digest"))
+
+
 def _banded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, digest, bands`` of all rows, written down."""
     schema = "id bigint, digest binary, bands array<bigint>"
@@ -178,7 +189,6 @@ def _banded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in slices(texts, BATCH_CHARS):
-                digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts[part]]
                 sets = [shingles.weighted(t) for t in texts[part]]
                 known = [i for i, (elements, _) in enumerate(sets) if len(elements)]
                 found = [[]] * len(sets)
@@ -186,20 +196,19 @@ def _banded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     found[i] = row
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(part.start, len(digests)),
-                        pa.array(digests, pa.binary()),
+                        batch.column(0).slice(part.start, len(sets)),
+                        batch.column(2).slice(part.start, len(sets)),
                         pa.array(found, out.field(2).type),
                     ],
                     schema=out,
                 )
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return runtime.checkpointed(rows.mapInArrow(run, schema))
+    return runtime.checkpointed(_texts(df, id_col, text_col).mapInArrow(run, schema))
 
 
-def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, members`` of the documents in ``ids``: their distinct sets, from their whole texts."""
-    schema = "id bigint, members binary"
+def _sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, members`` of the texts in ``nodes`` (id, rep, digest): their sets, from one document's whole text each."""
+    schema = "digest binary, members binary"
     out = arrow_schema(schema)
 
     def run(batches):
@@ -209,11 +218,14 @@ def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFram
             for part in slices(texts):
                 sets = [occurrences(*shingles.weighted(t)).tobytes() for t in texts[part]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.start, len(sets)), pa.array(sets, pa.binary())], schema=out
+                    [batch.column(2).slice(part.start, len(sets)), pa.array(sets, pa.binary())], schema=out
                 )
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return rows.join(ids, "id", "left_semi").mapInArrow(run, schema).distinct()
+    wanted = nodes.select(F.col("rep").alias("id"), "digest")
+    rows = _texts(df, id_col, text_col).join(wanted, ["id", "digest"], "left_semi").select("id", "t", "digest")
+    # A document that is there several times has one set.
+    sets = rows.mapInArrow(run, schema).groupBy("digest").agg(F.first("members").alias("members"))
+    return sets.join(nodes.select("id", "digest"), "digest").select("id", "members")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -280,16 +292,24 @@ def near_duplicates(
 
     Documents are linked when their texts are equal or their weighted sets of
     five-word runs (lower case) are at least ``threshold`` similar; a class is what
-    links connect, named by its smallest id, which is the one kept.  Null texts
-    are empty ones; texts without words are linked with equal texts only; texts of under five words are one
-    run.  Rows without an id take part in nothing: class null, kept.  An id
-    that repeats is one document with several texts.  Empty tables give empty
-    ones; other columns are not read.
+    links connect, named by its smallest id; of its documents that of the smallest
+    id is kept, of several texts under that id that of the smallest digest.  Null
+    texts are empty ones; texts without words are linked with equal texts only; texts
+    of under five words are one run.  Rows without an id take part in nothing:
+    class null, kept.  An id that repeats with other texts stands for as many
+    documents, which it does not link; ids must be whole numbers, or text that is
+    one.  Empty tables give empty ones; other columns are not read.
     """
+    return _classes(df, id_col, text_col, threshold).drop("digest")
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """``near_duplicates`` with the ``digest`` of each row's text."""
     banded = _banded(df.filter(F.col(id_col).isNotNull()), id_col, text_col)
+    # A text is a node, whatever documents have it.
     texts = banded.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    texts = runtime.checkpointed(texts)
-    every = texts.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket")).distinct()
+    texts = runtime.checkpointed(texts.withColumn("id", F.monotonically_increasing_id()))
+    every = texts.select("id", F.explode("bands").alias("bucket")).distinct()
     shared = (
         every.groupBy("bucket")
         .agg(F.min("id").alias("leader"), F.max("id").alias("last"))
@@ -297,7 +317,8 @@ def near_duplicates(
         .select("bucket", "leader")
     )
     members = runtime.checkpointed(every.join(shared, "bucket"))
-    sets = runtime.checkpointed(_sets(df, members.select("id").distinct(), id_col, text_col))
+    nodes = texts.select("id", "rep", "digest").join(members.select("id").distinct(), "id", "left_semi")
+    sets = runtime.checkpointed(_sets(df, nodes, id_col, text_col))
 
     first = members.groupBy(F.col("id").alias("a")).agg(F.min("leader").alias("b")).filter(F.col("a") != F.col("b"))
     links = runtime.checkpointed(_verified(first, sets, threshold))
@@ -313,16 +334,26 @@ def near_duplicates(
     )
     rest = labelled.join(several, "bucket", "left_semi").join(sets, "id")
     more = runtime.checkpointed(_within(rest.select("bucket", "id", "label", "members"), threshold))
-    classes = components(links.unionByName(more))
-
-    by_digest = texts.join(classes, F.col("rep") == F.col("id"), "left").select(
-        "digest", F.coalesce("component", "rep").alias("class_id")
+    classes = runtime.checkpointed(components(links.unionByName(more)))
+
+    # Most texts are alone; the others get the least id, and digest, of their class.
+    linked = texts.select("id", "rep", "digest").join(classes, "id")
+    chosen = linked.groupBy("component").agg(F.min(F.struct("rep", "digest")).alias("chosen"))
+    chosen = linked.select("digest", "component").join(chosen, "component").select("digest", "chosen")
+    by_digest = texts.select("digest", "rep").join(chosen, "digest", "left").select(
+        "digest", F.coalesce("chosen", F.struct("rep", "digest")).alias("chosen")
     )
     found = banded.select("id", "digest").join(by_digest, "digest").select(
-        F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept")
+        F.col("id").alias(id_col),
+        F.col("chosen.rep").alias("class_id"),
+        ((F.col("id") == F.col("chosen.rep")) & (F.col("digest") == F.col("chosen.digest"))).alias("kept"),
+        "digest",
     )
     nameless = df.filter(F.col(id_col).isNull()).select(
-        F.col(id_col).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")
+        F.col(id_col).cast("long").alias(id_col),
+        F.lit(None).cast("long").alias("class_id"),
+        F.lit(True).alias("kept"),
+        F.lit(None).cast("binary").alias("digest"),
     )
     return found.unionByName(nameless)
 
@@ -330,14 +361,21 @@ def near_duplicates(
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` that stay when of each class of near-duplicates one document is kept; same columns.
 
-    An id that repeats stays once, with the text of the smallest digest.  Rows
-    without an id all stay.
+    A document is an id and a text: other texts of an id are documents of their own.
+    Of rows that repeat both, that of the smallest other columns stays, by their
+    hash.  Rows without an id all stay.
     """
-    found = near_duplicates(df, id_col, text_col, threshold).filter(F.col(id_col).isNotNull() & F.col("kept"))
-    kept = unused_name(df, "kept_id")
-    ids = runtime.checkpointed(found.groupBy(F.col(id_col).alias(kept)).count())
-    rows = df.join(ids.select(kept), F.col(id_col).cast("long") == F.col(kept), "left_semi")
-    if ids.filter("count > 1").limit(1).count():
-        first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.sha2(F.coalesce(text_col, F.lit("")), 256))
-        rows = rows.groupBy(F.col(id_col).alias(kept)).agg(first.alias("row")).select("row.*")
-    return rows.unionByName(df.filter(F.col(id_col).isNull()))
+    found = _classes(df, id_col, text_col, threshold).filter(F.col(id_col).isNotNull() & F.col("kept"))
+    kept, digest, place = (unused_name(df, name) for name in ("kept_id", "kept_digest", "kept_place"))
+    documents = found.groupBy(F.col(id_col).alias(kept), F.col("digest").alias(digest)).count()
+    documents = runtime.checkpointed(documents)
+    named = df.withColumn(kept, F.col(id_col).cast("long")).withColumn(digest, digest_of(text_col))
+    rows = named.join(documents.select(kept, digest), [kept, digest], "left_semi")
+    if documents.filter("count > 1").limit(1).count():
+        repeated = documents.filter("count > 1").select(kept, digest)
+        once = rows.join(repeated, [kept, digest], "left_anti")
+        order = F.struct(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).alias(place), *(F.col(f"`{c}`") for c in df.columns))
+        several = rows.join(repeated, [kept, digest], "left_semi")
+        several = several.groupBy(kept, digest).agg(F.min_by(order, order[place]).alias("row"))
+        rows = once.select(df.columns).unionByName(several.select(*(F.col("row").getField(c).alias(c) for c in df.columns)))
+    return rows.select(df.columns).unionByName(df.filter(F.col(id_col).isNull()))

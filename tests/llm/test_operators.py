@@ -177,6 +177,13 @@ def test_mix_of_odd_rows(spark, odd):
     assert mix.mix_report(odd.limit(0)).count() == 0 and mix.mixed(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_documents_of_no_id_or_of_one_fall_into_many_bins(spark, doc_id):
+    docs = spark.createDataFrame([(doc_id, f"text {i} of a few words", "a") for i in range(300)], "doc_id long, text string, source string")
+    keyed = docs.select(F.floor(mix.uniform(F.col("doc_id"), F.col("text")) * mix.BINS))
+    assert keyed.distinct().count() > 280
+
+
 def test_archives_read_back_whole(spark, tmp_path):
     rows = [(1, "u", "<p>same</p>"), (2, "u v", "<p>same</p>"), (9, None, "<p>same</p>"), (3, "u", None), (4, "u", ""),
             (5, "u", "P*M\x18\0\0\0\0\r\n\r\n" + "x" * 300000), (None, "u", "é"), (6, "u", "one"), (6, "u", "one")]
@@ -377,16 +384,44 @@ def test_keeping_one_beside_columns_of_any_name(spark):
     docs = docs.withColumns({c: F.lit(c) for c in clashing})
     kept = near.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1]
-
-
-def test_the_text_that_stays_of_a_repeated_id_does_not_depend_on_order(spark):
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "x"), (1, "a b c d e f"), (2, "x")]
+
+
+A_TEXT, B_TEXT = "these words are the text that is called A", "and quite other words are the one called B"
+
+
+@pytest.mark.parametrize(
+    "rows,kept,classes",
+    [
+        # An exact copy goes, and the other text of its id stays.
+        ([(3, A_TEXT), (5, A_TEXT), (5, B_TEXT)], [(3, A_TEXT), (5, B_TEXT)], [(3, 3), (5, 3), (5, 5)]),
+        # Two texts of one id link nothing.
+        ([(1, A_TEXT), (2, A_TEXT), (2, B_TEXT), (4, B_TEXT)], [(1, A_TEXT), (2, B_TEXT)], [(1, 1), (2, 1), (2, 2), (4, 2)]),
+        ([(7, A_TEXT), (7, A_TEXT.upper())], [(7, None)], [(7, 7), (7, 7)]),
+        ([(3, A_TEXT)] * 3 + [(None, A_TEXT)] * 2, [(3, A_TEXT), (None, A_TEXT), (None, A_TEXT)], [(3, 3)] * 3 + [(None, None)] * 2),
+    ],
+)
+def test_a_document_is_an_id_and_a_text(spark, rows, kept, classes):
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("d"))
+    found = near.keep_one(df)
+    assert found.columns == df.columns
+    found = [(r.doc_id, r.text) for r in found.collect()]
+    if kept == [(7, None)]:
+        assert len(found) == 1
+    else:
+        assert sorted(found, key=repr) == sorted(kept, key=repr)
+    got = sorted(((r.doc_id, r.class_id) for r in near.near_duplicates(df).collect()), key=repr)
+    assert got == sorted(classes, key=repr)
+
+
+def test_the_text_that_stays_does_not_depend_on_order(spark):
     rows = [(7, f"these are the words of text {i}") for i in range(6)] + [(8, "x"), (None, "y")]
+    rows += [(9, " ".join(f"word{j}" for j in range(60)) + f" end{i}") for i in range(4)]
     kept = [
         sorted((r.doc_id or 0, r.text) for r in near.keep_one(spark.createDataFrame(some, "doc_id long, text string").coalesce(1)).collect())
         for some in (rows, rows[::-1])
     ]
-    assert kept[0] == kept[1] and [i for i, _ in kept[0]] == [0, 7, 8]
+    assert kept[0] == kept[1] and [i for i, _ in kept[0]] == [0, *[7] * 6, 8, 9]
 
 
 def test_near_vectors_equal_all_pairs(spark, monkeypatch):
