@@ -1,7 +1,7 @@
 """Mixing sources to target weights with Efraimidis-Spirakis sampling.
 
-Every document gets the exponential key -ln(u) / q, u from a hash of its id and
-q its quality weight; sorted by key, the first documents of a source are a
+Every document gets the exponential key -ln(u) / q, u from a hash of its id and text
+and q its quality weight; sorted by key, the first documents of a source are a
 weighted sample without replacement.  A source's budget is its target in words:
 first every document as often as it fits whole (complete epochs), then the
 documents of smallest key whose sizes, summed up in key order, stay within
@@ -45,9 +45,13 @@ def symbol_quality(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.coalesce(1 - 3 * share, F.lit(0.05)))
 
 
-def uniform(key: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1) from a hash of ``key``."""
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit(""))))
+def uniform(key: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in (0, 1) from a hash of ``key`` and ``text``.
+
+    Documents without an id, or of one id, have numbers of their own by their texts.
+    """
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("")), own))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -138,7 +142,7 @@ def decide(
     """
     text = F.col(text_col)
     weight = symbol_quality(text) if quality is None else quality
-    key = -F.log(uniform(F.col(id_col), seed)) / weight
+    key = -F.log(uniform(F.col(id_col), text, seed)) / weight
     rows = df.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
@@ -223,7 +227,7 @@ def mixed(
 SQL = rf"""
 WITH sized AS (
     SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-        -ln((('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656)
+        -ln((('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656)
         / greatest(0.05, coalesce(1 - 3 * (1 - length(translate(text, '{SYMBOLS}', '')) / nullif(length(text), 0)), 0.05)) AS key
     FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
