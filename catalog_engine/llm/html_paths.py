@@ -18,10 +18,12 @@ nodes are long and well punctuated is content; menus have many short nodes.
    are content too: of the whole page, or where articles are marked between and
    next to them.  There the logarithms of the scores are compared.
 
-A class or id named like boilerplate does not count on a heading, on what holds
-the article or most of the text, and with "has", "no" or "with" before it.  Where
-it may as well come from the words of a section, the ratios decide on a class,
-and on an id whether the text is more than links.
+A class or id named like boilerplate does not count on a heading, a cell, code or
+an element inside a line, on what holds the article or most of the text, and with
+"has", "no" or "with" before it.  Where it may as well come from the words of a
+section, the ratios decide on a class, and on an id whether the text is more than
+links.  So it does on a class that holds another word, too, such as
+"market-share", unless one of its words means nothing but boilerplate.
 
 Characters of a block are joined, references decoded, white space turned into
 one space; blocks are joined by a line break.  ``br`` is white space.
@@ -78,11 +80,25 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|"
+    r"dfp|outbrain|taboola|adsbygoogle|feedback|responses?|"
     r"newsletter|subscribe|paywall|comments?|commentlist|respond|replies|reply|disqus|discussion|sidebar|side-bar|widget\w*|nav|"
     r"navbar|navigation|menu|submenu|breadcrumbs?|pagination|pager|header|masthead|footer|related|recommend\w*|"
     r"share|sharing|social|toolbar|skip-link|login|signup|search)(?=$|[\s_-])",
     re.I,
 )
+#: Words of the list that articles are not about, whatever stands beside them.
+ALWAYS = re.compile(
+    r"(?:ads?|advert\w*|adsense|adslot|sponsor\w*|dfp|outbrain|taboola|adsbygoogle|cookies?|consent|gdpr|newsletter|"
+    r"paywall|popup|modal|disqus|commentlist|sidebar|side-bar|breadcrumbs?|pagination|navbar|masthead|skip-link)",
+    re.I,
+)
+#: Words beside them that say nothing of the content.
+NEUTRAL = frozenset(
+    "site page post posts entry article main global top bottom left right mid inner outer block box container wrapper wrap "
+    "area list item items row col column primary secondary button buttons icon icons link links bar label title text body "
+    "content form input panel overlay slot unit zone count meta author thread user reader readers visitor previous next "
+    "inline native after before below above leaderboard section sticky fixed module group".split()
+)
 #: What a layout has or lacks says nothing about the element itself.
 HAS = re.compile(r"(?:(?<=[\s_-])|^)(?:has|have|no|not|with|without)[_-]+\S*", re.I)
 #: Words of the list that sections of an article are called by as well.
@@ -90,6 +106,8 @@ TOPIC = re.compile(r"[\s_-]*(?:discussion|related|recommend\w*|social|search)",
 COMMENTS = re.compile(r"[\s\d_-]*comments?[\s\d_-]*", re.I)
 #: Their ids never mark them.
 NAMED_BY_TEXT = HEADINGS | INLINE | frozenset("p dt dd pre".split())
+#: What is never left out for its class or id.
+NEVER = (HEADINGS | INLINE | frozenset("html body article main th td tr thead tbody pre".split())) - {"a"}
 #: How sure a mark of boilerplate is.
 PERHAPS, SURELY = 1, 2
 #: Fused ratio from which a block is prose, whatever else the page holds.
@@ -98,6 +116,8 @@ CONTENT = re.compile(
     r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:[_-]?(?:body|content|text|main|area))?(?=$|[\s])", re.I
 )
 TAG = re.compile(r"<(?:!--|([!?])|(/?)([A-Za-z][^\s/>]*))")
+#: Searched from the second pair of signs on: "<!-->" is a whole comment.
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
 
@@ -131,18 +151,33 @@ class Marks(NamedTuple):
     #: Named like boilerplate, and how far that counts against it: 0, PERHAPS or SURELY.
     named: bool = False
     boilerplate: int = 0
+    #: Text outside of links speaks against it, prose or not.
     by_id: bool = False
     id: str = ""
 
 
-def _boilerplate(tag: str, classes: str, name: str) -> int:
-    """A class says what an element is, an id may come from the words of a section."""
-    if any(not TOPIC.fullmatch(m[0]) for m in BOILERPLATE.finditer(classes)):
-        return SURELY
+def _boilerplate(tag: str, classes: str, name: str) -> tuple[int, bool]:
+    """How far the names count, and whether text outside of links speaks against them.
+
+    A class says what an element is, an id may come from the words of a section;
+    so may a class of which the list has a part only.
+    """
+    level, other = 0, False
+    for token in classes.split():
+        hits = [m[0].strip("_- ") for m in BOILERPLATE.finditer(token)]
+        if not hits:
+            continue
+        rest = [w for w in re.findall(r"[^\W\d_]+", BOILERPLATE.sub(" ", token)) if w.lower() not in NEUTRAL]
+        if any(map(ALWAYS.fullmatch, hits)) or not rest and not all(map(TOPIC.fullmatch, hits)):
+            # A part of a section's frame, when it is named after the section.
+            if "section" not in token.lower() or any(map(ALWAYS.fullmatch, hits)):
+                return SURELY, False
+            rest = [token]
+        level, other = PERHAPS, other or not rest
     words = [] if tag in NAMED_BY_TEXT else [m[0] for m in BOILERPLATE.finditer(name)]
     if words and not re.search(r"[^\W\d_]", BOILERPLATE.sub("", name)) and not all(map(TOPIC.fullmatch, words)):
-        return SURELY
-    return PERHAPS if words or BOILERPLATE.search(classes) else 0
+        return SURELY, False
+    return (PERHAPS if words else level), not other
 
 
 def _marks(tag: str, source: str) -> Marks:
@@ -158,14 +193,13 @@ def _marks(tag: str, source: str) -> Marks:
     )
     strong = tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articleBody"
     article = strong or bool(CONTENT.search(f"{classes} {name}"))
-    boilerplate = _boilerplate(tag, HAS.sub("", classes), HAS.sub("", name))
+    boilerplate, by_id = _boilerplate(tag, HAS.sub("", classes), HAS.sub("", name))
     named = boilerplate > 0
     if tag == "form":
         boilerplate = SURELY
-    elif tag in ("html", "body", "article", "main") or tag in HEADINGS:
+    elif tag in NEVER:
         boilerplate = 0
     main = tag == "main" or role == "main"
-    by_id = not BOILERPLATE.search(HAS.sub("", classes))
     return Marks(bool(tag in SKIPPED or hidden or role in ROLES), article, strong, main, named, boilerplate, by_id, name)
 
 
@@ -187,8 +221,8 @@ def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             texts.append((node, source[at : m.start()]))
         if m[3] is None:
             if m[1] is None:  # a comment
-                end = source.find("-->", m.end())
-                at = size if end < 0 else end + 3
+                end = COMMENT_END.search(source, m.end() - 2)
+                at = end.end() if end else size
             else:
                 end = source.find(">", m.end())
                 at = size if end < 0 else end + 1
@@ -340,7 +374,9 @@ def _leave_out(nodes: list[Node], texts: list[tuple[Node, str]]) -> None:
     prose, free, chars = _prose(nodes, [(node, text) for node, text in texts if not node.skipped])
     for n in perhaps:
         found = free if n.marks.by_id else prose
-        n.skipped = not found[n.order] or 2 * found[n.order] < chars[n.order]
+        # The head of a section may be all that its frame holds.
+        bare = n.within and n.marks.by_id and not chars[n.order]
+        n.skipped = not bare and (not found[n.order] or 2 * found[n.order] < chars[n.order])
     for n in nodes[1:]:
         n.skipped = n.skipped or n.parent.skipped
 
