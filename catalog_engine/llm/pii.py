@@ -3,8 +3,9 @@
 Patterns propose spans of six kinds.  A span that has a checksum must pass it
 (Luhn for cards, mod 97 for account numbers); addresses and phone numbers are
 held to their ranges.  What is left gets the base score of its kind, more when
-one of the kind's words stands within ``CONTEXT_CHARS`` characters of it.  Spans of
-the kinds in ``BASE`` are always reported; the added kinds only from
+one of the kind's words stands within ``CONTEXT_CHARS`` characters of it, and less when
+one stands there that numbers of other things go by.  Spans of the kinds in
+``BASE`` are always reported, with their score; the added kinds only from
 ``THRESHOLD`` up.
 
 Every pattern is written so that a long run of one character class is read
@@ -32,21 +33,21 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-#: Signs of an account number by country.
+IBAN = re.compile(
+    r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:[\x20-]?[A-Za-z0-9]{4}){2,7}(?:[\x20-]?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])"
+)
+#: Signs of an account number by country (ISO 13616).
 IBAN_LENGTH = {
-    code: int(n)
-    for n, codes in (
-        part.split(":")
-        for part in (
-            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
-            "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR "
-            "27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE "
-            "31:MT,SC 32:LC 33:RU"
-        ).split()
-    )
-    for code in codes.split(",")
-}
+    "NO": 15, "BE": 16, "DK": 18, "FI": 18, "FK": 18, "FO": 18, "GL": 18, "NL": 18, "SD": 18, "MK": 19, "SI": 19,
+    "AT": 20, "BA": 20, "EE": 20, "KZ": 20, "LT": 20, "LU": 20, "MN": 20, "XK": 20, "CH": 21, "HR": 21, "LI": 21,
+    "LV": 21, "BG": 22, "BH": 22, "CR": 22, "DE": 22, "GB": 22, "GE": 22, "IE": 22, "ME": 22, "RS": 22, "VA": 22,
+    "AE": 23, "GI": 23, "IL": 23, "IQ": 23, "OM": 23, "SO": 23, "TL": 23, "AD": 24, "CZ": 24, "ES": 24, "MD": 24,
+    "PK": 24, "RO": 24, "SA": 24, "SE": 24, "SK": 24, "TN": 24, "VG": 24, "LY": 25, "PT": 25, "ST": 25, "IS": 26,
+    "TR": 26, "BI": 27, "DJ": 27, "FR": 27, "GR": 27, "IT": 27, "MC": 27, "MR": 27, "SM": 27, "AL": 28, "AZ": 28,
+    "BY": 28, "CY": 28, "DO": 28, "GT": 28, "HN": 28, "HU": 28, "LB": 28, "NI": 28, "PL": 28, "SV": 28, "BR": 29,
+    "EG": 29, "PS": 29, "QA": 29, "UA": 29, "JO": 30, "KW": 30, "MU": 30, "YE": 30, "MT": 31, "SC": 31, "LC": 32,
+    "RU": 33,
+}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
@@ -59,6 +60,15 @@ CONTEXT = {
     "ssn": ("ssn", "social", "security", "taxpayer"),
 }
 CONTEXT_WORDS = {k: re.compile(r"\b(?:" + "|".join(w) + r")\w*", re.I) for k, w in CONTEXT.items()}
+#: Numbers go by these words, too, that are no one's.
+OTHERS = {
+    "ip": ("version", "release", "chapter", "section"),
+    "card": ("order", "invoice", "isbn", "serial", "ticket", "tracking"),
+    "phone": ("order", "invoice", "isbn", "serial", "ticket", "tracking"),
+    "iban": ("order", "serial", "ticket", "tracking"),
+    "ssn": ("order", "invoice", "isbn", "serial", "ticket", "tracking", "part"),
+}
+OTHER_WORDS = {k: re.compile(r"\b(?:" + "|".join(w) + r")\w*", re.I) for k, w in OTHERS.items()}
 CONTEXT_CHARS = 40
 BOOST = 0.3
 THRESHOLD = 0.5
@@ -96,19 +106,20 @@ def emails(text: str):
 
 
 def accounts(text: str):
-    """Account numbers.  The pattern runs on into words in capitals and other numbers: of the
-    beginnings that end with a word, the one as long as its country's numbers must pass mod 97;
-    where the length is not known, the longest that passes counts.  What follows it is read again.
+    """Account numbers, in groups or not.  The pattern runs on into other words and numbers: of the
+    beginnings that end with a group, the one as long as its country's numbers must pass mod 97;
+    where the length is not known, the longest in capitals that passes counts.  What follows it is read again.
     """
     m = IBAN.search(text)
     while m:
         start, at = m.start(), m.start() + 1
-        length = IBAN_LENGTH.get(m[0][:2])
+        length = IBAN_LENGTH.get(m[0][:2].upper())
         for end in range(m.end(), start + 14, -1):
-            if end < m.end() and text[end] != " ":
+            if end < m.end() and text[end] not in " -":
                 continue
-            account = text[start:end].replace(" ", "")
-            if (len(account) == length if length else 15 <= len(account) <= 34) and mod97(account):
+            account = text[start:end].replace(" ", "").replace("-", "")
+            known = len(account) == length if length else 15 <= len(account) <= 34 and account == account.upper()
+            if known and mod97(account.upper()):
                 yield start, end
                 at = end
                 break
@@ -138,12 +149,22 @@ def _spans(text: str):
             yield "ssn", *m.span()
 
 
+def context_score(kind: str, before: str, after: str) -> float:
+    """The score of a confirmed span between two pieces of text: 0 to 1."""
+    near, score = f"{before} {after}", SCORE[kind]
+    if CONTEXT_WORDS[kind].search(near):
+        score += BOOST
+    # What a number is called stands before it.
+    if kind in OTHER_WORDS and OTHER_WORDS[kind].search(before):
+        score -= BOOST
+    return round(min(1.0, max(0.0, score)), 2)
+
+
 def find(text: str) -> list[tuple[str, int, int, float]]:
     """Spans (kind, start, end, score) by kind as listed, then start; code points, end exclusive."""
     found = []
     for kind, start, end in _spans(text):
-        near = text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]
-        score = min(1.0, SCORE[kind] + (BOOST if CONTEXT_WORDS[kind].search(near) else 0.0))
+        score = context_score(kind, text[max(0, start - CONTEXT_CHARS) : start], text[end : end + CONTEXT_CHARS])
         if kind in BASE or score >= THRESHOLD:
             found.append((kind, start, end, score))
     return found
@@ -188,7 +209,11 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def mask_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with personal data in ``text_col`` replaced by ``<KIND>``; null stays null, all rows and columns are kept."""
+    """``df`` with personal data in ``text_col`` replaced by ``<KIND>``; null stays null, all rows and columns are kept.
+
+    Every span that is reported is replaced, whatever its score.  Repeated rows are
+    masked alike and all kept; an empty table gives an empty one.
+    """
     schema, out = df.schema, to_arrow_schema(df.schema)
     at = df.columns.index(text_col)
 
@@ -215,3 +240,8 @@ def joined(kinds: tuple[str, ...]) -> Column:
         ",",
         F.transform(wanted, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
     )
+
+
+def scores() -> Column:
+    """The scores of all spans, comma-joined in their order, with two decimals."""
+    return F.concat_ws(",", F.transform("spans", lambda s: F.format_number(s["score"], 2)))

@@ -74,6 +74,7 @@ def op6_pii(spark, sf):
         *(pii.count_of(kind).alias(f"n_{kind}") for kind in pii.BASE),
         F.sha2(pii.joined(pii.BASE), 256).alias("base_sha256"),
         pii.joined(pii.KINDS).alias("spans"),
+        pii.scores().alias("scores"),
     )
 
 
