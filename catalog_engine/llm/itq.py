@@ -28,7 +28,7 @@ from catalog_engine import runtime
 from catalog_engine.llm.blocks import gathered, groups, paired
 from catalog_engine.llm.common import arrow_schema
 from catalog_engine.llm.components import components
-from catalog_engine.llm.vectors_in import by_size, float_type, sample, usable
+from catalog_engine.llm.vectors_in import by_size, float_type, sample, scaled, usable
 
 THRESHOLD = 0.9
 #: Chance that a pair of exactly the threshold meets in some table.
@@ -65,6 +65,7 @@ class Codes:
 
     def _fit(self, size: int, x: np.ndarray) -> np.ndarray:
         if len(x):
+            x = scaled(x)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
         needed = math.ceil(self.bits * self.tables / size)
         return np.concatenate([rotation(x, SEED + i) for i in range(needed)], axis=1)
@@ -73,7 +74,7 @@ class Codes:
         """An array rows x tables of substring codes."""
         if size not in self.rotations:
             self.rotations[size] = self._fit(size, np.empty((0, size)))
-        turned = x @ self.rotations[size]
+        turned = scaled(x) @ self.rotations[size]
         on = turned[:, : self.bits * self.tables].reshape(len(x), self.tables, self.bits) >= 0
         return on @ (1 << np.arange(self.bits, dtype=np.int64))
 
@@ -99,6 +100,7 @@ def _compare(group: pa.Table, threshold: float, dtype) -> tuple[np.ndarray, np.n
     side, ids, copies = side[order], ids[order], copies[order]
     codes = group.column(8).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
     x = np.frombuffer(b"".join(group.column(9).to_pylist()), dtype).reshape(len(ids), -1)[order].astype(np.float64)
+    x = scaled(x)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     found_a, found_b = [], []
     left = np.flatnonzero(side == p)

@@ -63,10 +63,33 @@ def assign(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     )
 
 
+#: Components that codebooks tell apart, and distances whose squares are surely in range.
+FAR, NEAR = 1e100, 1e-140
+
+
+def bounded(x: np.ndarray) -> np.ndarray:
+    """Components as codebooks see them: their squares are finite."""
+    return np.clip(x, -FAR, FAR)
+
+
+def gaps(block: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances from ``query``, also where the squares of the differences are out of range."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        apart = block - query
+        found = np.sqrt((apart**2).sum(axis=1))
+        odd = np.flatnonzero(~(found < np.inf) | (found < NEAR))
+        if len(odd):
+            exponent = np.frexp(np.abs(apart[odd]).max(axis=1, initial=0.0))[1]
+            small = np.ldexp(apart[odd], -exponent[:, None])
+            found[odd] = np.ldexp(np.sqrt((small**2).sum(axis=1)), exponent)
+    return found
+
+
 class Index:
     """Codebooks of vectors of one size, and the share of them that a query visits."""
 
     def __init__(self, x: np.ndarray, n: int, top: int):
+        x = bounded(x)
         self.half = x.shape[1] // 2
         k = min(len(x), max(1, min(MOST_CENTROIDS, round(math.sqrt(n / CELL)))))
         self.books = [codebook(x[:, : self.half], k), codebook(x[:, self.half :], k)]
@@ -74,11 +97,13 @@ class Index:
         self.share = self._calibrated(x, top)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
+        x = bounded(x)
         return assign(x[:, : self.half], self.books[0]) * self.k + assign(x[:, self.half :], self.books[1])
 
     def order(self, query: np.ndarray):
         """Cells by summed distance.  A pair comes after both pairs that are one step nearer in
         one half, so the heap never holds more than one pair a row."""
+        query = bounded(query)
         first = distances(query[None, : self.half], self.books[0])[0]
         second = distances(query[None, self.half :], self.books[1])[0]
         a, b = np.argsort(first, kind="stable").tolist(), np.argsort(second, kind="stable").tolist()
@@ -227,8 +252,8 @@ def nearest(
                     ids, block = np.concatenate([ids, row_ids[start:end]]), np.concatenate([block, x])
                     continue
                 for query, q in zip(row_ids[start:end], x):
-                    found, gaps = best(np.sqrt(((block - q) ** 2).sum(axis=1)), ids, query, top)
-                    answers.append((np.full(len(found), query), found, gaps))
+                    found, far = best(gaps(block, q), ids, query, top)
+                    answers.append((np.full(len(found), query), found, far))
                     held += len(found)
             if held >= HELD_ANSWERS:
                 merged = merge(answers, top)

@@ -23,6 +23,12 @@ def float_type(df: DataFrame, vector: str) -> str:
     return "float" if df.schema[vector].dataType.elementType.typeName() == "float" else "double"
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two by which their largest component is from 1/2 to 1: angles stay, squares are in range."""
+    exponent = np.frexp(np.abs(x).max(axis=1, initial=0.0))[1]
+    return np.ldexp(x, -exponent[:, None])
+
+
 def by_size(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Rows and their vectors (in double precision) for each number of components."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
