@@ -201,7 +201,7 @@ def write_archives(
     # A revisit carries no payload, only its digest; it still is read to be archived.
     dealt = marked.select(
         F.col("id").cast("string").alias("id"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"), "revisit"
-    ).repartition(archives, F.xxhash64("id", "url"))
+    ).repartition(archives, F.xxhash64("id", "url", "payload"))
     out = arrow_schema("frame binary")
 
     def run(batches):

@@ -204,6 +204,14 @@ def test_archives_read_back_whole(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_rows_without_id_under_one_address_fill_many_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(None, "u", f"<p>page {i}</p>" * 20) for i in range(2000)], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "a"), archive_bytes=40_000)
+    assert len(list((tmp_path / "a").glob("*.txt"))) > 15
+    found = warc.read_archives(spark, str(tmp_path / "a"))
+    assert found.count() == 2000 and found.select("payload_digest").distinct().count() == 2000
+
+
 def test_archive_starts_with_its_dictionary_and_refuses_damage():
     import struct
 
