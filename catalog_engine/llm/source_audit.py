@@ -34,7 +34,7 @@ FIRST_WIDTH = 4
 #: Bits of the map of prefixes that are left, 16 MB.
 BITMAP_BITS = 1 << 27
 #: Bytes of text whose words are looked at together, at least one text.
-SLICE_BYTES = 8 * 1024 * 1024
+SLICE_BYTES = 4 * 1024 * 1024
 #: Numbers of a block of terms x sources.
 BLOCK = 1 << 20
 SCALE = 1_000_000_000
