@@ -13,6 +13,7 @@ and the driver holds no more than ``k`` centroids.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +26,20 @@ from catalog_engine.llm.common import arrow_schema
 from catalog_engine.llm.vectors_in import by_size
 
 K, ROUNDS, COMPONENTS, SCALE, SEED = 8, 10, 64, 1024, "3"
-#: Whole components up to this give distances that a 64-bit number holds, for up to 2,048 components.
-LARGEST = 1 << 25
 #: Rows at once, of which the differences are held.
 ROWS = 8192
 
 
+def largest(components: int) -> int:
+    """Whole components up to this surely have squared distances that 64 bits hold."""
+    return math.isqrt((2**63 - 1) // (4 * max(1, components)))
+
+
 def whole(vectors: np.ndarray) -> np.ndarray:
     """Components as floor(SCALE * x)."""
-    scaled = np.floor(vectors * SCALE)
-    if len(scaled) and np.abs(scaled).max() > LARGEST:
-        raise ValueError(f"components beyond {LARGEST / SCALE} have no exact 64-bit distance")
+    scaled, most = np.floor(vectors * SCALE), largest(vectors.shape[1])
+    if scaled.size and np.abs(scaled).max() > most:
+        raise ValueError(f"components beyond {most / SCALE:.0f} need not have exact 64-bit distances")
     return scaled.astype(np.int64)
 
 
@@ -75,7 +79,7 @@ class Orchard:
             walking = walking[place[walking] < k - 1]
             # Strictly beyond twice the distance, both squared.
             at = self.far[best[walking], place[walking]] if k > 1 else np.empty(0, np.int64)
-            walking = walking[at <= 4 * distance[walking]]
+            walking = walking[-(-at // 4) <= distance[walking]]
             if not len(walking):
                 return best, distance
             candidate = self.lists[best[walking], place[walking]]
@@ -173,7 +177,8 @@ def clusters(
     of their own, repeated or not; equal ids start in the order of their
     vectors; a null id is hashed as an empty text.  Fewer than ``k`` vectors make
     so many clusters; without any the result is empty.  Other columns, whatever
-    their names, are not read.  Components beyond ``LARGEST / SCALE`` are an error.
+    their names, are not read.  Components beyond ``largest(components) / SCALE``,
+    185,363 for 64 of them, are an error.
     """
     vectors = kept_vectors(df, id_col, vector, components)
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, cluster int, distance long"

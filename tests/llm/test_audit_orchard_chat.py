@@ -162,7 +162,10 @@ def test_search_finds_the_nearest_and_skips_centroids():
     assert search.looked_at < 0.3 * plain.size
 
 
-def test_components_too_large_are_an_error(spark):
+def test_large_components_are_exact_up_to_an_error(spark):
+    big = orchard.largest(5) / 4096
+    rows = [(i, [s * big, -big, big, 0.0, s * big / 3]) for i, s in enumerate((1, -1, 0.999, -0.999, 0.5, 0))]
+    assert clustered(spark, rows, 5, k=3, rounds=2) == plain_clusters(rows, 3, 2, 5)
     with pytest.raises(Exception, match="64-bit"):
         clustered(spark, [(1, [1e9] * 5), (2, [0.0] * 5)], 5)
 
