@@ -37,7 +37,7 @@ def largest(components: int) -> int:
 
 def whole(vectors: np.ndarray) -> np.ndarray:
     """Components as floor(SCALE * x)."""
-    scaled, most = np.floor(vectors * SCALE), largest(vectors.shape[1])
+    scaled, most = np.floor(vectors * SCALE), largest(vectors.shape[-1])
     if scaled.size and np.abs(scaled).max() > most:
         raise ValueError(f"components beyond {most / SCALE:.0f} need not have exact 64-bit distances")
     return scaled.astype(np.int64)
