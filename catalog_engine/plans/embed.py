@@ -58,7 +58,7 @@ def rows_to_embed(
         on = [key, changes.DIGEST]
         ready = changes.with_digest(ready, text_col)
         found = changes.stale_rows(ready, stored, key, text_col)
-    wanted = runtime.broadcast_if_small(runtime.checkpointed(found.select(*on)))
+    wanted = runtime.written(found.select(*on))
     # The best of all rows of a key, also where another row of it is the stored one.
     best = dedupe_best(listed(ready, wanted, key), [key], best_text(text_col, prefer))
     if mode == "changed":

@@ -101,8 +101,7 @@ def prepare(incoming: DataFrame, layers: Layers) -> Batch:
     lacking = {"url", "main_accords", "description"} - set(given)
     if lacking:
         raise ValueError(f"records need the columns {', '.join(sorted(lacking))}")
-    records = runtime.checkpointed(stringify(incoming, schemas.RAW.names))
-    records = runtime.broadcast_if_small(records)
+    records = runtime.written(stringify(incoming, schemas.RAW.names))
     unknown = quality.unknown_fields([c for c in given if c != "url"]).alias("missing_fields")
     preset = item_spec()
     preset = replace(preset, extra=(*preset.extra, unknown))
@@ -130,7 +129,7 @@ def prepare(incoming: DataFrame, layers: Layers) -> Batch:
         .unionByName(rejected(nowhere, NO_ADDRESS), allowMissingColumns=True)
         .select(*UPSERTED, "missing_fields", "status", "reason", "needs_embedding")
     )
-    return Batch(records, runtime.broadcast_if_small(runtime.checkpointed(judged)), given)
+    return Batch(records, runtime.written(judged), given)
 
 
 def vectors(status: DataFrame, encoder: Callable[[], Model]) -> DataFrame:
@@ -141,7 +140,7 @@ def vectors(status: DataFrame, encoder: Callable[[], Model]) -> DataFrame:
     ready = changes.rows_with_text(flagged, "id", "perfume_string")
     # Different texts can be one number.
     ready = dedupe_best(ready, ["id"], best_text("perfume_string", "url")).drop("url")
-    return runtime.broadcast_if_small(runtime.checkpointed(encode(ready, "perfume_string", encoder)))
+    return runtime.written(encode(ready, "perfume_string", encoder))
 
 
 def ingest(incoming: DataFrame, layers: Layers, encoder: Callable[[], Model]) -> Ingested:

@@ -126,7 +126,7 @@ def run_embed(spark: SparkSession, store: Store, encoder: Callable[[], Model], m
     if mode == "new":
         return store.embeddings_table.append(fresh)
     # Written down first, so that the encoder runs once.
-    fresh = runtime.broadcast_if_small(runtime.checkpointed(fresh))
+    fresh = runtime.written(fresh)
     rows = fresh.count()
     if rows:
         columns = ["perfume_string", "embedding"]
@@ -149,7 +149,7 @@ def run_ingest(spark: SparkSession, store: Store, incoming: DataFrame, encoder:
 
 def run_remove(spark: SparkSession, store: Store, keys: DataFrame) -> None:
     """Delete the listed items (id, url) from all tables (M3)."""
-    keys = runtime.broadcast_if_small(runtime.checkpointed(keys.select("id", "url").distinct()))
+    keys = runtime.written(keys.select("id", "url").distinct())
     store.embeddings_table.remove(spark, keys.select(text.to_key("id").alias("id")))
     store.clean_table.remove(spark, keys)
     store.raw_table.remove(spark, keys)

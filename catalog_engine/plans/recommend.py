@@ -89,8 +89,7 @@ def recommend_batch(
     that turns out small then meets the items without shuffling them.
     """
     items, targets = _keyed_like(items, embeddings, key), _keyed_like(targets, embeddings, key)
-    wanted = runtime.checkpointed(targets.select(key))
-    vectors = listed(embeddings, runtime.broadcast_if_small(wanted), key)
-    top = runtime.checkpointed(similar.top_n_batch(embeddings, vectors, key, vec, n))
+    vectors = listed(embeddings, runtime.written(targets.select(key)), key)
+    top = runtime.written(similar.top_n_batch(embeddings, vectors, key, vec, n))
     wanted = items.select(key, *(columns or [c for c in items.columns if c != key]))
-    return similar.attach(runtime.broadcast_if_small(top), wanted, key, how)
+    return similar.attach(top, wanted, key, how)

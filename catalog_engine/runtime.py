@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Largest table the driver will hand to every task, in bytes.
@@ -56,6 +56,17 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     return F.broadcast(df) if is_small(df, max_bytes) else df
 
 
+def written(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written to the shared folder, and marked for broadcast when its size allows.
+
+    The size is measured while it is written, so this is one job.
+    """
+    seen = Observation()
+    row_bytes = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    stored = checkpointed(df.observe(seen, F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")))
+    return F.broadcast(stored) if seen.get["bytes"] <= max_bytes else stored
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores when it is read in fewer partitions than there are, for costly work on each row.
 

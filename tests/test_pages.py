@@ -4,21 +4,24 @@ import re
 
 from catalog_engine.operators import html_fields as html
 
-FULL = """<!DOCTYPE html><html><head><style>h1 {x: y}</style></head><body>
-<script>var t = "<h1 class='text-center'>no</h1>";</script>
-<h1>Other</h1><h1 class="text-xl text-center md:text-left">
+#: Parts of an item page, each with what its rule must not take.  Their order means nothing.
+PARTS = {
+    "makers": """<ul><li><a href="/noses/Ann.html"><img src="x"><span>Ann Bee</span> rest</a><li><a href="/noses/Cee.html">Cee</a>
+<li><a href="/noses/Ann.html"><span>Ann Bee</span></a><li><a href="/noses/">All</a></ul>""",
+    "prose": """<section itemprop="description"><p><b>Night Rose</b>by <b>Big
+  House</b> was launched in 2015.<br>Top notes are A &amp; B.</p><blockquote><p>Marketing</p></blockquote></section>""",
+    "votes": """<p>Rated&nbsp;<i itemprop="ratingValue"> 4.10 </i> by
+<i itemprop="ratingCount" content="48120">48,120</i> votes</p>""",
+    "accords": """<h6>MAIN Accords</h6><!-- x --><p>between</p>
+<div><p><span class="truncate">Fresh Spicy</span><p><span class="truncate x">amber</span>
+<p><span class="other">no</span></div>
+<div><span class="truncate">not a sibling hit</span></div>""",
+    "title": """<script>var t = "<h1 class='text-center'>no</h1>";</script>
+<h1>Other</h1><h1 class="big text-center">
    Night Rose Big House for men
-</h1>
-<p itemprop="aggregateRating">Rated&nbsp;<span itemprop="ratingValue"> 4.10 </span> by
-<span itemprop="ratingCount" content="48120">48,120</span> votes</p>
-<h6>MAIN Accords</h6><!-- x --><p>between</p>
-<div class="flex"><div><span class="truncate">Fresh Spicy</span></div><div><span class="truncate x">amber</span></div>
-<div><span class="other">no</span></div></div>
-<div><span class="truncate">not a sibling hit</span></div>
-<div itemprop="description"><p><b>Night Rose</b>by <b>Big
-  House</b> was launched in 2015.<br>Top notes are A &amp; B.</p><div class="quote"><p>Marketing</p></div></div>
-<a href="/noses/Ann.html"><img src="x"><span>Ann Bee</span> rest</a><a href="/noses/Cee.html">Cee</a>
-<a href="/noses/Ann.html"><span>Ann Bee</span></a><a href="/noses/">All</a></body></html>"""
+</h1>""",
+}
+FULL = "<!DOCTYPE html><head><style>h1 {x: y}</style></head><body>" + "".join(PARTS.values())
 
 SPARSE = '<html><body><h1 class="text-center">Plain Rose</h1><a href="/noses/">All</a>'
 
@@ -43,6 +46,14 @@ def test_full_page(spark):
     ]
 
 
+def test_parts_in_any_order(spark):
+    import itertools
+
+    first = {**raw(spark, FULL)[0], "url": None}
+    orders = list(itertools.permutations(PARTS.values()))[::7]
+    assert all({**row, "url": None} == first for row in raw(spark, *map("".join, orders)))
+
+
 def test_sparse_and_missing_pages(spark):
     sparse, empty, none = raw(spark, SPARSE, "", None)
     assert sparse["name"] == "Plain Rose"
