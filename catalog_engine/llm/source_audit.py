@@ -2,7 +2,7 @@
 
 The terms that at least ``min_docs`` documents of a language hold are found
 without counting all terms.  Level by level, documents are counted per byte
-prefix of 4, 8, 16, ... bytes; a prefix that too few documents hold is discarded,
+prefix of 4, 16, 64, ... bytes; a prefix that too few documents hold is discarded,
 and only what extends a prefix that is left is counted at the next level.  A term
 no longer than its level's prefixes is complete and counted as itself.
 
@@ -29,8 +29,8 @@ from catalog_engine.llm.common import arrow_schema
 
 MIN_DOCS = 10
 TOP_TERMS = 10
-#: Bytes of the prefixes of the first level; each level doubles them.
-FIRST_WIDTH = 4
+#: Bytes of the prefixes of the first level, and how many times longer those of the next are.
+FIRST_WIDTH, LONGER = 4, 4
 #: Bits of the map of prefixes that are left, 16 MB.
 BITMAP_BITS = 1 << 27
 #: Bytes of text whose words are looked at together, at least one text.
@@ -94,6 +94,19 @@ def hashed(lang: str, head: np.ndarray) -> np.ndarray:
     return _mix(h)
 
 
+def hashes(lang: str, terms: pa.Array) -> np.ndarray:
+    """The hash of each whole term.  Terms go by length, so that a long one doesn't widen the rows of all others."""
+    size, width = lengths(terms), 8
+    found = np.zeros(len(terms), np.uint64)
+    while True:
+        some = np.flatnonzero((size <= width) & ((size > width // 2) | (width == 8)))
+        if len(some):
+            found[some] = hashed(lang, heads(terms, some, width))
+        if width >= size.max(initial=0):
+            return found
+        width *= 2
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -105,8 +118,8 @@ class Bitmap:
     def __init__(self, data: np.ndarray):
         self.data = data
 
-    def has(self, lang: str, head: np.ndarray) -> np.ndarray:
-        bit = (hashed(lang, head) % np.uint64(8 * len(self.data))).astype(np.int64)
+    def has(self, hashed: np.ndarray) -> np.ndarray:
+        bit = (hashed % np.uint64(8 * len(self.data))).astype(np.int64)
         return (self.data[bit >> 3] >> (bit & 7)) & 1 == 1
 
 
@@ -119,9 +132,8 @@ def bitmap_of(prefixes: DataFrame, bits: int) -> Bitmap | None:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, rows in _by_value(batch.column("lang")):
-                prefix = batch.column("prefix").take(pa.array(rows))
-                head = heads(prefix, np.arange(len(rows)), int(lengths(prefix).max(initial=1)))
-                bit = (hashed(lang, head) % np.uint64(bits)).astype(np.int64) + 1
+                found = hashes(lang, batch.column("prefix").take(pa.array(rows)))
+                bit = (found % np.uint64(bits)).astype(np.int64) + 1
                 yield pa.RecordBatch.from_arrays([pa.array(bit)], ["bit"])
 
     pieces = (
@@ -189,9 +201,10 @@ class _Prefixes:
             size = lengths(terms)
             left = np.ones(n, bool)
             if self.alive is not None:
-                left = size > self.width // 2
+                before = self.width // LONGER
+                left = size > before
                 longer = np.flatnonzero(left)
-                left[longer] = self.alive.value.has(lang, heads(terms, longer, self.width // 2))
+                left[longer] = self.alive.value.has(hashed(lang, heads(terms, longer, before)))
             numbers = coded.indices.to_numpy().astype(np.int64)
             held = left[numbers]
             pairs, _ = counted(doc[held] * n + numbers[held])
@@ -234,14 +247,7 @@ class _Counts:
                 continue
             coded = found.dictionary_encode()
             terms, n = coded.dictionary, len(coded.dictionary)
-            left = np.zeros(n, bool)
-            size = lengths(terms)
-            # By length, so that one long term doesn't widen the rows of all others.
-            width = 8
-            while width == 8 or width // 2 < size.max():
-                some = np.flatnonzero((size <= width) & ((size > width // 2) | (width == 8)))
-                left[some] = self.kept.value.has(lang, heads(terms, some, width))
-                width *= 2
+            left = self.kept.value.has(hashes(lang, terms))
             source = rows.column("source").dictionary_encode()
             numbers = coded.indices.to_numpy().astype(np.int64)
             held = left[numbers]
@@ -272,7 +278,7 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = BITMAP_BIT
         if left is None:
             return kept
         alive = spark.sparkContext.broadcast(left)
-        width *= 2
+        width *= LONGER
 
 
 def share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
