@@ -14,13 +14,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog_engine.operators.keys import check_types, is_broadcast, is_bucketed, listed, same_key, unlisted, with_hash
+from catalog_engine.operators.keys import HASH, check_types, is_broadcast, is_bucketed, listed, same_key, unlisted, with_hash
 
 
 def ambiguous_keys(source: DataFrame, key: str) -> DataFrame:
-    """No rows, or a failed job when a key occurs twice; shuffles key counts only."""
+    """No rows, or a failed job when a key occurs twice; shuffles keys only.
+
+    Keys shuffle as a few bytes each, of which Spark would put millions into one
+    task; they keep to as many tasks as there are shuffle partitions.
+    """
     message = F.lit(f"upsert: more than one source row for one value of {key}")
-    counts = source.filter(F.col(key).isNotNull()).groupBy(key).count()
+    keys = with_hash(source.filter(F.col(key).isNotNull()).select(key), key)
+    if not is_broadcast(source):
+        # By the hash, too: by the key alone they may lie together already, in few tasks.
+        keys = keys.repartition(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), HASH, key)
+    counts = keys.groupBy(HASH, key).count()
     return counts.filter(
         F.when(F.col("count") > 1, F.raise_error(message).cast("boolean")).otherwise(False)
     )
