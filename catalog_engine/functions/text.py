@@ -105,6 +105,17 @@ def to_key(c: Column | str) -> Column:
     return _col(c).try_cast("bigint")
 
 
+def int_lead(c: Column | str) -> Column:
+    """An int as bigint that is never NULL; NULL is the smallest."""
+    return F.coalesce(_col(c).cast("bigint"), F.lit(-(1 << 40)))
+
+
+def text_lead(c: Column | str) -> Column:
+    """The first 7 bytes as bigint, in the order of texts; NULL is the smallest."""
+    start = F.rpad(F.hex(F.substring(_col(c).cast("binary"), 1, 7)), 14, "0")
+    return F.coalesce(F.conv(start, 16, 10).cast("bigint"), F.lit(-1))
+
+
 def normalize_aliases(c: Column | str, aliases: Sequence[tuple[str, str]]) -> Column:
     """Lower-case, then replace whole phrases in the order given."""
     low = done = F.lower(_col(c))

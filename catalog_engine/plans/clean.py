@@ -22,7 +22,8 @@ class CleanSpec:
     ``keys`` and ``order`` are looked up in the raw columns when ``best_first``
     is set: losing copies are then dropped before any field is extracted.
     Without it they may use derived columns, and large raw columns that no
-    field keeps are gone before the shuffle.
+    field keeps are gone before the shuffle.  ``lead`` is the start of ``order``
+    as a number, see :func:`dedupe_best`.
     """
 
     fields: Sequence[FieldRule]
@@ -33,6 +34,7 @@ class CleanSpec:
     tags: Sequence[tuple[str, str]] = ()
     tag_column: str = "perfume_string"
     drop: Sequence[str] = ()
+    lead: Column | None = None
 
 
 def clean(raw: DataFrame, spec: CleanSpec) -> DataFrame:
@@ -41,9 +43,9 @@ def clean(raw: DataFrame, spec: CleanSpec) -> DataFrame:
     The same call serves the whole table or a single new row.
     """
     if spec.best_first:
-        out = extract_fields(dedupe_best(raw, spec.keys, spec.order), spec.fields, spec.extra)
+        out = extract_fields(dedupe_best(raw, spec.keys, spec.order, spec.lead), spec.fields, spec.extra)
     else:
-        out = dedupe_best(extract_fields(raw, spec.fields, spec.extra), spec.keys, spec.order)
+        out = dedupe_best(extract_fields(raw, spec.fields, spec.extra), spec.keys, spec.order, spec.lead)
     if spec.tags:
         out = out.withColumn(spec.tag_column, text.tag_bag(spec.tags))
     return out.drop(*spec.drop)
@@ -58,7 +60,10 @@ def item_spec(order_as: str = "number") -> CleanSpec:
     by_suffix = [text.suffix_category(c, rules.CATEGORY_SUFFIXES) for c in ("name", "gender")]
     labels = [label for _, label in rules.CATEGORY_SUFFIXES]
     category = F.coalesce(*by_suffix, F.when(F.col("gender").isin(labels), F.col("gender")))
-    most_rated = {"number": text.to_int("rating_count"), "string": F.col("rating_count")}[order_as]
+    most_rated, lead = {
+        "number": (text.to_int("rating_count"), text.int_lead(text.to_int("rating_count"))),
+        "string": (F.col("rating_count"), text.text_lead("rating_count")),
+    }[order_as]
     ties = ("rating_count", "description", "main_accords", "perfumers", "name", "gender")
     return CleanSpec(
         fields=rules.ITEM_FIELDS,
@@ -78,6 +83,7 @@ def item_spec(order_as: str = "number") -> CleanSpec:
         ],
         best_first=True,
         tags=rules.TAG_PREFIXES,
+        lead=lead,
     )
 
 
