@@ -93,9 +93,9 @@ def prepare(incoming: DataFrame, layers: Layers) -> Batch:
     addresses carry the same id, are ``rejected`` with a reason and reach the
     raw layer only.
 
-    Records and status are written down here, before any layer changes: the
-    pages are parsed once, and all that follows depends on what the layers
-    held until now.
+    Records, their fields and status are written down here, before any layer changes:
+    the pages are parsed and fields extracted once, and all that follows depends on
+    what the layers held until now.
     """
     given = tuple(c for c in schemas.RAW.names if c in incoming.columns)
     lacking = {"url", "main_accords", "description"} - set(given)
@@ -103,10 +103,11 @@ def prepare(incoming: DataFrame, layers: Layers) -> Batch:
         raise ValueError(f"records need the columns {', '.join(sorted(lacking))}")
     records = runtime.written(stringify(incoming, schemas.RAW.names))
     unknown = quality.unknown_fields([c for c in given if c != "url"]).alias("missing_fields")
-    preset = item_spec()
+    preset = item_spec(copies=False)
     preset = replace(preset, extra=(*preset.extra, unknown))
 
     extracted = clean(records.filter(F.col("url").isNotNull()), preset).select(*UPSERTED, "missing_fields")
+    extracted = runtime.checkpointed(extracted)
     named = extracted.filter(F.col("id").isNotNull())
     # Two addresses can carry one id; the last address stands for it.
     accepted = dedupe_best(named, ["id"], [F.desc("url")])
