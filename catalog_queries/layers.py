@@ -55,7 +55,7 @@ def encode_hash(spark, sf):
 
 def _records(spark, sf, base):
     """One scraped record for every part."""
-    return table(spark, sf, "part").select(
+    return runtime.spread(table(spark, sf, "part")).select(
         item_url().alias("url"),
         item_title().alias("name"),
         item_gender().alias("gender"),
@@ -74,23 +74,24 @@ def _incoming(spark, sf):
 def _items(spark, sf):
     """The clean layer before any removal; large parts were scraped with another prose."""
     old = _records(spark, sf, F.when(F.col("p_size") > 25, "; base note is Musk").otherwise(""))
-    return cleaning.clean_items(stringify(old, schemas.RAW.names)).filter(F.col("id").isNotNull())
+    return cleaning.clean_items(stringify(old, schemas.RAW.names), copies=False).filter(F.col("id").isNotNull())
 
 
-def _layers(spark, sf) -> ingesting.Layers:
-    """The three layers as published tables."""
+def _stored(spark, name, df):
+    """``df`` as a published table."""
+    root = runtime.scratch_path(spark, name)
+    store.publish(df, root)
+    return store.read_current(spark, root)
 
-    def stored(name, df):
-        root = runtime.scratch_path(spark, name)
-        store.publish(df, root)
-        return store.read_current(spark, root)
 
-    items = stored("items", _items(spark, sf))
+def _layers(spark, sf, items=None) -> ingesting.Layers:
+    """The three layers as published tables, of ``items`` if those are published already."""
+    items = items if items is not None else _stored(spark, "items", _items(spark, sf))
     raw = stringify(items.withColumnRenamed("accords", "main_accords"), schemas.RAW.names)
     clean = items.filter(~F.col("accords").contains("promo"))
     ready = clean.filter(~F.col("accords").contains("standard"))
     vectors = encode(ready.select(text.to_key("id").alias("id"), "perfume_string"), "perfume_string", ENCODER)
-    return ingesting.Layers(raw, clean, stored("embeddings", vectors))
+    return ingesting.Layers(raw, clean, _stored(spark, "embeddings", vectors))
 
 
 def _show(vectors):
@@ -98,14 +99,15 @@ def _show(vectors):
 
 
 def embed_new(spark, sf):
-    stored = _layers(spark, sf).embeddings
-    return _show(embedding.embed(_items(spark, sf), stored, ENCODER, mode="new"))
+    items = _stored(spark, "items", _items(spark, sf))
+    stored = _layers(spark, sf, items).embeddings
+    return _show(embedding.embed(items, stored, ENCODER, mode="new"))
 
 
 def embed_changed(spark, sf):
     stored = _layers(spark, sf).embeddings
-    incoming = cleaning.clean_items(stringify(_incoming(spark, sf), schemas.RAW.names))
-    return _show(embedding.embed(incoming, stored, ENCODER, mode="changed"))
+    incoming = cleaning.clean_items(stringify(_incoming(spark, sf), schemas.RAW.names), copies=False)
+    return _show(embedding.embed(_stored(spark, "incoming", incoming), stored, ENCODER, mode="changed"))
 
 
 def _ingested(spark, sf):
